@@ -1,0 +1,30 @@
+"""Dealing the members of groups to tasks of bounded size.
+
+A group of at most `size` members is one unit. A larger one is cut by a hash into blocks, and every pair of blocks is a
+unit of its own, so no task ever holds more than two blocks, however hot the group is.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def deal(rows: DataFrame, group: str, member: str, size: int, alone: bool = False) -> DataFrame:
+    """`rows` once for each unit that they belong to, with columns `unit` (string) and `side`.
+
+    side: 0 for members of the first block, 1 for the second, 2 where a unit pairs a block with itself. Groups of one
+    member are left out unless `alone`.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    counts = counts.select(F.col(group).alias("_g"), F.ceil(F.col("_n") / size).cast("int").alias("_s"), "_n")
+    if not alone:
+        counts = counts.where("_n > 1")
+    met = rows.join(counts, F.col(group) == F.col("_g"))
+    met = met.withColumn("_b", F.pmod(F.xxhash64(member, F.lit(5)), F.col("_s").cast("long")).cast("int"))
+    met = met.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+    return met.select(
+        *rows.columns,
+        F.concat_ws(":", F.col(group).cast("string"), F.least("_b", "_o"), F.greatest("_b", "_o")).alias("unit"),
+        F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1).alias("side"),
+    )
