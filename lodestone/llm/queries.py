@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import embeddings, language, topk
+from lodestone.llm import embeddings, jaccard, language, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,29 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END AS sh FROM w
+), e AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s
+), l AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (min(a.n) + min(b.n) - count(*))
+), r AS (
+  SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u
+)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, CAST(least(s.doc_id, coalesce(min(r.v), s.doc_id)) AS BIGINT) AS component_id
+FROM s LEFT JOIN r ON r.u = s.doc_id GROUP BY s.doc_id, s.sh
+"""
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -26,8 +49,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language": op2_language, "op9_embeddings": op9_embeddings, "op10_topk": op10_topk}
+    return {"op2_language": op2_language, "op7_jaccard": op7_jaccard, "op9_embeddings": op9_embeddings, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_jaccard": OP7_SQL}
