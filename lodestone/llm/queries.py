@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import embeddings, jaccard, language, topk
+from lodestone.llm import chat, embeddings, jaccard, language, mixing, reputation, sharding, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,23 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return reputation.judge(pages, reputation.page_outcomes(pages, _table(spark, sf_dir, "labels")))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -49,8 +66,9 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language": op2_language, "op7_jaccard": op7_jaccard, "op9_embeddings": op9_embeddings, "op10_topk": op10_topk}
+    own = (op2_language, op3_urls, op5_sharding, op6_mixing, op7_jaccard, op8_chat, op9_embeddings, op10_topk)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard": OP7_SQL}
+    return {"op3_urls": reputation.SQL, "op6_mixing": mixing.SQL, "op7_jaccard": OP7_SQL, "op8_chat": chat.SQL}
