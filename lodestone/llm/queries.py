@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, embeddings, jaccard, language, mixing, reputation, sharding, topk
+from lodestone.llm import chat, embeddings, jaccard, language, mixing, pieces, reputation, sharding, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judge(pages, reputation.page_outcomes(pages, _table(spark, sf_dir, "labels")))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
@@ -66,7 +74,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_language, op3_urls, op5_sharding, op6_mixing, op7_jaccard, op8_chat, op9_embeddings, op10_topk)
+    own = (op1_toxicity, op2_language, op3_urls, op4_pieces, op5_sharding, op6_mixing, op7_jaccard, op8_chat, op9_embeddings, op10_topk)
     return {f.__name__: f for f in own}
 
 
