@@ -1,17 +1,17 @@
 """Toxicity by a support vector machine on a subsequence string kernel, with Nystrom landmarks.
 
-The normalised kernel compares strings by their common subsequences of four letters: an occurrence weighs `DECAY` for each letter
-that its span is longer than four, up to a span of `SPAN`, so gapped insults and insults with characters put in stay
-close to the plain ones. Its explicit features are hashed to `WIDTH`, so a machine on Nystrom features (the kernel
+The normalised kernel compares strings by their common subsequences of four letters: an occurrence weighs `DECAY` for
+each letter that its span is longer than four, up to a span of `SPAN`, so gapped insults and insults with characters put
+in stay close to the plain ones. Its explicit features are hashed to `WIDTH`, so a machine on Nystrom features (the kernel
 against landmark strings, whitened by the landmarks' own kernel) folds exactly into one weight for each of them, and
 scoring a string costs a table lookup for each of its subsequences.
 
 Training data are labelled sentences: a document's label holds for its sentences, and a sentence is the set of its
 windows: words folded to plain letters (accents dropped, look-alike digits and signs read as letters, other signs left
-out) and runs of single letters set apart, joined. A toxic document's sentences are represented by their witness window,
-windows whose documents are toxic beyond chance, the most telling first, until two of them explain the document; all windows of clean documents are
-negatives, and those that the machine likes most go into its next round. A text scores by its best window over all its
-sentences, calibrated on documents that the calibrating machine has not seen.
+out) and runs of single letters set apart, joined. A toxic document's sentences are represented by their witnesses,
+windows whose documents are toxic beyond chance, the most telling first, until `COVER` of them explain the document; all
+windows of clean documents are negatives, and those that the machine likes most go into its next round. A text scores by
+its best window over all its sentences, calibrated on documents that the calibrating machine has not seen.
 
 Defined results: null and empty text and text without windows get the score of a text whose best window is the
 negative limit; without both labels to learn from every score is 0; labels that are null or contradict each other are
@@ -40,7 +40,7 @@ ORDER, SPAN, DECAY, WIDTH = 4, 6, 0.6, 1 << 20
 WIDE = 8
 #: Bounds of the training sample: labelled documents of either class; landmarks; negatives in all and new ones a round.
 TOXIC, CLEAN, LANDMARKS, NEGATIVES, HARD, ROUNDS = 1200, 1800, 960, 5000, 3000, 5
-THRESHOLD, FLOOR, MEMO = 0.7, -3.0, 400_000
+COVER, THRESHOLD, FLOOR, MEMO = 3, 0.7, -3.0, 400_000
 
 #: Letters beside a to z that are told apart; `{` stands for every other one.
 OWN = "äöüßéèçñó"
@@ -231,7 +231,7 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Machine | None
         r = h / n
         return n * (r * np.log(r / share) + ((1 - r) * np.log((1 - r) / (1 - share)) if r < 1 else 0.0)) - bar
 
-    # witnesses, the most telling first; a toxic document that has two of them tells for no other, as long documents would
+    # witnesses, the most telling first; a toxic document that has COVER of them tells for no other, as long documents would
     candidates = {w for w, h in hot.items() if telling(h, cold[w]) > 0}
     holds: dict[str, set[int]] = {w: set() for w in candidates}
     for i, (own, y) in enumerate(zip(seen, toxic, strict=True)):
@@ -246,7 +246,7 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Machine | None
             break
         witness[w] = hot[w]
         covered.update(docs)
-        done = {i for i in docs if covered[i] == 2}
+        done = {i for i in docs if covered[i] == COVER}
         for left in holds.values() if done else ():
             left -= done
     if not witness:
