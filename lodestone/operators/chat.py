@@ -1,0 +1,92 @@
+"""Conversations: search, titles, token estimates and context budgets.
+
+FLT-01/02, SCA-18/50/63/64, WIN-07/08/10, TOP-12, AGG-21, DML-08. Messages are (conv_id, turn, role, text). Windows hold
+one conversation's turns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+
+IMAGE_TOKENS = 1024
+
+
+def search(messages: DataFrame, needle: str) -> DataFrame:
+    """FLT-02: conversations with a message that holds the words, whatever their case."""
+    return messages.where(F.lower("text").contains(needle.lower())).groupBy("conv_id").agg(F.count("*").alias("n_hits"))
+
+
+def titles(messages: DataFrame) -> DataFrame:
+    """SCA-18: a title from the first user message."""
+    first = messages.groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("t"), F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("u"))
+    return first.select("conv_id", T.default_title(F.when(F.col("u").isNotNull(), F.col("t"))).alias("title"))
+
+
+def token_estimates(messages: DataFrame) -> DataFrame:
+    """SCA-49/50: tokens of each conversation: six for a message, its role and its text."""
+    each = F.lit(6) + T.estimate_tokens(F.col("role")) + T.estimate_tokens(F.col("text"))
+    return messages.groupBy("conv_id").agg(F.sum(each).alias("tokens"), F.count("*").alias("messages"))
+
+
+def json_size(role: Column, text: Column) -> Column:
+    """SCA-64: characters of a message as JSON."""
+    return F.length(F.to_json(F.struct(role.alias("role"), text.alias("content"))))
+
+
+def budget_tail(messages: DataFrame, budget: int, size: Column | None = None) -> DataFrame:
+    """WIN-07: for each conversation the first turn that is kept: the earliest suffix within the budget, yet never without
+    the newest user turn; all turns without one. A suffix of n messages costs their sizes and n + 1."""
+    size = json_size(F.col("role"), F.col("text")) if size is None else size
+    later = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("conv_id")
+    m = messages.withColumn("_s", size.cast("long")).withColumn("_tail", F.sum("_s").over(later) + F.count("*").over(later) + 1)
+    m = m.withColumn("_user", F.max(F.when(F.col("role") == "user", F.col("turn"))).over(every)).withColumn("_first", F.min("turn").over(every))
+    fit = F.min(F.when(F.col("_tail") <= budget, F.col("turn")))
+    out = m.groupBy("conv_id").agg(fit.alias("fit"), F.max("_user").alias("user"), F.min("_first").alias("first"), F.max("turn").alias("last"), F.count("*").alias("n"))
+    start = F.when(F.col("user").isNull(), F.col("first")).otherwise(F.least(F.coalesce("fit", "user"), F.col("user")))
+    return out.select("conv_id", start.alias("start_turn"), (start - F.col("first")).alias("folded"), "n")
+
+
+def system_suffix(messages: DataFrame, budget: int, size: Column | None = None) -> DataFrame:
+    """WIN-08: the kept turns of conversations over the budget: the first and the longest suffix that fits with it, at
+    least the last; those of up to four messages are kept whole."""
+    size = json_size(F.col("role"), F.col("text")) if size is None else size
+    later = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("conv_id")
+    m = messages.withColumn("_s", size.cast("long")).withColumn("_sum", F.sum("_s").over(later)).withColumn("_k", F.count("*").over(later))
+    m = m.withColumn("_n", F.count("*").over(every)).withColumn("_all", F.sum("_s").over(every) + F.col("_n") + 1)
+    m = m.withColumn("_head", F.max(F.when(F.col("_k") == F.col("_n"), F.col("_s"))).over(every))
+    whole = (F.col("_n") <= 4) | (F.col("_all") <= budget)
+    fits = (F.col("_k") < F.col("_n")) & (F.col("_head") + F.col("_sum") + F.col("_k") + 1 + 1 <= budget)
+    return m.where(whole | (F.col("_k") == F.col("_n")) | (F.col("_k") == 1) | fits).select("conv_id", "turn", "role")
+
+
+def excerpt(messages: DataFrame, most: int = 8000, each: int = 600) -> DataFrame:
+    """WIN-10: leading turns, each cut to `each` characters, until their lengths pass `most`."""
+    upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    cut = messages.withColumn("excerpt", F.substring(F.coalesce("text", F.lit("")), 1, each))
+    return cut.withColumn("running", F.sum(F.length("excerpt")).over(upto)).where(F.col("running") <= most).select("conv_id", "turn", "role", "excerpt", "running")
+
+
+def context_breakdown(messages: DataFrame) -> DataFrame:
+    """AGG-21: tokens by role and their share of all."""
+    by = messages.groupBy("role").agg(F.sum(T.estimate_tokens(F.col("text"))).alias("tokens"))
+    return by.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+
+
+def recent(conversations: DataFrame, current: int, n: int = 5) -> DataFrame:
+    """TOP-12: the newest conversations that are neither current nor archived."""
+    return conversations.where((F.col("conv_id") != current) & ~F.coalesce("archived", F.lit(False))).orderBy(F.desc("conv_id")).limit(n)
+
+
+def flatten_blocks(blocks: Column) -> Column:
+    """SCA-63: the text of typed blocks, joined by spaces; other blocks have none."""
+    return F.array_join(F.transform(F.filter(blocks, lambda b: b["type"].isin("text", "tool_result")), lambda b: b["text"]), " ")
+
+
+def block_tokens(blocks: Column) -> Column:
+    """SCA-50: an image costs a fixed count, other blocks their JSON."""
+    return F.aggregate(blocks, F.lit(0).cast("long"), lambda n, b: n + F.when(b["type"].isin("image", "image_url"), IMAGE_TOKENS).otherwise(T.estimate_tokens(F.to_json(b))))

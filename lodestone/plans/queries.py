@@ -1,0 +1,733 @@
+"""The engine's operators as queries over the driver's tables, each with its twin in SQL for DuckDB.
+
+A query takes (spark, sf_dir) and works on whole tables. Sums of doubles are rounded to six places on both sides, for
+their order differs between engines; counts and keys are exact.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import pricing as P
+from lodestone.functions import text as T
+from lodestone.functions import urls as U
+from lodestone.operators import chat, collections, links, research, retrieval, usage
+from lodestone.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+QUESTION = "the station and other things that were in the nation"
+
+
+def query(sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# tables as the operators see them
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("lang").alias("collection"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+
+def named(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with string ids, a source and an age, for the upkeep of collections."""
+    doc = table(spark, d, "documents")
+    return doc.select(F.col("lang").alias("collection"), F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("source_id"), (F.col("doc_id") * 7919 % 1009).cast("double").alias("indexed_at"), F.col("text").alias("content"))
+
+
+NAMED = "(SELECT lang AS collection, source || '_' || doc_id AS id, source AS source_id, (doc_id * 7919 % 1009)::DOUBLE AS indexed_at, text AS content FROM documents)"
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return usage.from_events(table(spark, d, "events"))
+
+
+def rollup(spark: SparkSession, d: str) -> DataFrame:
+    return usage.daily(events(spark, d), "model")
+
+
+_MODELS = " ".join(f"WHEN '{p}' THEN {list(m)}[k % 3 + 1]" for p, m in usage.MODELS.items())
+_STATUS = " ".join(f"WHEN '{a}' THEN '{b if b in usage.STATUSES else 'completed'}'" for a, b in usage.STATUS_OF.items())
+_PEAK = "(dayofweek(ts) BETWEEN 1 AND 5 AND (" + " OR ".join(f"hour(ts) >= {a} AND hour(ts) < {b}" for a, b in P.PEAK_HOURS) + "))"
+USAGE = f"""u0 AS (
+  SELECT event_id, ts, ts::DATE AS day, {list(usage.PROVIDERS)}[user_id % 5 + 1] AS provider, (props->>'$.k')::BIGINT AS k, floor(value * 10)::BIGINT AS prompt, event_type FROM events
+), u AS (
+  SELECT event_id, ts, day, provider, CASE provider {_MODELS} END AS model, greatest(prompt, 0) AS prompt, greatest(k * 5, 0) AS completion, greatest(floor(prompt / 4)::BIGINT, 0) AS cached,
+    CASE event_type {_STATUS} ELSE 'completed' END AS status, event_id % 2 = 0 AS exact, provider IN ('ollama', 'unsloth') AS local, {_PEAK} AS peak, greatest(prompt, 0) + greatest(k * 5, 0) AS total
+  FROM u0 WHERE greatest(prompt, 0) + greatest(k * 5, 0) > 0
+)"""
+TODAY = "(SELECT max(day) FROM u)"
+
+
+# retrieval
+
+
+_COSINE = "least(greatest(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 0), 1)"
+
+
+@query(f"SELECT vec_id AS id, round({_COSINE}, 6) AS score FROM embeddings ORDER BY {_COSINE} DESC, vec_id LIMIT 10")
+def dense_topk(spark, d):
+    """TOP-01, JN-11, SCA-53."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return retrieval.dense_topk(e, e.where("id = 0").select(F.col("embedding").alias("q")), 10).select("id", r6("score").alias("score"))
+
+
+@query("""WITH s AS (SELECT label, vec_id AS id, least(greatest(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 0), 1) AS score FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS rank FROM s)
+SELECT label, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
+def dense_topk_by_label(spark, d):
+    e = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), "embedding")
+    return retrieval.dense_topk(e, e.where("id = 0").select(F.col("embedding").alias("q")), 5, by=("label",)).select("label", "id", r6("score").alias("score"), "rank")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE list_max(embedding) = 0 AND list_min(embedding) = 0) AS zero FROM embeddings")
+def embedding_zero_check(spark, d):
+    return table(spark, d, "embeddings").agg(F.count("*").alias("n"), F.count_if(retrieval.is_zero(F.col("embedding"))).alias("zero"))
+
+
+_POST = """t AS (SELECT lang AS collection, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+p AS (SELECT collection, id, len, term, count(*) AS tf FROM (SELECT collection, id, len(w) AS len, unnest(w) AS term FROM t) GROUP BY ALL),
+st AS (SELECT collection, count(*) AS n_docs, sum(len(w))::BIGINT AS n_tokens, avg(len(w)) AS avg_len FROM t GROUP BY collection)"""
+_BM = f"""WITH {_POST}, df AS (SELECT p.collection, term, count(*) AS df, any_value(n_docs) AS n FROM p JOIN st USING (collection) GROUP BY ALL),
+raw AS (SELECT *, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df), mean AS (SELECT collection, avg(raw) AS mean FROM raw GROUP BY collection),
+idf AS (SELECT collection, term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw JOIN mean USING (collection)),
+qt AS (SELECT term, count(*) AS qf FROM (SELECT unnest(regexp_extract_all(lower('{QUESTION}'), '[a-z0-9]+')) AS term) GROUP BY term),
+sc AS (SELECT p.collection, id, sum(qf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len / avg_len))) AS score
+  FROM p JOIN idf USING (collection, term) JOIN qt USING (term) JOIN st ON st.collection = p.collection GROUP BY ALL HAVING score > 0),
+bm AS (SELECT collection, id, score, least(score / max(score) OVER (PARTITION BY collection), 1) AS normalized FROM sc),
+bl AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY round(score, 9) DESC, id) - 1 AS rank0 FROM bm)"""
+
+
+@query(f"WITH {_POST} SELECT collection, term, count(*) AS df, sum(tf)::BIGINT AS tf FROM p GROUP BY ALL")
+def bm25_terms(spark, d):
+    """AGG-14, SCA-06."""
+    return retrieval.postings(chunks(spark, d)).groupBy("collection", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(f"WITH {_POST} SELECT collection, n_docs, n_tokens, round(avg_len, 6) AS avg_len FROM st")
+def bm25_stats(spark, d):
+    return retrieval.corpus_stats(chunks(spark, d)).withColumn("avg_len", r6("avg_len"))
+
+
+@query(f"{_BM} SELECT collection, id, round(score, 6) AS score, round(normalized, 6) AS normalized FROM bm")
+def bm25_normalized(spark, d):
+    """SCA-54, AGG-15."""
+    return retrieval.bm25(chunks(spark, d), QUESTION).select("collection", "id", r6("score").alias("score"), r6("normalized").alias("normalized"))
+
+
+@query(f"{_BM} SELECT collection, id, rank0::INT AS rank0 FROM bl WHERE rank0 < 10")
+def bm25_topk(spark, d):
+    """TOP-02."""
+    hits = retrieval.bm25(chunks(spark, d), QUESTION).withColumn("score", F.round("score", 9))
+    return retrieval.ranked(hits, "score", 10).select("collection", "id", F.col("rank0").cast("int").alias("rank0"))
+
+
+def _vectors(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return e, e.where("id = 0").select(F.col("embedding").alias("q"))
+
+
+_DENSE = """dn AS (SELECT lang AS collection, vec_id AS id, least(greatest(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 0), 1) AS score
+  FROM embeddings JOIN documents ON doc_id = vec_id), dl AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, id) - 1 AS rank0 FROM dn)"""
+_FUSED = f"""{_BM}, {_DENSE}, f AS (SELECT id, sum(1.0::DOUBLE / (60 + r + 1)) AS rrf FROM (
+  SELECT id, row_number() OVER (ORDER BY collection, rank0) - 1 AS r FROM bl WHERE rank0 < 20 UNION ALL SELECT id, row_number() OVER (ORDER BY collection, rank0) - 1 AS r FROM dl WHERE rank0 < 20) GROUP BY id)"""
+
+
+def _lists(spark, d, k):
+    e, q = _vectors(spark, d)
+    c = chunks(spark, d)
+    dense = retrieval.dense_topk(c.join(e, "id"), q, k, by=("collection",)).withColumn("rank0", F.col("rank") - 1)
+    lexical = retrieval.ranked(retrieval.bm25(c, QUESTION).withColumn("score", F.round("score", 9)), "score", k)
+    return dense, lexical
+
+
+@query(f"{_FUSED} SELECT id, round(rrf, 9) AS rrf FROM f")
+def rrf_fusion(spark, d):
+    """JN-01, WIN-01, SCA-55."""
+    dense, lexical = _lists(spark, d, 20)
+    return retrieval.rrf(retrieval.listed(lexical), retrieval.listed(dense)).select("id", F.round("rrf", 9).alias("rrf"))
+
+
+@query(f"""{_FUSED} SELECT f.id, round(rrf, 9) AS rrf, round(coalesce(d.score, b.normalized, 0), 6) AS score FROM f
+LEFT JOIN (SELECT * FROM dl WHERE rank0 < 20) d ON d.id = f.id LEFT JOIN (SELECT * FROM bl WHERE rank0 < 20) b ON b.id = f.id ORDER BY round(rrf, 9) DESC, f.id LIMIT 10""")
+def hybrid_search(spark, d):
+    """PIP-01, JN-02."""
+    dense, lexical = _lists(spark, d, 20)
+    fused = retrieval.rrf(retrieval.listed(lexical), retrieval.listed(dense)).withColumn("rrf", F.round("rrf", 9))
+    shown = fused.join(dense.select("id", F.col("score").alias("a")), "id", "left").join(lexical.select("id", F.col("normalized").alias("b")), "id", "left")
+    return shown.select("id", "rrf", r6(F.coalesce("a", "b", F.lit(0.0))).alias("score")).orderBy(F.desc("rrf"), "id").limit(10)
+
+
+@query(f"{_BM} SELECT round(least(avg(normalized), 1), 6) AS coverage FROM (SELECT normalized FROM bm ORDER BY normalized DESC LIMIT 3)")
+def coverage_score(spark, d):
+    """AGG-17."""
+    return retrieval.coverage(retrieval.bm25(chunks(spark, d), QUESTION).select(F.col("normalized").alias("score"))).select(r6("coverage").alias("coverage"))
+
+
+# collections
+
+
+@query("SELECT coalesce(lang, '*') AS collection, count(*) AS n_chunks FROM documents GROUP BY ROLLUP (lang)")
+def collection_stats_rollup(spark, d):
+    """AGG-12, SRC-04."""
+    return collections.stats(named(spark, d))
+
+
+@query(f"SELECT collection, id, source_id FROM {NAMED} ORDER BY collection, id LIMIT 50 OFFSET 100")
+def export_page(spark, d):
+    """SNK-04, TOP-09."""
+    return collections.export_page(named(spark, d), 100, 50).select("collection", "id", "source_id")
+
+
+@query(f"SELECT collection, id FROM {NAMED} WHERE collection = 'en' AND id NOT IN (SELECT id FROM {NAMED} WHERE collection = 'en' ORDER BY indexed_at, id LIMIT 100)")
+def evict_oldest(spark, d):
+    """TOP-04, DML-03."""
+    return collections.evict_oldest(named(spark, d).where("collection = 'en'"), 100).select("collection", "id")
+
+
+@query(f"""SELECT collection, id FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY indexed_at, id) AS r, greatest(1, floor(count(*) OVER (PARTITION BY collection) * 0.2::DOUBLE)) AS k FROM {NAMED}) WHERE r > k""")
+def evict_share(spark, d):
+    """DML-04."""
+    return collections.evict_share(named(spark, d)).select("collection", "id")
+
+
+@query(f"SELECT collection, id FROM {NAMED} WHERE NOT (id = 'src1' OR starts_with(id, 'src1_') OR starts_with(id, 'src1#') OR source_id = 'src1' OR starts_with(source_id, 'src1#'))")
+def delete_by_prefix(spark, d):
+    """FLT-03, DML-05, JN-08."""
+    return collections.delete(named(spark, d), prefixes=["src1"]).select("collection", "id")
+
+
+@query(f"""SELECT collection, id FROM {NAMED} WHERE source_id <> 'src2' AND id <> 'src2' AND NOT starts_with(id, 'src2_')
+UNION ALL SELECT collection, 'src2_new' || (row_number() OVER (ORDER BY id)) AS id FROM (SELECT * FROM {NAMED} WHERE source_id = 'src3')""")
+def replace_source(spark, d):
+    """DML-01, DML-02."""
+    from pyspark.sql import Window
+
+    have = named(spark, d)
+    new = have.where("source_id = 'src3'").withColumn("id", F.concat(F.lit("src2_new"), F.row_number().over(Window.orderBy("id")))).withColumn("source_id", F.lit("src2"))
+    return collections.upsert(have, new, ["src2"], cap=10**9).select("collection", "id")
+
+
+@query(f"SELECT collection, round(sum(strlen(content)) / 1048576.0::DOUBLE, 6) AS mib FROM {NAMED} GROUP BY collection")
+def storage_estimate(spark, d):
+    """MSC-04."""
+    return collections.storage_mb(named(spark, d)).withColumn("mib", r6("mib"))
+
+
+# usage
+
+
+_SUMS = """sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, sum(cached)::BIGINT AS cached_hit, sum(total)::BIGINT AS total, coalesce(sum(total) FILTER (exact), 0)::BIGINT AS exact,
+coalesce(sum(total) FILTER (NOT exact), 0)::BIGINT AS estimated, coalesce(sum(total) FILTER (local), 0)::BIGINT AS local_tokens, coalesce(sum(total) FILTER (NOT local), 0)::BIGINT AS remote_tokens, count(*) AS events"""
+_NAMES = ("prompt", "completion", "cached_hit", "total", "exact", "estimated", "local_tokens", "remote_tokens", "events")
+
+
+@query(f"WITH {USAGE} SELECT day, provider, {_SUMS} FROM u GROUP BY ALL")
+def usage_daily(spark, d):
+    """AGG-01."""
+    return usage.daily(events(spark, d)).select("day", "provider", *_NAMES)
+
+
+@query(f"WITH {USAGE} SELECT day, provider, model, {_SUMS} FROM u GROUP BY ALL")
+def usage_by_model(spark, d):
+    """AGG-02."""
+    return usage.daily(events(spark, d), "model").select("day", "provider", "model", *_NAMES)
+
+
+@query(f"WITH {USAGE} SELECT day, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'stopped') AS stopped, count(*) FILTER (status = 'tool-call-turn') AS tool_call_turn FROM u GROUP BY day")
+def usage_status_pivot(spark, d):
+    """AGG-03."""
+    return usage.status_pivot(events(spark, d))
+
+
+@query(f"""WITH {USAGE} SELECT day, coalesce(sum(prompt) FILTER (peak), 0)::BIGINT AS peak_prompt, coalesce(sum(completion) FILTER (peak), 0)::BIGINT AS peak_completion, coalesce(sum(cached) FILTER (peak), 0)::BIGINT AS peak_hit,
+coalesce(sum(prompt) FILTER (NOT peak), 0)::BIGINT AS off_prompt, coalesce(sum(completion) FILTER (NOT peak), 0)::BIGINT AS off_completion, coalesce(sum(cached) FILTER (NOT peak), 0)::BIGINT AS off_hit FROM u WHERE provider = 'deepseek' GROUP BY day""")
+def usage_tiers(spark, d):
+    """AGG-04, FLT-19."""
+    return usage.daily(events(spark, d)).where("provider = 'deepseek'").select("day", "peak_prompt", "peak_completion", "peak_hit", "off_prompt", "off_completion", "off_hit")
+
+
+_RANGE = f"""rg AS (SELECT * FROM (VALUES ('day', 1), ('week', 7), ('month', 30), ('year', 365), ('all', NULL)) x(range_key, n)), dd AS (SELECT day, sum(total)::BIGINT AS total, sum(prompt)::BIGINT AS prompt,
+sum(completion)::BIGINT AS completion, coalesce(sum(total) FILTER (exact), 0)::BIGINT AS exact, coalesce(sum(total) FILTER (local), 0)::BIGINT AS local_tokens, count(*) AS events FROM u GROUP BY day),
+sm AS (SELECT range_key, sum(total)::BIGINT AS total, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, sum(exact)::BIGINT AS exact, sum(local_tokens)::BIGINT AS local_tokens, sum(events)::BIGINT AS events,
+count(*) AS active_days, arg_max(day, (total, -epoch(day))) AS most_active_day, coalesce(sum(total) FILTER (day = {TODAY}), 0)::BIGINT AS today_tokens FROM rg JOIN dd ON n IS NULL OR day > {TODAY} - n GROUP BY range_key),
+pv AS (SELECT range_key, coalesce(sum(total), 0)::BIGINT AS previous_total, coalesce(sum(local_tokens), 0)::BIGINT AS previous_local FROM rg LEFT JOIN dd ON day <= {TODAY} - n AND day > {TODAY} - 2 * n GROUP BY range_key)"""
+
+
+@query(f"WITH {USAGE}, {_RANGE} SELECT range_key, total, prompt, completion, exact, local_tokens, events, active_days, round(local_tokens / total::DOUBLE, 6) AS local_share FROM sm")
+def usage_summary_ranges(spark, d):
+    """AGG-05, PIP-08."""
+    return usage.summary_ranges(rollup(spark, d)).select("range_key", "total", "prompt", "completion", "exact", "local_tokens", "events", F.col("active_days").cast("long").alias("active_days"), r6("local_share").alias("local_share"))
+
+
+@query(f"""WITH {USAGE}, {_RANGE} SELECT range_key, previous_total, CASE WHEN previous_total > 0 THEN round((total - previous_total) / previous_total::DOUBLE, 6) END AS token_trend, today_tokens,
+floor(total / active_days::DOUBLE + 0.5)::BIGINT AS daily_average FROM sm JOIN pv USING (range_key)""")
+def usage_trend(spark, d):
+    """AGG-07, AGG-08."""
+    return usage.summary_ranges(rollup(spark, d)).select("range_key", "previous_total", r6("token_trend").alias("token_trend"), "today_tokens", "daily_average")
+
+
+@query(f"WITH {USAGE}, {_RANGE} SELECT range_key, most_active_day FROM sm")
+def usage_most_active_day(spark, d):
+    """AGG-06."""
+    return usage.summary_ranges(rollup(spark, d)).select("range_key", "most_active_day")
+
+
+@query(f"""WITH {USAGE}, sp AS (SELECT ({TODAY} - i::INT)::DATE AS day FROM range(14) r(i)), t AS (SELECT sp.day, coalesce(sum(total), 0)::BIGINT AS total FROM sp LEFT JOIN u ON u.day = sp.day GROUP BY sp.day)
+SELECT day, total, greatest(3, floor(total / greatest(max(total) OVER (), 1)::DOUBLE * 100 + 0.5))::BIGINT AS bar FROM t""")
+def usage_timeline14(spark, d):
+    """WIN-03, AGG-26."""
+    return usage.timeline(rollup(spark, d))
+
+
+@query(f"""WITH {USAGE}, dl AS (SELECT day FROM u GROUP BY day HAVING coalesce(sum(total) FILTER (local), 0) > 0), i AS (SELECT day, day - (row_number() OVER (ORDER BY day))::INT AS g FROM dl)
+SELECT {TODAY} AS today, coalesce((SELECT count(*) FROM i WHERE g = (SELECT g FROM i WHERE day = {TODAY})), 0) AS local_streak""")
+def usage_local_streak(spark, d):
+    """WIN-04."""
+    return usage.local_streak(rollup(spark, d))
+
+
+@query(f"""WITH {USAGE}, t AS (SELECT sum(total) AS total, coalesce(sum(total) FILTER (local), 0) AS local, count(DISTINCT day) AS days FROM u)
+SELECT unnest(['first-reply', 'local-seed', 'local-10k', 'mostly-local', 'seven-days']) AS milestone, unnest([total > 0, local > 0, local >= 10000, total > 0 AND local / total::DOUBLE >= 0.5, days >= 7]) AS achieved FROM t""")
+def usage_milestones(spark, d):
+    """AGG-09."""
+    return usage.milestones(rollup(spark, d))
+
+
+@query(f"""WITH {USAGE}, m AS (SELECT provider, model, sum(total)::BIGINT AS total, count(*) AS events FROM u GROUP BY ALL)
+SELECT * FROM (SELECT *, round(total / (sum(total) OVER ())::DOUBLE, 6) AS share, (row_number() OVER (ORDER BY total DESC, provider, model))::INT AS rank FROM m) WHERE rank <= 6""")
+def usage_top_models(spark, d):
+    """TOP-07, WIN-02."""
+    return usage.shares(rollup(spark, d), "provider", "model", top=6).withColumn("share", r6("share"))
+
+
+_RATES = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in P.FLAT_RATES.items())
+_FALL = lambda i: "CASE provider " + " ".join(f"WHEN '{p}' THEN {r[i]}::DOUBLE" for p, r in P.PROVIDER_RATES.items()) + f" ELSE {P.DEFAULT_RATE[i]}::DOUBLE END"
+_PRICED = f"""rt AS (SELECT * FROM (VALUES {_RATES}) x(key, rin, rout)), um AS (SELECT DISTINCT provider, model FROM u), pm AS (
+SELECT provider, model, arg_max(key, length(key)) AS price_key, coalesce(arg_max(rin, length(key)), {_FALL(0)}) AS rate_in, coalesce(arg_max(rout, length(key)), {_FALL(1)}) AS rate_out
+FROM um LEFT JOIN rt ON contains(lower(trim(model)), key) GROUP BY provider, model)"""
+
+
+@query(f"WITH {USAGE}, {_PRICED} SELECT * FROM pm")
+def model_price_match(spark, d):
+    """JN-04."""
+    return P.match_price(events(spark, d).select("provider", "model").distinct())
+
+
+@query(f"WITH {USAGE}, {_PRICED} SELECT provider, model, any_value(price_key) AS price_key, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, round(sum(prompt) / 1e6 * any_value(rate_in) + sum(completion) / 1e6 * any_value(rate_out), 6) AS cost FROM u JOIN pm USING (provider, model) GROUP BY ALL")
+def usage_cost(spark, d):
+    """AGG-10, SCA-44: each model's own tokens."""
+    return usage.cost_by_model(rollup(spark, d)).withColumn("cost", r6("cost"))
+
+
+_CARD = lambda k, peak: "CASE WHEN trim(model) = 'deepseek-v4-pro' THEN {} ELSE {} END".format(P.TIER_RATES["deepseek-v4-pro"][peak][k], P.TIER_RATES["deepseek-flash"][peak][k])
+_TIER = lambda p, c, h, peak: f"((least({p}, {h}) * {_CARD(0, peak)} + ({p} - least({p}, {h})) * {_CARD(1, peak)} + {c} * {_CARD(2, peak)}) / 1e6)"
+
+
+@query(f"""WITH {USAGE}, g AS (SELECT day, model, peak, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, sum(cached)::BIGINT AS hit FROM u WHERE provider = 'deepseek' GROUP BY ALL)
+SELECT day, model, peak, prompt, completion, hit, round(CASE WHEN peak THEN {_TIER("prompt", "completion", "hit", 1)} ELSE {_TIER("prompt", "completion", "hit", 0)} END, 6) AS cost FROM g""")
+def usage_cost_tiered(spark, d):
+    """SCA-45, JN-05."""
+    return usage.tiered_costs(events(spark, d)).withColumn("cost", r6("cost"))
+
+
+@query(f"""WITH {USAGE}, {_PRICED}, m AS (SELECT provider, model, sum(total)::DOUBLE AS total FROM u GROUP BY ALL), g AS (SELECT sum(total)::DOUBLE AS t, sum(prompt)::DOUBLE AS p, sum(completion)::DOUBLE AS c FROM u),
+ds AS (SELECT coalesce(sum(prompt) FILTER (peak), 0)::DOUBLE AS pp, coalesce(sum(completion) FILTER (peak), 0)::DOUBLE AS pc, coalesce(sum(cached) FILTER (peak), 0)::DOUBLE AS ph, coalesce(sum(prompt) FILTER (NOT peak), 0)::DOUBLE AS op,
+ coalesce(sum(completion) FILTER (NOT peak), 0)::DOUBLE AS oc, coalesce(sum(cached) FILTER (NOT peak), 0)::DOUBLE AS oh, sum(total)::DOUBLE AS total FROM u WHERE provider = 'deepseek'),
+fm AS (SELECT arg_max(model, total) AS model FROM m WHERE provider = 'deepseek'), tc AS (SELECT {_TIER("pp", "pc", "ph", 1)} + {_TIER("op", "oc", "oh", 0)} AS cost, total FROM ds, fm)
+SELECT m.provider, m.model, m.total::BIGINT AS total, round(CASE WHEN m.provider = 'deepseek' THEN (SELECT cost / total FROM tc) * m.total ELSE floor(p * m.total / t + 0.5) / 1e6 * rate_in + floor(c * m.total / t + 0.5) / 1e6 * rate_out END, 6) AS cost
+FROM m JOIN pm USING (provider, model), g""")
+def usage_cost_by_share(spark, d):
+    """AGG-10: the summary's split by share."""
+    return usage.cost_by_share(rollup(spark, d)).withColumn("cost", r6("cost"))
+
+
+@query(f"""WITH {USAGE}, {_PRICED}, c AS (SELECT provider, sum(prompt / 1e6 * rate_in + completion / 1e6 * rate_out) AS cost FROM u JOIN pm USING (provider, model) GROUP BY provider)
+SELECT provider, round(cost, 6) AS cost, round(least(cost / 5.0::DOUBLE, 1), 6) AS progress, CASE WHEN cost / 5.0::DOUBLE >= 0.9 THEN 'danger' WHEN cost / 5.0::DOUBLE >= 0.8 THEN 'warn' ELSE 'ok' END AS level FROM c""")
+def budget_progress(spark, d):
+    """AGG-22."""
+    costs = usage.cost_by_model(rollup(spark, d)).groupBy("provider").agg(F.sum("cost").alias("cost"))
+    return usage.budget_progress(costs, 5.0).withColumn("cost", r6("cost")).withColumn("progress", r6("progress"))
+
+
+_STAGE = lambda x: "CASE " + " ".join(f"WHEN {x} >= {n} THEN '{k}'" for n, k in reversed(P.XP_STAGES)) + " END"
+
+
+@query(f"WITH {USAGE} SELECT provider, sum(total)::BIGINT AS xp, count(*) FILTER (status <> 'tool-call-turn') AS replies, {_STAGE('sum(total)')} AS stage FROM u GROUP BY provider")
+def xp_totals(spark, d):
+    """AGG-11, SCA-47."""
+    return usage.xp(events(spark, d)).select("provider", "xp", "replies", "stage")
+
+
+@query(f"""WITH {USAGE}, r AS (SELECT provider, event_id, total, sum(total) OVER (PARTITION BY provider ORDER BY day, ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS xp FROM u),
+s AS (SELECT provider, event_id, {_STAGE('xp - total')} AS from_stage, {_STAGE('xp')} AS to_stage, xp FROM r) SELECT * FROM s WHERE from_stage <> to_stage AND to_stage <> 'hatchling'""")
+def xp_stage_ups(spark, d):
+    """WIN-05, STR-08 in batch."""
+    return usage.stage_ups(events(spark, d))
+
+
+@query(f"""WITH {USAGE}, {_RANGE}, x AS (SELECT (SELECT total FROM sm WHERE range_key = 'all') AS total, (SELECT local_tokens / total::DOUBLE FROM sm WHERE range_key = 'month') AS share,
+(SELECT CASE WHEN previous_total > 0 THEN local_tokens / total::DOUBLE - previous_local / previous_total::DOUBLE END FROM sm JOIN pv USING (range_key) WHERE range_key = 'month') AS trend)
+SELECT CASE {" ".join(f"WHEN total >= {n} THEN '{k}'" for n, k in reversed(P.COMPANION_STAGES))} END AS stage, CASE WHEN total = 0 THEN 'Dreaming of first tokens' WHEN share >= 0.75 THEN 'Homestead Hero' WHEN share >= 0.4 THEN 'Balanced Buddy'
+WHEN share > 0 AND coalesce(trend, 0) > 0.05 THEN 'Rooting In' WHEN share > 0 THEN 'Cloud Curious' ELSE 'Cloud Surfer' END AS mood FROM x""")
+def companion_mood(spark, d):
+    """SCA-48."""
+    return usage.companion(rollup(spark, d))
+
+
+@query("SELECT event_id, min(ts)::TIMESTAMP AS ts FROM (SELECT event_id // 3 AS event_id, ts FROM events) GROUP BY event_id")
+def dedup_events(spark, d):
+    """STR-06 in batch, over ids made to repeat."""
+    e = table(spark, d, "events").select(F.expr("event_id div 3").alias("event_id"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return usage.dedup_events(e)
+
+
+@query("""SELECT event_id, user_id FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events) WHERE g IS NULL OR g > 8000000""")
+def query_dedup_window(spark, d):
+    """SET-07, STR-09."""
+    return usage.dedup_window(table(spark, d, "events"), "user_id", "ts").select("event_id", "user_id")
+
+
+@query(f"WITH {USAGE} SELECT day, provider, sum(total)::BIGINT AS total FROM u WHERE day > {TODAY} - 7 GROUP BY ALL")
+def usage_retained(spark, d):
+    """STR-11."""
+    return usage.retained(usage.daily(events(spark, d)), 7).select("day", "provider", "total")
+
+
+# pages and links
+
+
+_DROP = " ".join(f"(?is)<{t}.*?</{t}>" for t in T.DROPPED)
+
+
+def _html_sql(x: str) -> str:
+    out = f"regexp_replace(coalesce({x}, ''), '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in T.DROPPED:
+        out = f"regexp_replace({out}, '(?is)<{tag}.*?</{tag}>', ' ', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(?i)<li[^>]*>', chr(10) || '- ', 'g'), '(?i)<br\\s*/?>', chr(10), 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(?i)</({T.BREAKING})>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+    for name, sign in T.ENTITIES.items():
+        if name != "amp":
+            sign = sign.replace("'", "''")
+            out = f"replace({out}, '&{name};', '{sign}')"
+    out = f"replace({out}, '&amp;', '&')"
+    out = f"regexp_replace(regexp_replace(regexp_replace({out}, '[ \\t\\f\\x0B]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
+def html_to_text(spark, d):
+    """SCA-01."""
+    return table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+_HOST = lambda u: f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+_ANCHORS = f"""an AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"[^>]*>(.*?)</a>', 2) AS t FROM pages),
+fl AS (SELECT page_id, url, unnest(range(len(h))) AS pos, unnest(h) AS raw, unnest(t) AS txt FROM an),
+lk AS (SELECT page_id, url, pos::INT AS pos, regexp_replace(CASE WHEN regexp_matches(raw, '(?i)^https?://') THEN raw ELSE regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1) || raw END, '#.*$', '') AS href,
+ trim(regexp_replace(regexp_replace(txt, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM fl), ln AS (SELECT *, {_HOST('href')} <> {_HOST('url')} AS external FROM lk)"""
+
+
+@query(f"WITH {_ANCHORS} SELECT page_id, pos, href, text, external FROM ln")
+def page_links(spark, d):
+    """TAB-01, SCA-30, SCA-31: every link of every page; all of the tables' addresses are absolute or from the root."""
+    return links.anchors(table(spark, d, "pages")).select("page_id", "pos", "href", "text", "external")
+
+
+@query(f"WITH {_ANCHORS} SELECT page_id, count(*) AS n_links, count(DISTINCT lower(regexp_replace(href, '/+$', ''))) AS n_distinct, count(*) FILTER (external) AS n_external FROM ln GROUP BY page_id")
+def link_counts(spark, d):
+    return links.anchors(table(spark, d, "pages")).groupBy("page_id").agg(F.count("*").alias("n_links"), F.countDistinct(U.link_key(F.col("href"))).alias("n_distinct"), F.count_if("external").alias("n_external"))
+
+
+_NORM = f"""{_ANCHORS}, nk AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(regexp_replace(href, '/+$', '')) ORDER BY pos) AS f FROM ln WHERE NOT regexp_matches(href, '{U.NOISE}') AND NOT regexp_matches(href, '{U.ASSET}')),
+nm AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM nk WHERE f = 1)"""
+
+
+@query(f"WITH {_NORM} SELECT page_id, pos, href, rank::INT AS rank FROM nm WHERE rank <= 25")
+def links_normalized(spark, d):
+    """TAB-17, FLT-06, SET-05, TOP-08."""
+    return links.normalized(links.anchors(table(spark, d, "pages")), 25).select("page_id", "pos", "href", "rank")
+
+
+_OCC = lambda hay: " + ".join(f"(length({hay}) - length(replace({hay}, '{w}', ''))) // {len(w)}" for w in ("anthe", "thing", "ing"))
+
+
+@query(f"WITH {_ANCHORS} SELECT page_id, pos, ({_OCC('h')})::BIGINT AS score FROM (SELECT *, lower(text || '  ' || href) AS h FROM ln)")
+def link_scores(spark, d):
+    """SCA-07, SCA-09."""
+    return links.scored(links.anchors(table(spark, d, "pages")), "anthe the thing guide ing").select("page_id", "pos", "score")
+
+
+@query(f"""WITH {_ANCHORS}, s AS (SELECT *, ({_OCC('h')})::BIGINT AS score, lower(regexp_replace(trim(href), '/+$', '')) AS k FROM (SELECT *, lower(text || '  ' || href) AS h FROM ln)),
+c AS (SELECT lower(regexp_replace(trim(url), '/+$', '')) AS k FROM pages WHERE page_id % 2 = 0), f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, external::INT, href, page_id, pos) AS r FROM s WHERE score > 0 AND k NOT IN (SELECT k FROM c))
+SELECT href, score, external FROM f WHERE r = 1 ORDER BY score DESC, external::INT, href LIMIT 10""")
+def follow_links(spark, d):
+    """TOP-06, JN-07, FLT-04."""
+    p = table(spark, d, "pages")
+    return links.follow(links.scored(links.anchors(p), "anthe the thing guide ing"), p.where("page_id % 2 = 0")).select("href", "score", "external")
+
+
+@query("""SELECT page_id, lower(regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '')) AS search_key, lower(regexp_replace(trim(url), '/+$', '')) AS branch_key, lower(regexp_replace(url, '/+$', '')) AS link_key FROM pages""")
+def url_keys(spark, d):
+    """SCA-32."""
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", U.search_key(u).alias("search_key"), U.branch_key(u).alias("branch_key"), U.link_key(u).alias("link_key"))
+
+
+_HOSTS = ["example.com", "localhost", "10.0.0.5", "172.20.1.1", "172.32.1.1", "192.168.1.9", "192.0.66.7", "100.64.0.1", "198.19.4.4", "224.0.0.1", "8.8.8.8", "printer.local", "[::1]", "[fe80::1]", "[2001:db8::1]", "[::ffff:10.1.1.1]"]
+_BLOCKED = ["localhost", "10.0.0.5", "172.20.1.1", "192.168.1.9", "100.64.0.1", "198.19.4.4", "224.0.0.1", "printer.local", "[::1]", "[fe80::1]", "[::ffff:10.1.1.1]"]
+
+
+@query(f"""WITH x AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'ftp' ELSE 'http' END AS s, {_HOSTS}[page_id % {len(_HOSTS)} + 1] AS h FROM pages)
+SELECT page_id, s || '://' || h || '/x' AS url, CASE WHEN s = 'ftp' THEN 'bad-scheme' WHEN h IN ({", ".join(repr(h) for h in _BLOCKED)}) THEN 'blocked-host' END AS code FROM x""")
+def url_guard(spark, d):
+    """FLT-07, FLT-08, FLT-09: hosts of each kind beside the pages."""
+    host = F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("page_id") % len(_HOSTS) + 1).cast("int"))
+    u = F.concat(F.when(F.col("page_id") % 4 == 0, "ftp").otherwise("http"), F.lit("://"), host, F.lit("/x"))
+    return table(spark, d, "pages").select("page_id", u.alias("url"), U.guard(u).alias("code"))
+
+
+def _results(spark, d):
+    p = table(spark, d, "pages")
+    return p.select((F.col("page_id") % 3).alias("list"), F.col("page_id").alias("pos"), F.regexp_replace("url", r"\d+", "").alias("url"), F.concat(F.lit("t"), "page_id").alias("title"), (F.col("page_id") % 7).cast("double").alias("score"))
+
+
+_MERGED = """rs AS (SELECT page_id % 3 AS list, page_id AS pos, regexp_replace(url, '\\d+', '', 'g') AS url, 't' || page_id AS title, (page_id % 7)::DOUBLE AS score FROM pages),
+mg AS (SELECT lower(regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '')) AS key, count(*) AS count, array_to_string(list_sort(list_distinct(list(list))), ',') AS matched_by, arg_min(url, (list, pos)) AS url, arg_min(title, (list, pos)) AS title, arg_min(score, (list, pos)) AS score, min((list, pos)) AS first FROM rs GROUP BY 1)"""
+
+
+@query(f"WITH {_MERGED} SELECT key, count, matched_by, url, title, score FROM mg")
+def merge_results(spark, d):
+    """AGG-16, SET-01."""
+    return links.merge(_results(spark, d)).drop("first")
+
+
+@query(f"WITH {_MERGED} SELECT key, count, matched_by, url, title, score FROM mg ORDER BY count DESC, score DESC, first LIMIT 10")
+def best_results(spark, d):
+    """TOP-05."""
+    return links.best_results(links.merge(_results(spark, d)), 10)
+
+
+@query("SELECT page_id FROM pages WHERE lower(regexp_replace(trim(url), '/+$', '')) NOT IN (SELECT lower(regexp_replace(trim(url), '/+$', '')) FROM pages WHERE page_id % 5 = 0)")
+def novel_urls(spark, d):
+    """JN-06, SET-04."""
+    p = table(spark, d, "pages").select("page_id", "url")
+    return links.novel_or_all(p, p.where("page_id % 5 = 0").select("url")).select("page_id")
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(lower(u), '/20\\d{2}/\\d{2}/\\d{2}/|/(article|news|blog|story|post|updates)/') THEN 6 ELSE 168 END AS ttl_hours FROM (SELECT page_id, replace(url, '/en/', '/news/') AS u FROM pages)")
+def ttl_recommendation(spark, d):
+    """SCA-34."""
+    return table(spark, d, "pages").select("page_id", T.ttl_hours(F.replace("url", F.lit("/en/"), F.lit("/news/"))).alias("ttl_hours"))
+
+
+@query("""WITH x AS (SELECT page_id, replace(replace(url, '.example.org', '.edu'), 'blog.', 'wordpress.') || '?y=20' || (10 + page_id % 16) AS u FROM pages), h AS (SELECT *, lower(split_part(regexp_replace(u, '(?i)^https?://', ''), '/', 1)) AS h FROM x)
+SELECT page_id, regexp_extract(u, '\\b((19|20)\\d{2})\\b', 1) AS recency, CASE WHEN regexp_matches(h, '(\\.gov|\\.edu|\\.mil)$') OR regexp_matches(h, 'arxiv\\.|acm\\.org|ieee\\.|nature\\.com|science\\.org') THEN 'high'
+WHEN regexp_matches(h, 'wikipedia|medium|wordpress|blogspot|reddit|quora|stackoverflow|github|substack|forum') THEN 'low' ELSE 'medium' END AS reliability FROM h""")
+def source_reliability(spark, d):
+    """SCA-28."""
+    u = F.concat(F.replace(F.replace("url", F.lit(".example.org"), F.lit(".edu")), F.lit("blog."), F.lit("wordpress.")), F.lit("?y=20"), (F.col("page_id") % 16 + 10).cast("string"))
+    return table(spark, d, "pages").select("page_id", T.recency(u).alias("recency"), T.reliability(u).alias("reliability"))
+
+
+# conversations
+
+
+@query("SELECT conv_id, count(*) AS n_hits FROM conversations WHERE contains(lower(text), 'theon') GROUP BY conv_id")
+def conv_search(spark, d):
+    """FLT-02."""
+    return chat.search(table(spark, d, "conversations"), "TheOn")
+
+
+@query("""WITH f AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS t FROM conversations GROUP BY conv_id), l AS (SELECT conv_id, trim(regexp_replace(coalesce(t, ''), '\\n+', ' ', 'g')) AS t FROM f)
+SELECT conv_id, CASE WHEN t = '' THEN 'New conversation' WHEN length(t) > 60 THEN substr(t, 1, 60) || '…' ELSE t END AS title FROM l""")
+def conv_titles(spark, d):
+    """SCA-18."""
+    return chat.titles(table(spark, d, "conversations"))
+
+
+@query("SELECT conv_id, sum(6 + ceil(length(role) / 4.0::DOUBLE)::BIGINT + ceil(length(text) / 4.0::DOUBLE)::BIGINT)::BIGINT AS tokens, count(*) AS messages FROM conversations GROUP BY conv_id")
+def conv_token_estimate(spark, d):
+    """SCA-49, SCA-50."""
+    return chat.token_estimates(table(spark, d, "conversations"))
+
+
+def _size():
+    return F.length("role") + F.length("text") + 30
+
+
+_CS = "SELECT *, length(role) + length(text) + 30 AS s FROM conversations"
+
+
+@query(f"""WITH c AS ({_CS}), w AS (SELECT *, sum(s) OVER o + count(*) OVER o + 1 AS tail FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT conv_id, min(turn) FILTER (tail <= 900) AS fit, max(turn) FILTER (role = 'user') AS usr, min(turn) AS first, count(*) AS n FROM w GROUP BY conv_id), z AS (SELECT *, CASE WHEN usr IS NULL THEN first ELSE least(coalesce(fit, usr), usr) END AS st FROM g)
+SELECT conv_id, st AS start_turn, st - first AS folded, n FROM z""")
+def conv_budget_tail(spark, d):
+    """WIN-07."""
+    return chat.budget_tail(table(spark, d, "conversations"), 900, _size())
+
+
+@query(f"""WITH c AS ({_CS}), w AS (SELECT *, sum(s) OVER o AS sm, count(*) OVER o AS k, count(*) OVER p AS n, sum(s) OVER p AS al, first_value(s) OVER (PARTITION BY conv_id ORDER BY turn) AS hd FROM c
+WINDOW o AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY conv_id)) SELECT conv_id, turn, role FROM w WHERE n <= 4 OR al + n + 1 <= 1200 OR k = n OR k = 1 OR (k < n AND hd + sm + k + 2 <= 1200)""")
+def conv_system_suffix(spark, d):
+    """WIN-08."""
+    return chat.system_suffix(table(spark, d, "conversations"), 1200, _size())
+
+
+@query("""SELECT conv_id, turn, role, excerpt, running FROM (SELECT conv_id, turn, role, substr(text, 1, 200) AS excerpt, sum(length(substr(text, 1, 200))) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM conversations) WHERE running <= 700""")
+def conv_excerpt(spark, d):
+    """WIN-10."""
+    return chat.excerpt(table(spark, d, "conversations"), 700, 200)
+
+
+@query("WITH t AS (SELECT role, sum(ceil(length(text) / 4.0::DOUBLE)::BIGINT)::BIGINT AS tokens FROM conversations GROUP BY role) SELECT role, tokens, round(tokens / (sum(tokens) OVER ())::DOUBLE, 6) AS share FROM t")
+def context_breakdown(spark, d):
+    """AGG-21."""
+    return chat.context_breakdown(table(spark, d, "conversations")).withColumn("share", r6("share"))
+
+
+@query("SELECT conv_id FROM (SELECT conv_id, conv_id % 3 = 0 AS archived FROM conversations GROUP BY conv_id) WHERE conv_id <> 5 AND NOT archived ORDER BY conv_id DESC LIMIT 5")
+def recent_chats(spark, d):
+    """TOP-12, FLT-01."""
+    c = table(spark, d, "conversations").select("conv_id").distinct().withColumn("archived", F.col("conv_id") % 3 == 0)
+    return chat.recent(c, 5).select("conv_id")
+
+
+# queries and code
+
+
+_INTENT = "CASE " + " ".join(f"WHEN regexp_matches(q, '{p}') THEN '{n}'" for n, p in T.INTENTS) + " ELSE 'general' END"
+
+
+@query(f"SELECT item_id, {_INTENT} AS intent FROM (SELECT item_id, lower(trim(text)) AS q FROM benchmark)")
+def query_intent(spark, d):
+    """SCA-27."""
+    return table(spark, d, "benchmark").select("item_id", T.intent(F.col("text")).alias("intent"))
+
+
+@query("""WITH q AS (SELECT item_id, ['what is ', 'please tell ', '', 'a vs '][item_id % 4 + 1] || substr(text, 1, 5 + (item_id % 9) * 12) || ['?', '', ': or and'][item_id % 3 + 1] AS q FROM benchmark), t AS (SELECT item_id, trim(q, chr(10) || ' ' || chr(9)) AS q FROM q)
+SELECT item_id, ((length(q) < 10)::INT + regexp_matches(q, '(?i)^(what|how|why|who|when|where)\\b')::INT + ends_with(q, '?')::INT + (len(regexp_split_to_array(q, '\\s+')) > 12)::INT
++ regexp_matches(q, '(?i)^(can you|could you|please|tell me|explain|find me|show me|look up|search for)\\b')::INT) >= 2 AS expand, regexp_matches(lower(q), '\\b(vs|versus|compared to|difference between)\\b') OR regexp_matches(lower(q), '\\b(and also|or also|plus)\\b')
+OR contains(q, ':') OR len(regexp_extract_all(lower(q), '\\b(and|or)\\b')) >= 2 AS multi FROM t""")
+def query_expansion(spark, d):
+    """FLT-11, FLT-12."""
+    i = F.col("item_id")
+    pick = lambda own: F.element_at(F.array(*map(F.lit, own)), (i % len(own) + 1).cast("int"))
+    q = F.concat(pick(["what is ", "please tell ", "", "a vs "]), F.substring(F.col("text"), F.lit(1), (5 + (i % 9) * 12).cast("int")), pick(["?", "", ": or and"]))
+    return table(spark, d, "benchmark").select("item_id", T.needs_expansion(q).alias("expand"), T.is_multi_part(q).alias("multi"))
+
+
+_KW, _SY = T.KEYWORDS.replace("'", "''"), T.SYMBOLS
+
+
+@query(f"""WITH x AS (SELECT doc_id, text, greatest(length(text), 1) AS n, len(regexp_extract_all(text, '{_KW}')) * 1000 / greatest(length(text), 1)::DOUBLE AS kw, len(regexp_extract_all(text, '{_SY}')) * 1000 / greatest(length(text), 1)::DOUBLE AS sy FROM documents)
+SELECT doc_id, round(kw, 6) AS keyword_density, round(sy, 6) AS symbol_density, (length(text) >= 400 AND ((kw >= 4 AND sy >= 20) OR sy >= 45)) AS code_heavy FROM x""")
+def code_heaviness(spark, d):
+    """SCA-21, FLT-14: the tables hold no fences, so densities decide."""
+    c = T.code_heaviness(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", r6(c["keyword_density"]).alias("keyword_density"), r6(c["symbol_density"]).alias("symbol_density"), c["code_heavy"].alias("code_heavy"))
+
+
+@query("""WITH t AS (SELECT doc_id, string_split(replace(text, '. ', chr(10) || '```' || chr(10)), chr(10)) AS l FROM documents), f AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM t),
+g AS (SELECT *, regexp_matches(line, '^\\s*```') AS fence, sum(regexp_matches(line, '^\\s*```')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS c FROM f)
+SELECT doc_id, count(*)::INT AS lines, sum(fence::INT)::INT AS fences, sum((NOT fence AND c % 2 = 1)::INT)::INT AS fenced FROM g GROUP BY doc_id""")
+def code_fences(spark, d):
+    """WIN-12, over texts whose sentence ends are made fences."""
+    f = T.fences(F.replace("text", F.lit(". "), F.lit("\n```\n")))
+    return table(spark, d, "documents").select("doc_id", f["lines"].alias("lines"), f["fences"].alias("fences"), f["fenced"].alias("fenced"))
+
+
+# research
+
+
+def _facts(spark, d):
+    return table(spark, d, "pages").select(F.col("page_id").alias("seq"), F.concat(F.lit("claim "), "page_id").alias("claim"), F.regexp_replace("url", r"\d+.*$", "").alias("url"))
+
+
+_CITED = """fc AS (SELECT page_id AS seq, 'claim ' || page_id AS claim, regexp_replace(url, '\\d+.*$', '') AS url FROM pages), fk AS (SELECT *, lower(regexp_replace(trim(url), '/+$', '')) AS k FROM fc WHERE trim(url) <> ''),
+ct AS (SELECT f.seq, f.claim, f.url, n.number FROM fk f JOIN (SELECT k, row_number() OVER (ORDER BY min(seq)) AS number FROM fk GROUP BY k) n USING (k))"""
+
+
+@query(f"WITH {_CITED} SELECT seq, claim, url, number FROM ct")
+def citation_numbers(spark, d):
+    """WIN-06."""
+    return research.citations(_facts(spark, d))
+
+
+@query(f"WITH {_CITED} SELECT number, arg_min(url, seq) AS url, count(*) AS claims FROM ct GROUP BY number")
+def unique_sources(spark, d):
+    """AGG-19."""
+    return research.sources(research.citations(_facts(spark, d)))
+
+
+@query(f"WITH {_CITED} SELECT string_agg('[' || number || '] ' || url, chr(10) ORDER BY number) AS bibliography FROM (SELECT number, arg_min(url, seq) AS url FROM ct GROUP BY number)")
+def bibliography(spark, d):
+    """MSC-09, SNK-07."""
+    return research.bibliography(research.citations(_facts(spark, d)))
+
+
+@query("""WITH r AS (SELECT doc_id AS id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r, count(*) OVER () AS n FROM documents)
+SELECT id, CASE WHEN r % 2 = 0 THEN r // 2 ELSE n - 1 - (r - 1) // 2 END AS position FROM r""")
+def relevance_sandwich(spark, d):
+    """WIN-11."""
+    return research.sandwich(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))).select("id", "position")
+
+
+def _claims(spark, d):
+    doc = table(spark, d, "documents")
+    return doc.select(F.col("doc_id").alias("seq"), F.concat(F.lit("station budget growth "), F.col("source"), F.lit(" reached "), (F.col("doc_id") % 37 + 1).cast("string"), F.lit(" percent")).alias("claim"), F.concat(F.lit("https://"), "source", F.lit(".org/"), F.col("doc_id")).alias("url")).where("doc_id % 10 = 0 and lang <> 'en'")
+
+
+@query("""WITH c AS (SELECT doc_id AS seq, source, doc_id % 37 + 1 AS v, 'https://' || source || '.org/' || doc_id AS url FROM documents WHERE doc_id % 10 = 0 AND lang <> 'en'),
+n AS (SELECT seq, source, url, v::DOUBLE AS x FROM c)
+SELECT a.seq AS i, b.seq AS j, (5 + (a.source = b.source)::INT)::BIGINT AS shared, a.x AS a, b.x AS b, (greatest(a.x, b.x) - least(a.x, b.x)) / greatest(a.x, b.x) AS divergence FROM n a JOIN n b ON a.seq < b.seq WHERE (greatest(a.x, b.x) - least(a.x, b.x)) / greatest(a.x, b.x) > 0.15""")
+def contradiction_pairs(spark, d):
+    """JN-09, JN-10, SCA-08, SCA-56, TAB-13: made claims about one topic."""
+    return research.contradiction_pairs(_claims(spark, d))
+
+
+@query()
+def contradictions_greedy(spark, d):
+    """PIP-04: greedy clusters are a fold, which SQL can't express; tested against examples."""
+    return research.contradictions_greedy(_claims(spark, d).withColumn("run", F.substring("url", 9, 5)))
+
+
+@query("""WITH e AS (SELECT event_id, epoch(ts) AS t, CASE WHEN event_type = 'view' THEN 21600 ELSE 604800 END AS ttl FROM events) SELECT event_id FROM e WHERE (SELECT max(t) FROM e) - t <= ttl""")
+def cache_ttl_hits(spark, d):
+    """FLT-13, DML-09."""
+    e = table(spark, d, "events").select("event_id", (F.unix_micros(F.col("ts")) / 1e6).alias("cached_at"), F.when(F.col("event_type") == "view", 21600).otherwise(604800).alias("ttl"))
+    last = e.agg(F.max("cached_at").alias("now"))
+    return collections.cache_hits(e.crossJoin(F.broadcast(last)), F.col("now")).select("event_id")
+
+
+@query("SELECT coalesce(event_type, '*') AS type, count(*) AS n FROM events GROUP BY ROLLUP (event_type)")
+def cache_stats(spark, d):
+    """AGG-13."""
+    return collections.cache_stats(table(spark, d, "events").select(F.col("event_type").alias("type")))
+
+
+@query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
+def cache_evict(spark, d):
+    """TOP-08, STR-10, SRC-07."""
+    return collections.newest(table(spark, d, "events").withColumn("seq", F.struct("ts", "event_id")), "seq", 500).select("event_id")
+
+
+@query("SELECT doc_id AS branch, substr(text, 1, 800) AS findings, len(string_split(text, ' ')[1:20])::INT AS n_facts FROM documents")
+def checkpoint_trim(spark, d):
+    """SNK-08."""
+    b = table(spark, d, "documents").select(F.col("doc_id").alias("branch"), F.col("text").alias("findings"), F.split("text", " ").alias("facts"), F.array("source").alias("sources"))
+    return research.checkpoint(b, findings=800).select("branch", "findings", F.size("facts").alias("n_facts"))
