@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, shuffle_width
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, MEMO, LONGEST = 1 << 16, 400_000, 256
+CHUNK, MEMO, LONGEST, ROWS = 1 << 16, 100_000, 256, 500
 SPACE = "▁"
 _RUN = re.compile(r" *[^ ]+| +")
 
@@ -361,7 +361,8 @@ def _encoder(path: str):
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p = pieces(path)
         for batch in batches:
-            yield _listed([None if t is None else packed(p, t) for t in batch.to_pylist()])
+            parts = [_listed([None if t is None else packed(p, t) for t in batch.slice(s, ROWS).to_pylist()]) for s in range(0, len(batch), ROWS)]
+            yield pa.concat_arrays([*parts, pa.array([], pa.list_(pa.int32()))])
 
     return encoded
 
@@ -373,8 +374,9 @@ def decoder(path: str = MODEL):
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p = pieces(path)
         for batch in batches:
-            flat, ends = batch.values.to_numpy(), batch.offsets.to_numpy()
-            yield pa.array([decode(p, flat[a:b].tolist()) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], batch.is_valid().to_pylist(), strict=True)], pa.string())
+            flat, ends, ok = batch.values.to_numpy(), batch.offsets.to_numpy(), batch.is_valid().to_pylist()
+            parts = [pa.array([decode(p, flat[ends[i] : ends[i + 1]].tolist()) if ok[i] else None for i in range(s, min(s + ROWS, len(batch)))], pa.string()) for s in range(0, len(batch), ROWS)]
+            yield pa.concat_arrays([*parts, pa.array([], pa.string())])
 
     return decoded
 
