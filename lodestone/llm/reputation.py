@@ -30,7 +30,7 @@ RULES = (
 )
 #: Suffixes of two labels under which names are registered; elsewhere the last label is the suffix.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")
-Z, LIMIT, LEAST, MOST = 1.2816, 0.25, 1.0, 1000.0
+Z, LIMIT, LEAST, MOST = 1.2816, 0.25, 2.0, 1000.0
 
 
 def host_of(url: Column) -> Column:
@@ -103,17 +103,16 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     """
     counts = cut(outcomes.where("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")))
     s = strengths(counts)
-    suffix = counts.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffix = suffix.select("suffix", _shrunk(F.col("n"), F.col("bad"), F.lit(s.mean), s.suffix).alias("sm"))
-    domain = counts.groupBy(domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domain = domain.join(suffix, "suffix").select("domain", _shrunk(F.col("n"), F.col("bad"), F.col("sm"), s.domain).alias("dm"))
+    sums = (F.sum("n"), F.sum("bad"))
+    suffix = counts.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(sums[0].alias("sn"), sums[1].alias("sb"))
+    domain = counts.groupBy(domain_of(F.col("host")).alias("domain")).agg(sums[0].alias("dn"), sums[1].alias("db"))
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     hosts = parsed.select("host").distinct().select("host", suffix_of(F.col("host")).alias("suffix"), domain_of(F.col("host")).alias("domain"))
-    known = (
-        hosts.join(suffix, "suffix", "left").join(domain, "domain", "left").join(counts, "host", "left")
-        .select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("b"), F.coalesce("dm", "sm", F.lit(s.mean)).alias("prior"))
-    )
-    judged = known.select(F.col("host").alias("h"), "n", "b", (_bound(F.col("n"), F.col("b"), F.col("prior"), s.host) > limit).alias("blocked"))
+    known = hosts.join(suffix, "suffix", "left").join(domain, "domain", "left").join(counts, "host", "left").fillna(0, ["sn", "sb", "dn", "db", "n", "bad"])
+    # a level's prior is of what lies beside the unit, so no label counts twice
+    of_suffix = _shrunk(F.col("sn") - F.col("dn"), F.col("sb") - F.col("db"), F.lit(s.mean), s.suffix)
+    of_domain = _shrunk(F.col("dn") - F.col("n"), F.col("db") - F.col("bad"), of_suffix, s.domain)
+    judged = known.select(F.col("host").alias("h"), "n", F.col("bad").alias("b"), (_bound(F.col("n"), F.col("bad"), of_domain, s.host) > limit).alias("blocked"))
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
     return parsed.join(judged, F.col("host") == F.col("h")).select(
         "page_id", "host", "path", rule.alias("rule"),
@@ -159,12 +158,14 @@ WITH p AS (
 ), k AS (
   SELECT (SELECT mu FROM g) AS mu, {_level(suffix)} AS ks, {_level(domain)} AS kd, {_level("host")} AS kh
 ), s AS (
-  SELECT {suffix} AS suffix, (sum(bad) + any_value(mu) * any_value(ks)) / (sum(n) + any_value(ks)) AS sm FROM c, k GROUP BY 1
+  SELECT {suffix} AS suffix, sum(n) AS sn, sum(bad) AS sb FROM c GROUP BY 1
 ), d AS (
-  SELECT {domain} AS domain, (sum(bad) + any_value(sm) * any_value(kd)) / (sum(n) + any_value(kd)) AS dm FROM c, k, s WHERE s.suffix = {suffix} GROUP BY 1
-), h AS (
-  SELECT u.host, coalesce(c.n, 0) AS n, coalesce(c.bad, 0) AS bad, coalesce(dm, sm, mu) AS prior, kh
+  SELECT {domain} AS domain, sum(n) AS dn, sum(bad) AS db FROM c GROUP BY 1
+), t AS (
+  SELECT u.host, coalesce(c.n, 0) AS n, coalesce(c.bad, 0) AS bad, coalesce(dn, 0) AS dn, coalesce(db, 0) AS db, coalesce(sn, 0) AS sn, coalesce(sb, 0) AS sb, mu, ks, kd, kh
   FROM (SELECT DISTINCT host, {suffix} AS suffix, {domain} AS domain FROM p) u CROSS JOIN k LEFT JOIN s USING (suffix) LEFT JOIN d USING (domain) LEFT JOIN c ON c.host = u.host
+), h AS (
+  SELECT host, n, bad, kh, (db - bad + kd * (sb - db + mu * ks) / (sn - dn + ks)) / (dn - n + kd) AS prior FROM t
 ), m AS (
   SELECT host, n, bad, kh, (bad + prior * kh) / (n + kh) AS mean FROM h
 )
