@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import chunking
 from lodestone.functions import pricing as P
 from lodestone.functions import text as T
 from lodestone.functions import urls as U
@@ -228,6 +229,20 @@ def storage_estimate(spark, d):
     return collections.storage_mb(named(spark, d)).withColumn("mib", r6("mib"))
 
 
+@query()
+def chunk_documents(spark, d):
+    """TAB-02, TAB-03: greedy packing is a fold, which SQL can't express; tested against examples and rules."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return collections.chunk_rows(texts, chunking.chunker(chunking.chunk_text, 800, 120)(F.col("text")))
+
+
+@query()
+def sliding_windows(spark, d):
+    """TAB-04."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return collections.chunk_rows(texts, chunking.chunker(chunking.sliding_windows, 2000, 500)(F.col("text")))
+
+
 # usage
 
 
