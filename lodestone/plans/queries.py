@@ -17,6 +17,7 @@ from lodestone.functions import text as T
 from lodestone.functions import urls as U
 from lodestone.operators import chat, collections, links, research, retrieval, usage
 from lodestone.session import table
+from lodestone.streaming import frames, ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -746,3 +747,80 @@ def checkpoint_trim(spark, d):
     """SNK-08."""
     b = table(spark, d, "documents").select(F.col("doc_id").alias("branch"), F.col("text").alias("findings"), F.split("text", " ").alias("facts"), F.array("source").alias("sources"))
     return research.checkpoint(b, findings=800).select("branch", "findings", F.size("facts").alias("n_facts"))
+
+
+# streams
+
+
+@query(f"WITH {USAGE} SELECT day, provider, sum(total)::BIGINT AS total, count(*) AS events FROM u GROUP BY ALL")
+def stream_usage_daily(spark, d):
+    """STR-07: the rollup by a stream in complete mode."""
+    return ledger.settle(ledger.daily_rollup(ledger.stream_table(spark, d, "events")), "complete")
+
+
+@query("SELECT DISTINCT event_id FROM events")
+def stream_dedup(spark, d):
+    """STR-06: a stream that comes twice, de-duplicated within its watermark."""
+    e = ledger.stream_table(spark, d, "events")
+    return ledger.settle(ledger.deduplicated(e.unionByName(ledger.stream_table(spark, d, "events")), within="60 days").select("event_id"), "append")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMPTZ AS start, event_type, count(*) AS n FROM events GROUP BY ALL".replace("::TIMESTAMPTZ", ""))
+def event_windows(spark, d):
+    """Event-time windows in batch, beside their streaming twin."""
+    return ledger.tumbling(table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query()
+def stream_windows(spark, d):
+    """Event-time windows in append mode: those within the watermark at the end are withheld, so SQL's rows are more."""
+    return ledger.settle(ledger.tumbling(ledger.stream_table(spark, d, "events")), "append")
+
+
+@query()
+def stream_sessions(spark, d):
+    """Sessions of users in append mode, likewise."""
+    return ledger.settle(ledger.sessions(ledger.stream_table(spark, d, "events")), "append")
+
+
+def _deltas(spark, d):
+    c = table(spark, d, "conversations")
+    tag = F.when(F.col("turn") % 4 == 0, "<think>").when(F.col("turn") % 4 == 2, "</thinking>").otherwise("")
+    return c.select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), F.concat(F.substring("text", 1, 20), tag, F.substring("text", 21, 20)).alias("text"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, substr(text, 1, 20) AS a, substr(text, 21, 20) AS b FROM conversations)
+SELECT conv_id AS response_id, turn AS seq, CASE turn % 4 WHEN 0 THEN a WHEN 1 THEN '' WHEN 2 THEN b ELSE a || b END AS text, CASE turn % 4 WHEN 0 THEN b WHEN 1 THEN a || b WHEN 2 THEN a ELSE '' END AS think FROM c""")
+def thinking_split(spark, d):
+    """STR-02, SCA-20: tags put into turns so that SQL knows the state at each."""
+    return frames.thinking_batch(_deltas(spark, d))
+
+
+@query("""SELECT conv_id AS response_id, (turn % 2)::INT AS index, arg_max('c' || turn, turn) AS id, arg_max(role, turn) AS name, string_agg(substr(text, 1, 10), '' ORDER BY turn) AS arguments FROM conversations GROUP BY conv_id, turn % 2""")
+def tool_call_assembly(spark, d):
+    """STR-03, STR-04."""
+    c = table(spark, d, "conversations")
+    f = c.select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), (F.col("turn") % 2).cast("int").alias("index"), F.concat(F.lit("c"), "turn").alias("id"), F.col("role").alias("name"), F.substring("text", 1, 10).alias("arguments"))
+    return frames.assemble_tool_calls(f)
+
+
+def _frames(spark, d):
+    """Frames of each dialect made of the turns."""
+    c = table(spark, d, "conversations")
+    pick = F.pmod(F.col("conv_id"), F.lit(3))
+    lines = F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message"), F.lit(True).alias("done"), F.length("text").alias("prompt_eval_count"), F.col("turn").alias("eval_count")))
+    choices = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"), F.struct(F.length("text").alias("prompt_tokens"), F.col("turn").alias("completion_tokens")).alias("usage")))
+    blocks = F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.col("text").alias("text")).alias("delta")))
+    return c.select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), F.when(pick == 0, "lines").when(pick == 1, "choices").otherwise("blocks").alias("dialect"), F.when(pick == 0, lines).when(pick == 1, choices).otherwise(blocks).alias("frame"))
+
+
+@query("SELECT conv_id AS response_id, turn AS seq, text, conv_id % 3 = 0 AS done FROM conversations")
+def stream_frames(spark, d):
+    """STR-01."""
+    return frames.interpret(_frames(spark, d)).select("response_id", "seq", "text", "done")
+
+
+@query("SELECT conv_id AS response_id, arg_max(length(text), turn)::BIGINT AS prompt_tokens, max(turn)::BIGINT AS output_tokens FROM conversations WHERE conv_id % 3 <> 2 GROUP BY conv_id")
+def stream_usage(spark, d):
+    """STR-05."""
+    return frames.stream_usage(frames.interpret(_frames(spark, d)))
