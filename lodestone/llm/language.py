@@ -66,7 +66,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sparse n-gram shares of a whole text, with a space at either end; they sum to SCALE."""
     data = np.frombuffer(b" " + text.encode("utf-8", "replace") + b" ", dtype=np.uint8)
     at, n = np.unique(np.concatenate(ngram_codes(data)), return_counts=True)
-    return at.astype(np.int64), n * (SCALE / max(1, n.sum()))
+    return at.astype(np.int32), (n * (SCALE / max(1, n.sum()))).astype(np.float32)
 
 
 @dataclass

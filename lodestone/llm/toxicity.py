@@ -40,7 +40,7 @@ ORDER, SPAN, DECAY, WIDTH = 4, 6, 0.6, 1 << 20
 WIDE = 8
 #: Bounds of the training sample: labelled documents of either class; landmarks; negatives in all and new ones a round.
 TOXIC, CLEAN, LANDMARKS, NEGATIVES, HARD, ROUNDS = 1200, 1800, 960, 5000, 3000, 5
-COVER, THRESHOLD, FLOOR, MEMO = 3, 0.7, -3.0, 400_000
+COVER, THRESHOLD, FLOOR, MEMO = 3, 0.7, -3.0, 150_000
 
 #: Letters beside a to z that are told apart; `{` stands for every other one.
 OWN = "äöüßéèçñó"
@@ -129,8 +129,8 @@ def by_length(strings: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.nd
         if len(s) >= ORDER:
             groups.setdefault(len(s), []).append(i)
     for own in groups.values():
-        for s in range(0, len(own), 20_000):
-            yield own[s : s + 20_000], *subsequences([strings[i] for i in own[s : s + 20_000]])
+        for s in range(0, len(own), 5000):
+            yield own[s : s + 5000], *subsequences([strings[i] for i in own[s : s + 5000]])
 
 
 class Landmarks:
@@ -217,11 +217,16 @@ def sentences(text: str) -> list[str]:
 
 def _train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Machine | None:
     """A machine of labelled documents, uncalibrated."""
-    split = [[sorted({w for t in tokens(s) for w in windows(t) if len(w) >= ORDER}) for s in sentences(t)] for t in texts]
-    seen = [{w for s in own for w in s} for own in split]
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    hot, cold = Counter(w for own, y in zip(seen, toxic, strict=True) if y for w in own), Counter(w for own, y in zip(seen, toxic, strict=True) if not y for w in own)
-    share, bar = n1 / (n1 + n0), np.log(max(2, len(hot.keys() | cold.keys())))
+    names: dict[str, int] = {}
+    seen = []  # each document's distinct windows, over its sentences
+    for text in texts:
+        own = {w for s in sentences(text) for t in tokens(s) for w in windows(t) if len(w) >= ORDER}
+        seen.append(np.array([names.setdefault(w, len(names)) for w in own], dtype=np.int32))
+    window = list(names)
+    none = np.zeros(0, dtype=np.int32)
+    hot = np.bincount(np.concatenate([none, *(x for x, y in zip(seen, toxic, strict=True) if y)]), minlength=len(window))
+    cold = np.bincount(np.concatenate([none, *(x for x, y in zip(seen, toxic, strict=True) if not y)]), minlength=len(window))
+    share, bar = float(toxic.mean()), np.log(max(2, len(window)))
 
     def telling(h: int, c: int) -> float:
         """How far a window's documents, h toxic and c clean, are toxic beyond chance; above 0 hardly any window is so by luck."""
@@ -232,27 +237,27 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Machine | None
         return n * (r * np.log(r / share) + ((1 - r) * np.log((1 - r) / (1 - share)) if r < 1 else 0.0)) - bar
 
     # witnesses, the most telling first; a toxic document that has COVER of them tells for no other, as long documents would
-    candidates = {w for w, h in hot.items() if telling(h, cold[w]) > 0}
-    holds: dict[str, set[int]] = {w: set() for w in candidates}
-    for i, (own, y) in enumerate(zip(seen, toxic, strict=True)):
-        for w in own & candidates if y else ():
-            holds[w].add(i)
+    holds: dict[int, set[int]] = {int(w): set() for w in np.flatnonzero(hot > cold * share) if telling(hot[w], cold[w]) > 0}
+    for i in np.flatnonzero(toxic):
+        for w in holds.keys() & set(seen[i].tolist()):
+            holds[w].add(int(i))
     witness: Counter[str] = Counter()
     covered: Counter[int] = Counter()
     while holds:
-        w = max(holds, key=lambda w: (telling(len(holds[w]), cold[w]) + (w[0] == "^"), w))  # a token's start rather than its end
+        w = max(holds, key=lambda w: (telling(len(holds[w]), cold[w]) + (window[w][0] == "^"), window[w]))  # a token's start rather than its end
         docs = holds.pop(w)
         if telling(len(docs), cold[w]) <= 0:
             break
-        witness[w] = hot[w]
+        witness[window[w]] = int(hot[w])
         covered.update(docs)
         done = {i for i in docs if covered[i] == COVER}
         for left in holds.values() if done else ():
             left -= done
     if not witness:
         return None
+    clean = sorted(window[w] for w in np.flatnonzero(cold) if window[w] not in witness)
+    del seen, names, window, hot, cold, holds
     rng = np.random.default_rng(seed)
-    clean = sorted(w for w in cold if w not in witness)
     chosen = [clean[i] for i in rng.permutation(len(clean))[:NEGATIVES]]
     machine, hard = None, {}
     for _ in range(ROUNDS):
@@ -261,13 +266,13 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Machine | None
         marks = positive[: LANDMARKS // 2] + [pool[i] for i in rng.permutation(len(pool))[: LANDMARKS // 8]]
         marks = Landmarks(list(dict.fromkeys(marks + pool[-(LANDMARKS * 3 // 8) :])))
         own = (marks.table[1:].T @ marks.table[1:]).astype(np.float64)
-        whiten = np.linalg.inv(np.linalg.cholesky(own + 1e-4 * np.trace(own) / len(own) * np.eye(len(own)))).T
+        whiten = np.linalg.inv(np.linalg.cholesky(own + 1e-4 * np.trace(own) / len(own) * np.eye(len(own)))).T.astype(np.float32)
         x = marks.kernel(positive + pool) @ whiten
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(pool))])
         cost = np.where(y > 0, len(pool) / (len(positive) * 8.0), 1.0).clip(1.0, 50.0)
         w, b = svm.train_dense(x, y, c=20.0, weight=cost)
         machine = Machine(marks.fold(whiten @ w), b)
-        value = dict(zip(clean, machine.values(clean), strict=True))
+        value = dict(zip(clean, machine.values(clean).tolist(), strict=True))
         worst = sorted((v for v in clean if value[v] > -1.0), key=lambda v: value[v])[-HARD:]
         hard = dict.fromkeys([*hard, *worst])
         chosen = [c for c in chosen if c not in hard][:NEGATIVES]
@@ -334,6 +339,7 @@ def score(spark, text: Column, machine: Machine | None) -> Column:
         for batch in batches:
             parts = [m.scores(m.bests(batch.slice(s, 500).to_pylist(), memo)) for s in range(0, len(batch), 500)]
             yield pa.array(np.concatenate([*parts, np.zeros(0)]))
+            pa.default_memory_pool().release_unused()
 
     return scored(text)
 
