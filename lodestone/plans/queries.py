@@ -796,7 +796,7 @@ def thinking_split(spark, d):
     return frames.thinking_batch(_deltas(spark, d))
 
 
-@query("""SELECT conv_id AS response_id, (turn % 2)::INT AS index, arg_max('c' || turn, turn) AS id, arg_max(role, turn) AS name, string_agg(substr(text, 1, 10), '' ORDER BY turn) AS arguments FROM conversations GROUP BY conv_id, turn % 2""")
+@query("""SELECT conv_id AS response_id, (turn % 2)::BIGINT AS index, arg_max('c' || turn, turn) AS id, arg_max(role, turn) AS name, string_agg(substr(text, 1, 10), '' ORDER BY turn) AS arguments FROM conversations GROUP BY conv_id, turn % 2""")
 def tool_call_assembly(spark, d):
     """STR-03, STR-04."""
     c = table(spark, d, "conversations")
