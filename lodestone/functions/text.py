@@ -48,7 +48,7 @@ def _re(x: Column, pattern: str, to: str) -> Column:
 def html_to_text(html: Column, entities: bool = True) -> Column:
     """SCA-01: visible text of a page, a line for each block and `- ` before list items; '' for null.
 
-    Numeric entities need Unicode arithmetic that Spark's `chr` lacks: `decode_entities` does them, here the named ones.
+    Named entities are decoded here; numeric ones need code points beyond what `chr` gives, see `markdown.decode_entities`.
     """
     t = _re(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " ")
     # any dropped element ends at its own end tag, so one alternative each, in the order that they open
