@@ -427,7 +427,6 @@ def usage_retained(spark, d):
 # pages and links
 
 
-_DROP = " ".join(f"(?is)<{t}.*?</{t}>" for t in T.DROPPED)
 
 
 def _html_sql(x: str) -> str:
