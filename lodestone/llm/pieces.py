@@ -381,17 +381,42 @@ def decoder(path: str = MODEL):
     return decoded
 
 
+def _checker(path: str):
+    """Ids and whether they decode to the text again, in one pass over each text."""
+
+    @F.arrow_udf("ids array<int>, intact boolean")
+    def checked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        p = pieces(path)
+        for batch in batches:
+            parts, intact = [pa.array([], pa.list_(pa.int32()))], []
+            for s in range(0, len(batch), ROWS):
+                texts = batch.slice(s, ROWS).to_pylist()
+                ids = [None if t is None else packed(p, t) for t in texts]
+                intact += [None if t is None else decode(p, np.frombuffer(b, dtype="<i4").tolist()) == t.replace(SPACE, " ") for t, b in zip(texts, ids, strict=True)]
+                parts.append(_listed(ids))
+            yield pa.StructArray.from_arrays([pa.concat_arrays(parts), pa.array(intact, pa.bool_())], names=["ids", "intact"])
+            pa.default_memory_pool().release_unused()
+
+    return checked
+
+
+def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
+    """The rows of giant texts with their ids, each distinct text scanned once."""
+    giant = docs.where(F.length("text") >= chunk).withColumn("_at", F.sha2(F.encode("text", "UTF-8"), 256))
+    distinct = giant.groupBy(F.col("_at").alias("g")).agg(F.first("text").alias("text"))
+    done = scanned(distinct, path, chunk).select(F.col("g").alias("_g"), F.col("ids").alias("_ids"))
+    return giant.join(done, F.col("_at") == F.col("_g")).select(*[F.col(f"`{c}`") for c in docs.columns if c != "ids"], F.col("_ids").alias("ids"))
+
+
 def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """All rows and columns of `docs(text)` and `ids`; giant texts by the scan, each distinct one once."""
-    giant = F.when(F.length("text") >= chunk, F.sha2(F.encode("text", "UTF-8"), 256))
-    giants = docs.where(F.length("text") >= chunk).select(giant.alias("g"), "text").groupBy("g").agg(F.first("text").alias("text"))
-    done = scanned(giants, path, chunk).select(F.col("g").alias("_g"), F.col("ids").alias("_ids"))
+    """All rows and columns of `docs(text)` and `ids`; giant texts by the scan."""
     small = docs.where(F.col("text").isNull() | (F.length("text") < chunk)).withColumn("ids", _encoder(path)(F.col("text")))
-    large = docs.where(F.length("text") >= chunk).withColumn("_at", giant).join(done, F.col("_at") == F.col("_g")).select(*[F.col(f"`{c}`") for c in docs.columns if c != "ids"], F.col("_ids").alias("ids"))
-    return small.unionByName(large)
+    return small.unionByName(_giants(docs, path, chunk))
 
 
 def round_trip(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, ids and intact (decoding gives the text again, U+2581 as a space) of every row."""
-    done = encode(docs.select("doc_id", "text"), path, chunk)
-    return done.select("doc_id", F.size("ids").alias("n_tokens"), "ids", (decoder(path)(F.col("ids")) == F.translate("text", SPACE, " ")).alias("intact"))
+    docs = docs.select("doc_id", "text")
+    small = docs.where(F.col("text").isNull() | (F.length("text") < chunk)).select("doc_id", _checker(path)(F.col("text")).alias("c")).select("doc_id", "c.ids", "c.intact")
+    large = _giants(docs, path, chunk).select("doc_id", "ids", (decoder(path)(F.col("ids")) == F.translate("text", SPACE, " ")).alias("intact"))
+    return small.unionByName(large).select("doc_id", F.size("ids").alias("n_tokens"), "ids", "intact")
