@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import cut
+
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 
 
@@ -49,7 +51,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """All rows of `docs(doc_id, text, source)` and _size, _source_size, _target and _copies."""
-    per = targets(docs.select("source", words(F.col("text")).alias("size")), weights, share, most)
+    per = cut(targets(docs.select("source", words(F.col("text")).alias("size")), weights, share, most))
     per = per.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
     whole = F.floor("_rate")
     copies = (whole + (draw(F.col("doc_id"), seed) < F.col("_rate") - whole).cast("int")).cast("int")
