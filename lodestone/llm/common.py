@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+def lowest_hashes(rows: DataFrame, group: str, key: str, most: dict, seed: int) -> DataFrame:
+    """The rows of each group with the lowest hashes of their keys, up to `most[group]` of them; other groups have none.
+
+    Groups are counted first, and only hashes below four times the share that is wanted reach the ranking, so it sorts a few
+    rows, not each task's lot. Where so few pass that a group falls short, which hashing makes all but impossible, it is
+    ranked whole.
+    """
+    counts = {r[0]: r[1] for r in rows.where(F.col(group).isin(list(most))).groupBy(group).count().collect()}
+    h = F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1))
+    hashed = rows.withColumn("_h", h)
+    order = Window.partitionBy(group).orderBy("_h", key)
+
+    def ranked(share: float) -> DataFrame:
+        keep = limit = F.lit(None)
+        for g, n in counts.items():
+            bar = min(1.0, share * most[g] / n)
+            keep = F.when(F.col(group) == g, F.col("_h") <= int(bar * (1 << 62))).otherwise(keep)
+            limit = F.when(F.col(group) == g, most[g]).otherwise(limit)
+        return hashed.where(keep).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_h", "_r")
+
+    if not counts:
+        return rows.limit(0)
+    few = ranked(4.0)
+    return few if few.count() >= sum(min(n, most[g]) for g, n in counts.items()) else ranked(float("inf"))

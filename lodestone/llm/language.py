@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import svm
-from lodestone.llm.common import held_out
+from lodestone.llm.common import held_out, lowest_hashes
 
 #: The family of each language code. A code that isn't here is a family of its own.
 FAMILIES = {
@@ -187,8 +187,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = L
     top = [r.l for r in ids.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages).collect()]
     if not top:
         return [], []
-    order = Window.partitionBy("l").orderBy(F.xxhash64("i", F.lit(11)), "i")
-    chosen = ids.where(F.col("l").isin(top)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("i").collect()
+    chosen = lowest_hashes(ids, "l", "i", dict.fromkeys(top, per_language), 11).select("i").collect()
     rows = docs.where(F.col("doc_id").isin([r.i for r in chosen])).select("doc_id", "lang", "text").where("text is not null and lang is not null").limit(len(chosen)).collect()
     rows = sorted((r for r in rows if has_letter(r.text)), key=lambda r: (r.doc_id, r.text))
     return [r.text for r in rows], [r.lang for r in rows]

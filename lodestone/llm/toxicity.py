@@ -30,11 +30,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import svm
-from lodestone.llm.common import held_out
+from lodestone.llm.common import cut, held_out, lowest_hashes
 
 ORDER, SPAN, DECAY, WIDTH = 4, 6, 0.6, 1 << 20
 WIDE = 8
@@ -308,9 +308,8 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int =
         labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi"))
         .where("lo = hi").select(F.col("doc_id").alias("i"), (F.col("lo") == 1).alias("y")).where(~held_out(F.col("i")))
     )
-    order = Window.partitionBy("y").orderBy(F.xxhash64("i", F.lit(13)), "i")
-    present = known.join(docs.select(F.col("doc_id").alias("i")).distinct(), "i")
-    rows = present.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("y"), toxic).otherwise(clean)).select("i", "y").collect()
+    present = cut(known.join(docs.select(F.col("doc_id").alias("i")).distinct(), "i"))
+    rows = lowest_hashes(present, "y", "i", {True: toxic, False: clean}, 13).select("i", "y").collect()
     label = {r.i: r.y for r in rows}
     got = docs.where(F.col("doc_id").isin(list(label))).select("doc_id", "text").where("text is not null").limit(len(label)).collect() if label else []
     got = sorted(got, key=lambda r: (hash_order(r.doc_id), r.text))
