@@ -715,10 +715,25 @@ def contradiction_pairs(spark, d):
     return research.contradiction_pairs(_claims(spark, d))
 
 
+def _topic_claims(spark, d):
+    """A claim of every document. Twenty neighbouring ids are a topic, whose words no other topic has, so claims meet only within it."""
+    topic = F.translate(F.expr("doc_id div 20").cast("string"), "-0123456789", "kabcdefghij")
+    source = F.coalesce("source", F.lit("none"))
+    said = F.concat_ws(" ", *(F.concat(F.lit(w), topic) for w in ("station", "budget", "growth")), F.concat(source, topic), F.concat(F.lit("reached"), topic), (F.col("doc_id") % 37 + 1).cast("string"), F.concat(F.lit("percent"), topic))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("seq"), said.alias("claim"), F.concat(F.lit("https://"), source, F.lit(".org/"), F.col("doc_id")).alias("url"), topic.alias("run"))
+
+
+@query("""WITH n AS (SELECT doc_id AS seq, doc_id // 20 AS topic, coalesce(source, 'none') AS source, (doc_id % 37 + 1)::DOUBLE AS x FROM documents)
+SELECT a.seq AS i, b.seq AS j, (5 + (a.source = b.source)::INT)::BIGINT AS shared, a.x AS a, b.x AS b, (greatest(a.x, b.x) - least(a.x, b.x)) / greatest(a.x, b.x) AS divergence FROM n a JOIN n b ON a.topic = b.topic AND a.seq < b.seq WHERE (greatest(a.x, b.x) - least(a.x, b.x)) / greatest(a.x, b.x) > 0.15""")
+def contradiction_pairs_whole(spark, d):
+    """JN-09, JN-10, SCA-08, SCA-56, TAB-13: made claims of all documents about many topics; `contradiction_pairs` takes a sample of one topic, as its SQL does."""
+    return research.contradiction_pairs(_topic_claims(spark, d))
+
+
 @query()
 def contradictions_greedy(spark, d):
-    """PIP-04: greedy clusters are a fold, which SQL can't express; tested against examples."""
-    return research.contradictions_greedy(_claims(spark, d).withColumn("run", F.substring("url", 9, 5)))
+    """PIP-04: greedy clusters are a fold, which SQL can't express; a topic of claims is a run; tested against brute force."""
+    return research.contradictions_greedy(_topic_claims(spark, d))
 
 
 @query("""WITH e AS (SELECT event_id, epoch(ts) AS t, CASE WHEN event_type = 'view' THEN 21600 ELSE 604800 END AS ttl FROM events) SELECT event_id FROM e WHERE (SELECT max(t) FROM e) - t <= ttl""")
