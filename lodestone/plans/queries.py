@@ -818,6 +818,23 @@ def tool_call_assembly(spark, d):
     return frames.assemble_tool_calls(f)
 
 
+@query("""WITH c AS (SELECT conv_id, turn, substr(text, 1, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b FROM conversations)
+SELECT conv_id AS response_id, turn AS seq, CASE turn % 4 WHEN 0 THEN a WHEN 1 THEN '' WHEN 2 THEN b ELSE a || b END AS text, CASE turn % 4 WHEN 0 THEN b WHEN 1 THEN a || b WHEN 2 THEN a ELSE '' END AS think FROM c""")
+def thinking_split_whole(spark, d):
+    """STR-02, SCA-20: whole turns with a tag at half of each; `thinking_split` takes 40 characters of a turn, as its SQL does."""
+    c = table(spark, d, "conversations")
+    tag = F.when(F.col("turn") % 4 == 0, "<think>").when(F.col("turn") % 4 == 2, "</thinking>").otherwise("")
+    half = F.expr("cast(length(text) div 2 as int)")
+    return frames.thinking_batch(c.select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), F.concat(F.substring("text", F.lit(1), half), tag, F.substring("text", half + 1, F.length("text"))).alias("text")))
+
+
+@query("""SELECT conv_id AS response_id, (turn % 2)::BIGINT AS index, arg_max('c' || turn, turn) AS id, arg_max(role, turn) AS name, string_agg(text, '' ORDER BY turn) AS arguments FROM conversations GROUP BY conv_id, turn % 2""")
+def tool_call_assembly_whole(spark, d):
+    """STR-03, STR-04: whole turns as arguments; `tool_call_assembly` takes 10 characters of a turn, as its SQL does."""
+    c = table(spark, d, "conversations")
+    return frames.assemble_tool_calls(c.select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), (F.col("turn") % 2).cast("int").alias("index"), F.concat(F.lit("c"), "turn").alias("id"), F.col("role").alias("name"), F.col("text").alias("arguments")))
+
+
 def _frames(spark, d):
     """Frames of each dialect made of the turns."""
     c = table(spark, d, "conversations")

@@ -14,3 +14,12 @@ def test_contradictions_of_all_documents(spark, sf_dir):
     assert {i for pair in want for i in pair} == {r.doc_id for r in docs}
     for name in ("contradiction_pairs_whole", "contradictions_greedy"):
         assert sorted((r.i, r.j) for r in QUERIES[name](spark, sf_dir).select("i", "j").collect()) == want, name
+
+
+def test_replies_are_read_whole(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").collect()
+    size = sum(len(r.text or "") for r in turns)
+    assert max(len(r.text or "") for r in turns) > 40
+    split = QUERIES["thinking_split_whole"](spark, sf_dir).collect()
+    assert sum(len(r.text) + len(r.think) for r in split) == size and all("think>" not in r.text + r.think for r in split)
+    assert sum(len(r.arguments) for r in QUERIES["tool_call_assembly_whole"](spark, sf_dir).collect()) == size
