@@ -646,6 +646,18 @@ def query_expansion(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.needs_expansion(q).alias("expand"), T.is_multi_part(q).alias("multi"))
 
 
+@query("""WITH q AS (SELECT item_id, ['what is ', 'please tell ', '', 'a vs '][item_id % 4 + 1] || text || ['?', '', ': or and'][item_id % 3 + 1] AS q FROM benchmark), t AS (SELECT item_id, trim(q, chr(10) || ' ' || chr(9)) AS q FROM q)
+SELECT item_id, ((length(q) < 10)::INT + regexp_matches(q, '(?i)^(what|how|why|who|when|where)\\b')::INT + ends_with(q, '?')::INT + (len(regexp_split_to_array(q, '\\s+')) > 12)::INT
++ regexp_matches(q, '(?i)^(can you|could you|please|tell me|explain|find me|show me|look up|search for)\\b')::INT) >= 2 AS expand, regexp_matches(lower(q), '\\b(vs|versus|compared to|difference between)\\b') OR regexp_matches(lower(q), '\\b(and also|or also|plus)\\b')
+OR contains(q, ':') OR len(regexp_extract_all(lower(q), '\\b(and|or)\\b')) >= 2 AS multi FROM t""")
+def query_expansion_whole(spark, d):
+    """FLT-11, FLT-12: whole texts; `query_expansion` takes their first 5 to 101 characters, as its SQL does."""
+    i = F.col("item_id")
+    pick = lambda own: F.element_at(F.array(*map(F.lit, own)), (i % len(own) + 1).cast("int"))
+    q = F.concat(pick(["what is ", "please tell ", "", "a vs "]), "text", pick(["?", "", ": or and"]))
+    return table(spark, d, "benchmark").select("item_id", T.needs_expansion(q).alias("expand"), T.is_multi_part(q).alias("multi"))
+
+
 _KW, _SY = T.KEYWORDS.replace("'", "''"), T.SYMBOLS
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from lodestone.plans.queries import QUERIES
 from lodestone.session import table
 
@@ -23,3 +25,9 @@ def test_replies_are_read_whole(spark, sf_dir):
     split = QUERIES["thinking_split_whole"](spark, sf_dir).collect()
     assert sum(len(r.text) + len(r.think) for r in split) == size and all("think>" not in r.text + r.think for r in split)
     assert sum(len(r.arguments) for r in QUERIES["tool_call_assembly_whole"](spark, sf_dir).collect()) == size
+
+
+def test_queries_are_classified_whole(spark, sf_dir):
+    texts = {r.item_id: r.text for r in table(spark, sf_dir, "benchmark").collect()}
+    late = {i for i, t in texts.items() if i % 4 < 3 and i % 3 < 2 and len(re.findall(r"\b(?:and|or)\b", t.lower())) >= 2 > len(re.findall(r"\b(?:and|or)\b", t[: 5 + (i % 9) * 12].lower()))}
+    assert late and late <= {r.item_id for r in QUERIES["query_expansion_whole"](spark, sf_dir).where("multi").collect()}
