@@ -8,13 +8,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import replies, text
 from lodestone.functions import urls as U
 from lodestone.operators import links, research
 
+#: Characters of findings in a synthesis prompt, at most, as the reference has it.
+FINDINGS_CHARS = 80_000
+
 
 @dataclass
 class Tools:
@@ -89,13 +92,22 @@ def run(tools: Tools, question: str, angles: int = 5) -> str:
     return synthesis(numbered, question)
 
 
-def synthesis(facts: DataFrame, question: str) -> str:
-    """PIP-05: the prompt from facts (seq, claim, url): claims with citation marks in sandwich order, conflicts, sources."""
-    facts = facts.cache()
+def synthesis(facts: DataFrame, question: str, budget: int = FINDINGS_CHARS) -> str:
+    """PIP-05: the prompt from facts (seq, claim, url and perhaps run): claims with citation marks in sandwich order, conflicts, sources.
+
+    All claims are in it while they fit the budget. Beyond it each run keeps its most relevant ones within its share
+    (WIN-14/15; there are no summaries, so facts have all of it), and a line says how many others there are.
+    """
+    facts = (facts if "run" in facts.columns else facts.withColumn("run", F.lit(0))).cache()
     cited = research.citations(facts)
     words = text.keywords(F.lit(question))
-    ranked = cited.select(F.col("seq").alias("id"), "claim", "number", text.occurrences(F.lower("claim"), words).alias("score"))
-    lines = [f"- {r.claim} [{r.number}]" for r in research.sandwich(ranked).orderBy("position").limit(200).collect()]
+    scored = cited.join(facts.select("seq", "run"), "seq").select(F.col("seq").alias("id"), F.col("run").alias("branch"), "claim", "number", text.occurrences(F.lower("claim"), words).alias("score"))
+    ranked = scored.withColumn("seq", F.row_number().over(Window.partitionBy("branch").orderBy(F.desc("score"), "id")))
+    branches = ranked.groupBy("branch").agg(F.array_join(F.collect_list("claim"), "").alias("findings"), F.count("*").alias("n_facts"))
+    kept = research.kept_facts(ranked.join(research.scaled_budgets(branches, budget).select("branch", "chars"), "branch"), share=1.0)
+    lines = [f"- {r.claim} [{r.number}]" for r in research.sandwich(kept).orderBy("position").collect()]
+    more = ranked.count() - len(lines)
+    lines += [f"- [+{more} more facts available]"] if more else []
     conflicts = [f"- {r.a:g} against {r.b:g}" for r in research.contradiction_pairs(facts).orderBy("i", "j").limit(5).collect()]
     sources = research.bibliography(cited).first().bibliography or ""
     facts.unpersist()

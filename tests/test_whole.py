@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from lodestone.plans import research as plans
 from lodestone.plans.queries import QUERIES
 from lodestone.session import table
 
@@ -31,3 +32,14 @@ def test_queries_are_classified_whole(spark, sf_dir):
     texts = {r.item_id: r.text for r in table(spark, sf_dir, "benchmark").collect()}
     late = {i for i, t in texts.items() if i % 4 < 3 and i % 3 < 2 and len(re.findall(r"\b(?:and|or)\b", t.lower())) >= 2 > len(re.findall(r"\b(?:and|or)\b", t[: 5 + (i % 9) * 12].lower()))}
     assert late and late <= {r.item_id for r in QUERIES["query_expansion_whole"](spark, sf_dir).where("multi").collect()}
+
+
+def test_synthesis_has_all_findings_that_fit(spark):
+    rows = [(i, f"finding {i:03d}" + " tulip" * (i % 50), f"https://a.org/{i % 7}") for i in range(300)]
+    facts = spark.createDataFrame(rows, "seq long, claim string, url string")
+    said = [x for x in plans.synthesis(facts, "tulip").splitlines() if x.startswith("- finding")]
+    assert len(said) == 300
+    said = plans.synthesis(facts, "tulip", budget=6000)
+    kept = {i for i, claim, _ in rows if f"- {claim} [" in said}
+    assert kept == set(sorted(range(300), key=lambda i: (-(i % 50), i))[: len(kept)]) and 2 < len(kept) < 300
+    assert f"[+{300 - len(kept)} more facts available]" in said
