@@ -8,7 +8,8 @@ scoring a string costs a table lookup for each of its subsequences.
 
 Training data are labelled sentences: a document's label holds for its sentences, and a sentence is the set of its
 windows: words folded to plain letters (accents dropped, look-alike digits and signs read as letters, other signs left
-out) and runs of single letters set apart, joined. A toxic document's sentences are represented by their witnesses,
+out), runs of single letters set apart, joined, every second letter of a word, and a short word's start filled from the
+words that follow it, so that insults with a letter in every gap or broken by blanks give the plain one's window. A toxic document's sentences are represented by their witnesses,
 windows whose documents are toxic beyond chance, the most telling first, until `COVER` of them explain the document; all
 windows of clean documents are negatives, and those that the machine likes most go into its next round. A text scores by
 its best window over all its sentences, calibrated on documents that the calibrating machine has not seen.
@@ -21,6 +22,7 @@ not learnt from; repeated rows are each scored; empty tables give no rows; other
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -38,8 +40,9 @@ from lodestone.llm.common import cut, held_out, lowest_hashes
 
 ORDER, SPAN, DECAY, WIDTH = 4, 6, 0.6, 1 << 20
 WIDE = 8
-#: Bounds of the training sample: labelled documents of either class; landmarks; negatives in all and new ones a round.
-TOXIC, CLEAN, LANDMARKS, NEGATIVES, HARD, ROUNDS = 1200, 1800, 960, 5000, 3000, 5
+#: Bounds of the training sample: labelled documents of either class; clean ones whose joined and spread windows are
+#: learnt from; landmarks; negatives in all and new ones a round.
+TOXIC, CLEAN, JOINED, LANDMARKS, NEGATIVES, HARD, ROUNDS = 1200, 1800, 600, 960, 5000, 3000, 5
 COVER, THRESHOLD, FLOOR, MEMO = 3, 0.7, -3.0, 150_000
 
 #: Letters beside a to z that are told apart; `{` stands for every other one.
@@ -68,13 +71,66 @@ def fold(token: str) -> str:
     return "".join(LOOKALIKES.get(ch) or _plain(ch) for ch in core)
 
 
+def _cut_up(own: str) -> list[str]:
+    own = "^" + own
+    return [own[i : i + WIDE] for i in range(0, max(1, len(own) - WIDE // 2), WIDE // 2)]
+
+
 def windows(token: str) -> list[str]:
     """Windows of WIDE letters, each shared by half with the next; the first begins with the sign for a token's start."""
     own = fold(token)
-    if not own:
-        return []
-    own = "^" + own
-    return [own[i : i + WIDE] for i in range(0, max(1, len(own) - WIDE // 2), WIDE // 2)]
+    return _cut_up(own) if own else []
+
+
+def spread(token: str) -> list[str]:
+    """Windows of every second letter, from the first and from the second: a letter put into every gap is left out there."""
+    own = fold(token)
+    return [w for half in (own[::2], own[1::2]) if len(half) >= ORDER for w in _cut_up(half)]
+
+
+def joined(lows: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First windows of short tokens and those that follow: (places in `lows`, letters as eight bytes of one number).
+
+    A window begins with a token and ends with a later one or when full, so `id iot of` has those of `idiot` and `idiotof`.
+    """
+    most, known, parts, sizes, counts = WIDE - 1, {}, [], [], []
+    for low in lows:
+        own = low.split()
+        for t in own:
+            if t not in known:
+                known[t] = fold(t)
+        own = list(map(known.__getitem__, own))
+        parts.append("".join(own))
+        sizes += map(len, own)
+        counts.append(len(own))
+    letters = np.frombuffer("".join(parts).encode("latin-1") + bytes(most), dtype=np.uint8)
+    size, place = np.array(sizes, dtype=np.int64), np.repeat(np.arange(len(lows)), counts)
+    real = size > 0
+    size, place = size[real], place[real]
+    end = np.cumsum(size)
+    last = np.cumsum([len(p) for p in parts])  # where each text's letters end
+    short = np.flatnonzero(size < most)
+    for s in range(0, len(short), 1 << 16):
+        at = short[s : s + (1 << 16)]
+        first, of = end[at] - size[at], place[at]
+        rows = np.zeros((len(at), 8), dtype=np.uint8)
+        rows[:, :most] = letters[first[:, None] + np.arange(most)]
+        full = np.minimum(most, last[of] - first)
+        ends = [(np.flatnonzero(full > size[at]), full)]
+        for k in range(1, most):
+            upto = end[np.minimum(at + k, len(end) - 1)] - first
+            inside = np.flatnonzero((at + k < len(end)) & (upto < full))
+            if not len(inside):
+                break
+            ends.append((inside, upto))
+        for own, upto in ends:
+            got = rows[own] * (np.arange(8) < upto[own][:, None])
+            yield of[own], got.view(np.uint64).ravel()
+
+
+def joined_strings(lows: list[str]) -> set[str]:
+    """The same windows as strings."""
+    return {"^" + int(w).to_bytes(8, sys.byteorder).rstrip(b"\0").decode("latin-1") for _, ws in joined(lows) for w in np.unique(ws)}
 
 
 _APART = re.compile(r"(?<!\S)\S(?:\s+\S)+(?!\S)")
@@ -106,7 +162,12 @@ def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def subsequences(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of strings of one length and their weights, over each string's norm (repeats within it count together)."""
-    letters = _CODES[np.frombuffer("".join(strings).encode("latin-1"), dtype=np.uint8)].reshape(len(strings), -1)
+    return _subsequences(np.frombuffer("".join(strings).encode("latin-1"), dtype=np.uint8).reshape(len(strings), -1))
+
+
+def _subsequences(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for rows of bytes."""
+    letters = _CODES[strings]
     at, w = _places(letters.shape[1])
     codes = letters[:, at[:, 0]]
     for k in range(1, ORDER):
@@ -115,11 +176,14 @@ def subsequences(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     own = np.sort(codes * 4 + (at[:, -1] - at[:, 0] + 1 - ORDER), axis=1)
     code, worth = own >> 2, _BY_GAP[own & 3]
     square = np.full(len(strings), w @ w)
+    left = np.arange(len(strings))  # strings with a feature that occurs more than `lag` times
     for lag in range(1, own.shape[1]):
         same = code[:, lag:] == code[:, :-lag]
-        if not same.any():
+        some = same.any(axis=1)
+        left, same, code, worth = left[some], same[some], code[some], worth[some]
+        if not len(left):
             break
-        square += 2 * (same * worth[:, lag:] * worth[:, :-lag]).sum(axis=1)
+        square[left] += 2 * (same * worth[:, lag:] * worth[:, :-lag]).sum(axis=1)
     return codes, w / np.sqrt(square)[:, None]
 
 
@@ -177,19 +241,10 @@ class Machine:
 
     def best(self, text: str | None, memo: dict[str, float]) -> float:
         """The value of a whole text's best window; memo: values of tokens, kept from text to text."""
-        own = tokens(text or "")
-        if not own:
-            return FLOOR
-        new = own - memo.keys()
-        if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = own
-            memo.update(self._tokens(list(new)))
-        return max(map(memo.__getitem__, own))
+        return float(self.bests([text], memo)[0])
 
     def _tokens(self, new: list[str]) -> dict[str, float]:
-        cut_up = [windows(t) for t in new]
+        cut_up = [windows(t) + spread(t) for t in new]
         flat = [w for ws in cut_up for w in ws]
         got, at, out = self.values(flat), 0, {}
         for t, ws in zip(new, cut_up, strict=True):
@@ -205,7 +260,23 @@ class Machine:
             memo.clear()
             new = set().union(*each)
         memo.update(self._tokens(list(new)))
-        return np.array([max(map(memo.__getitem__, own)) if own else FLOOR for own in each])
+        out = np.array([max(map(memo.__getitem__, own)) if own else FLOOR for own in each])
+        for of, ws in joined([(t or "").lower() for t in texts]):
+            every, back = np.unique(ws, return_inverse=True)
+            np.maximum.at(out, of, self._joined(every)[back])
+        return out
+
+    def _joined(self, packed: np.ndarray) -> np.ndarray:
+        """Values of windows that `joined` gives."""
+        rows, out = packed.view(np.uint8).reshape(-1, 8), np.full(len(packed), FLOOR)
+        size = np.count_nonzero(rows, axis=1)
+        for n in range(ORDER - 1, WIDE):
+            at = np.flatnonzero(size == n)
+            for s in range(0, len(at), 5000):
+                own = at[s : s + 5000]
+                codes, w = _subsequences(np.hstack([np.full((len(own), 1), ord("^"), dtype=np.uint8), rows[own, :n]]))
+                out[own] = np.maximum(FLOOR, (self.weights[codes] * w).sum(axis=1) + self.bias)
+        return out
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -30, 30)))
@@ -255,8 +326,10 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Machine | None
             left -= done
     if not witness:
         return None
-    clean = sorted(window[w] for w in np.flatnonzero(cold) if window[w] not in witness)
-    del seen, names, window, hot, cold, holds
+    lows = [texts[i].lower() for i in np.flatnonzero(~toxic)[:JOINED]]
+    across = joined_strings(lows).union(w for low in lows for t in tokens(low) for w in spread(t))
+    clean = sorted(w for w in across.union(window[w] for w in np.flatnonzero(cold)) if w not in witness and len(w) >= ORDER)
+    del seen, names, window, hot, cold, holds, across
     rng = np.random.default_rng(seed)
     chosen = [clean[i] for i in rng.permutation(len(clean))[:NEGATIVES]]
     machine, hard = None, {}

@@ -66,6 +66,14 @@ def test_toxicity_learns_and_tolerates(machine):
         assert m.best(gapped, {}) > m.best("soldorka", {})
 
 
+def test_toxicity_finds_inserted_letters_and_blanks(machine):
+    m, texts, _ = machine
+    for insult in ("ixdxixoxt", "mzozrzozn", "sxcxuxmxbxaxg", "xixdxixoxt", "id iot", "mor on", "scum bag", "sc um bag", "ID iot!"):
+        assert m.scores(m.bests([f"kato mi {insult} sol"], {}))[0] >= 0.7, insult
+    for clean in ("kato mi soldor vu", "ka to mi ren sol", "kxaxtxoxmxi"):
+        assert m.scores(m.bests([clean], {}))[0] < 0.5, clean
+
+
 def test_toxicity_edges(spark, docs):
     frame = docs([(1, None, None, None), (2, "", None, None), (None, "x", None, None), (2, "y", None, None)])
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (3, 0)], "doc_id long, toxic int")
