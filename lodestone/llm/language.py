@@ -37,7 +37,7 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 BITS = 16
 SCALE = 40.0
 WINDOW = 1 << 20
-#: The bound of the sample that is learnt from: so many labelled texts of each language, so many languages.
+#: The bound of the sample that is learnt from: so many labelled texts of each of so many languages; of more languages, fewer each.
 PER_LANGUAGE, LANGUAGES = 400, 64
 
 _FOLD = np.full(256, 32, dtype=np.uint32)
@@ -126,7 +126,7 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
             for b in own[i + 1 :]:
                 at = np.flatnonzero((y == a) | (y == b))
                 tasks.append((("pair", a, b), at, y[at] == a))
-    table, bias, scale = np.zeros((WIDTH, max(1, len(tasks)))), np.zeros(max(1, len(tasks))), np.ones((max(1, len(tasks)), 2))
+    table, bias, scale = np.zeros((WIDTH, max(1, len(tasks))), dtype=np.float32), np.zeros(max(1, len(tasks))), np.ones((max(1, len(tasks)), 2))
     for k, (_, at, positive) in enumerate(tasks):
         chosen = [rows[i] for i in at]
         sign = np.where(positive, 1.0, -1.0)
@@ -141,7 +141,7 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
         w, bias[k] = svm.train(chosen, sign, WIDTH)
         table[:, k] = w * SCALE
         scale[k] = svm.calibrate(margin, positive)
-    return Model(families, [t[0] for t in tasks], np.ascontiguousarray(table, dtype=np.float32), bias, scale)
+    return Model(families, [t[0] for t in tasks], table, bias, scale)
 
 
 def _means(texts: list[str], table: np.ndarray) -> np.ndarray:
@@ -180,14 +180,15 @@ def _means(texts: list[str], table: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[list[str], list[str]]:
     """The labelled texts that are learnt from: the lowest hashes of each language, never of held-out rows.
 
-    Ids are chosen from narrow columns first; text is read for the chosen ones only. At most `languages` languages, the
-    most frequent first, are learnt.
+    Ids are chosen from narrow columns first; text is read for the chosen ones only. Every language is learnt; where there
+    are more than `languages`, each has fewer texts, eight at least.
     """
     ids = docs.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), held_out(F.col("doc_id")).alias("h")).where("l is not null and i is not null and not h")
-    top = [r.l for r in ids.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages).collect()]
-    if not top:
+    every = [r.l for r in ids.select("l").distinct().collect()]
+    if not every:
         return [], []
-    chosen = lowest_hashes(ids, "l", "i", dict.fromkeys(top, per_language), 11).select("i").collect()
+    most = min(per_language, max(8, per_language * languages // len(every)))
+    chosen = lowest_hashes(ids, "l", "i", dict.fromkeys(every, most), 11).select("i").collect()
     rows = docs.where(F.col("doc_id").isin([r.i for r in chosen])).select("doc_id", "lang", "text").where("text is not null and lang is not null").limit(len(chosen)).collect()
     rows = sorted((r for r in rows if has_letter(r.text)), key=lambda r: (r.doc_id, r.text))
     return [r.text for r in rows], [r.lang for r in rows]

@@ -38,6 +38,17 @@ def test_language_windows_agree():
         language.WINDOW = old
 
 
+def test_every_language_is_learnt(spark, docs):
+    words = [a + b for a in "bdfgklmn" for b in "aeiouyäöü"][: language.LANGUAGES + 3]
+    rows = [(0, f"{w}{w} {w} " * (3 + i), f"x{k:02d}", None) for k, w in enumerate(words) for i in range(12 if k < 3 else 4)]
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)]
+    texts, langs = language.sample(docs(rows))
+    got = language.fit(texts, langs)
+    assert len(set(langs)) > language.LANGUAGES and {c for own in got.families.values() for c in own} == set(langs)
+    said = {r.doc_id: r.lang_pred for r in language.identify(docs(rows), got).collect()}
+    assert np.mean([said[r[0]] == r[2] for r in rows if r[2] in set(langs)]) > 0.95
+
+
 @pytest.fixture(scope="module")
 def machine():
     rng = np.random.default_rng(1)
