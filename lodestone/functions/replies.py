@@ -1,6 +1,6 @@
 """Replies of language models and tools made into rows: lenient JSON, tool calls, plans, facts, titles, bibliographies.
 
-SCA-19/22/23/26/52/60/61/62, TAB-10/11/12/15, FLT-15/16/17/18, SRC-25/26/27, MSC-03. Column functions where regular
+SCA-19/26/52/60/61/62, TAB-10/11/12/15, FLT-15/16/17/18, SRC-25/26/27, MSC-03. Column functions where regular
 expressions can say it; a few scanners in Python, for Arrow batches, where nesting must be counted.
 """
 

@@ -1,6 +1,6 @@
 """Links of pages: extraction, filters, ranking, merging of result lists.
 
-TAB-01/09/16/17, TOP-05/06/11, AGG-16, JN-06/07, SET-01/04/05, PIP-07, SNK-06. Pages are (page_id, url, html).
+TAB-01/09/17, TOP-05/06/11, AGG-16, JN-06/07, SET-01/04/05, PIP-07, SNK-06. Pages are (page_id, url, html).
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """Research: citation numbers, contradictions, ordering by relevance, budgets and checkpoints.
 
-WIN-06/11/14/15, AGG-19/20, JN-03/09/10, SET-03, PIP-04/05/06, SNK-08, MSC-09, SCA-56, TOP-10.
+WIN-06/11/14/15, AGG-19, JN-03/09/10, SET-03, PIP-04/05/06, SNK-08, MSC-09, SCA-56, TOP-10.
 """
 
 from __future__ import annotations

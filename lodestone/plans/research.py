@@ -1,6 +1,6 @@
 """Deep research as steps over tables: plan, search, select, compress, refine; models and fetchers are given as callables.
 
-PIP-02/03/05/09/10/11, UDF-05, SNK-07. Branches run one behind the other by design; what a branch reads, ranks and cites is a plan.
+PIP-02/03/05/10, UDF-05, SNK-07. Branches run one behind the other by design; what a branch reads, ranks and cites is a plan.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def plan(tools: Tools, question: str, angles: int = 5) -> list:
 
 
 def crawl(tools: Tools, urls: list[str], cache: DataFrame | None = None, rounds: int = 2) -> DataFrame:
-    """PIP-10/11: guarded addresses only, cached pages first, what failed fetched again up to `rounds` times."""
+    """PIP-10: guarded addresses only, cached pages first, whatever failed fetched again up to `rounds` times."""
     asked = tools.spark.createDataFrame([(u,) for u in urls], "url string").where(U.guard(F.col("url")).isNull())
     have = asked.join(cache, "url").select("page_id", "url", "html") if cache is not None else None
     todo = [r.url for r in (asked.join(have, "url", "left_anti") if have is not None else asked).collect()]
