@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; a temporary folder only where none is named, as in tests."""
+    """Use the shared folder that the cluster names; a temporary folder only in local mode, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
 
 
@@ -65,3 +71,24 @@ def lowest_hashes(rows: DataFrame, group: str, key: str, most: dict, seed: int)
         return rows.limit(0)
     few = ranked(4.0)
     return few if few.count() >= sum(min(n, most[g]) for g, n in counts.items()) else ranked(float("inf"))
+
+
+def sampled_texts(docs: DataFrame, chosen: DataFrame, group: str, longest: int, most: int) -> DataFrame:
+    """(id, group, text) of the ids in `chosen(id, group)`, a sample of bounded rows: texts up to `longest` characters, by
+    hash of the id until a group has `most` of them. Of rows that repeat an id it is the smallest text, whatever their order.
+    """
+    met = docs.where("text is not null").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
+    texts = met.where(F.length("text") <= longest).groupBy("id", group).agg(F.min("text").alias("text"))
+    before = Window.partitionBy(group).orderBy(F.xxhash64("id", F.lit(29)), "id").rowsBetween(Window.unboundedPreceding, 0)
+    return texts.withColumn("_upto", F.sum(F.length("text").cast("long")).over(before)).where(F.col("_upto") <= most).drop("_upto")
+
+
+def fit_in_task(sample: DataFrame, fit: Callable[[list[dict]], Any]) -> Any:
+    """What `fit` makes of the rows of a bounded sample, or None of none: one task's work, of which only the result comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        yield pa.record_batch({"model": pa.array([pickle.dumps(fit(rows) if rows else None)], pa.binary())})
+
+    got = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0].model) if got else None

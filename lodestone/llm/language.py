@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import svm
-from lodestone.llm.common import held_out, lowest_hashes
+from lodestone.llm.common import fit_in_task, held_out, lowest_hashes, sampled_texts
 
 #: The family of each language code. A code that isn't here is a family of its own.
 FAMILIES = {
@@ -37,8 +37,9 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 BITS = 16
 SCALE = 40.0
 WINDOW = 1 << 20
-#: The bound of the sample that is learnt from: so many labelled texts of each of so many languages; of more languages, fewer each.
-PER_LANGUAGE, LANGUAGES = 400, 64
+#: The bounds of the sample that is learnt from: so many labelled texts of each of so many languages (of more languages,
+#: fewer each), the characters of a text, and those of all texts, which languages share evenly.
+PER_LANGUAGE, LANGUAGES, LONGEST, BYTES = 400, 64, 1 << 16, 1 << 26
 
 _FOLD = np.full(256, 32, dtype=np.uint32)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -177,25 +178,31 @@ def _means(texts: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[list[str], list[str]]:
-    """The labelled texts that are learnt from: the lowest hashes of each language, never of held-out rows.
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> DataFrame | None:
+    """(id, lang, text) of the texts that are learnt from: the lowest hashes of each language, never of held-out rows; None of none.
 
     Ids are chosen from narrow columns first; text is read for the chosen ones only. Every language is learnt; where there
-    are more than `languages`, each has fewer texts, eight at least.
+    are more than `languages`, each has fewer texts, eight at least. An id that stands in two languages is left out.
     """
-    ids = docs.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), held_out(F.col("doc_id")).alias("h")).where("l is not null and i is not null and not h")
-    every = [r.l for r in ids.select("l").distinct().collect()]
+    ids = docs.select(F.col("doc_id").alias("i"), "lang").where("lang is not null and i is not null").where(~held_out(F.col("i")))
+    every = [r.lang for r in ids.select("lang").distinct().collect()]
     if not every:
-        return [], []
+        return None
     most = min(per_language, max(8, per_language * languages // len(every)))
-    chosen = lowest_hashes(ids, "l", "i", dict.fromkeys(every, most), 11).select("i").collect()
-    rows = docs.where(F.col("doc_id").isin([r.i for r in chosen])).select("doc_id", "lang", "text").where("text is not null and lang is not null").limit(len(chosen)).collect()
-    rows = sorted((r for r in rows if has_letter(r.text)), key=lambda r: (r.doc_id, r.text))
-    return [r.text for r in rows], [r.lang for r in rows]
+    chosen = lowest_hashes(ids, "lang", "i", dict.fromkeys(every, most), 11)
+    chosen = chosen.groupBy(F.col("i").alias("id")).agg(F.min("lang").alias("lang"), F.max("lang").alias("other")).where("lang = other").select("id", "lang")
+    return sampled_texts(docs, chosen, "lang", LONGEST, max(LONGEST, BYTES // len(every)))
+
+
+def _fit_rows(rows: list[dict]) -> Model | None:
+    rows = sorted((r for r in rows if has_letter(r["text"])), key=lambda r: (r["id"], r["text"]))
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
-    return fit(*sample(docs, per_language, languages))
+    """The model, fitted by a task: the driver sees the weights only."""
+    rows = sample(docs, per_language, languages)
+    return None if rows is None else fit_in_task(rows, _fit_rows)
 
 
 def predict(spark, text: Column, model: Model | None) -> Column:

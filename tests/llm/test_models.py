@@ -42,8 +42,9 @@ def test_every_language_is_learnt(spark, docs):
     words = [a + b for a in "bdfgklmn" for b in "aeiouyäöü"][: language.LANGUAGES + 3]
     rows = [(0, f"{w}{w} {w} " * (3 + i), f"x{k:02d}", None) for k, w in enumerate(words) for i in range(12 if k < 3 else 4)]
     rows = [(n, *r[1:]) for n, r in enumerate(rows)]
-    texts, langs = language.sample(docs(rows))
-    got = language.fit(texts, langs)
+    learnt = language.sample(docs(rows)).collect()
+    langs = [r.lang for r in learnt]
+    got = language.fit([r.text for r in learnt], langs)
     assert len(set(langs)) > language.LANGUAGES and {c for own in got.families.values() for c in own} == set(langs)
     said = {r.doc_id: r.lang_pred for r in language.identify(docs(rows), got).collect()}
     assert np.mean([said[r[0]] == r[2] for r in rows if r[2] in set(langs)]) > 0.95
@@ -67,22 +68,22 @@ def machine():
 
 def test_toxicity_learns_and_tolerates(machine):
     m, texts, toxic = machine
-    score = m.scores(m.bests(texts, {}))
+    score = m.scores(m.bests(texts))
     assert np.mean((score >= 0.7) == np.array(toxic)) > 0.98
     for insult in ("you idiot", "i.d.i.o.t", "i d i o t", "IDI0T!", "mor-on", "m o r o n", "scum_bag"):
-        assert m.scores(m.bests([f"kato mi {insult} sol"], {}))[0] >= 0.7, insult
+        assert m.scores(m.bests([f"kato mi {insult} sol"]))[0] >= 0.7, insult
     for clean in ("kato miren soldor", "", None, "123 ---"):
-        assert m.scores(m.bests([clean], {}))[0] < 0.5
+        assert m.scores(m.bests([clean]))[0] < 0.5
     for gapped in ("idiiot", "moroon", "scuumbag"):
-        assert m.best(gapped, {}) > m.best("soldorka", {})
+        assert m.best(gapped) > m.best("soldorka")
 
 
 def test_toxicity_finds_inserted_letters_and_blanks(machine):
     m, texts, _ = machine
     for insult in ("ixdxixoxt", "mzozrzozn", "sxcxuxmxbxaxg", "xixdxixoxt", "id iot", "mor on", "scum bag", "sc um bag", "ID iot!"):
-        assert m.scores(m.bests([f"kato mi {insult} sol"], {}))[0] >= 0.7, insult
+        assert m.scores(m.bests([f"kato mi {insult} sol"]))[0] >= 0.7, insult
     for clean in ("kato mi soldor vu", "ka to mi ren sol", "kxaxtxoxmxi"):
-        assert m.scores(m.bests([clean], {}))[0] < 0.5, clean
+        assert m.scores(m.bests([clean]))[0] < 0.5, clean
 
 
 def test_toxicity_edges(spark, docs):
@@ -95,9 +96,52 @@ def test_toxicity_edges(spark, docs):
 
 def test_machine_is_its_kernel(machine):
     """The folded weights give the same values as the kernel against the landmarks."""
-    marks = toxicity.Landmarks(["^idiot", "^katomi", "idiot", "^soldor"])
+    marks = toxicity.Landmarks(toxicity.packed(["^idiot", "^katomi", "idiot", "^soldor"]))
     beta = np.array([1.0, -0.5, 0.25, -2.0])
-    strings = ["^idiotka", "^kato", "dorsol", "^id1"[:3] + "xy"]
+    strings = toxicity.packed(["^idiotka", "^kato", "dorsol", "^id1"[:3] + "xy"])
     direct = marks.kernel(strings) @ beta
     folded = toxicity.Machine(marks.fold(beta), 0.0).values(strings)
     assert np.allclose(direct, folded, atol=1e-5)
+
+
+def test_kernel_is_the_subsequence_kernel():
+    """Kernel values against a plain sum over pairs of subsequences, over the norms of strings without repeats."""
+    from itertools import combinations
+
+    def features(s):
+        out = {}
+        for at in combinations(range(len(s)), toxicity.ORDER):
+            if at[-1] - at[0] < toxicity.SPAN:
+                u = "".join(s[i] for i in at)
+                out[u] = out.get(u, 0.0) + toxicity.DECAY ** (at[-1] - at[0] + 1 - toxicity.ORDER)
+        return out
+
+    dot = lambda a, b: sum(w * b.get(u, 0.0) for u, w in a.items())
+    norm = lambda s: dot(features("abcdefgh"[: len(s)]), features("abcdefgh"[: len(s)])) ** 0.5
+    marks, strings = ["^idiot", "^katomi", "idiotkat", "^aaaa"], ["^idiotka", "^kato", "dorsol", "^idxiot", "aaaaaaaa"]
+    want = [[dot(features(s), features(m)) / norm(s) / norm(m) for m in marks] for s in strings]
+    assert np.allclose(toxicity.Landmarks(toxicity.packed(marks)).kernel(toxicity.packed(strings)), want, atol=1e-5)
+
+
+def test_toxicity_scores_every_window():
+    """Texts read together score as each window of each sentence does by itself."""
+    rng = np.random.default_rng(5)
+    m = toxicity.Machine(rng.normal(size=toxicity.WIDTH).astype(np.float32), -0.2)
+    m.weights[[c for c in range(toxicity.WIDTH) if toxicity.BEHIND in (c % toxicity.LETTERS, c // toxicity.LETTERS % toxicity.LETTERS, c // toxicity.LETTERS**2 % toxicity.LETTERS)]] = 0
+    signs = list("abcdeiotsé  ..!?\n1043@$,-ß ÄЖ　𝐢İ")
+    texts = ["".join(rng.choice(signs, rng.integers(0, 60))) for _ in range(400)] + ["", None, "i d i o t", "worthlessworthless you.", "x" * 40]
+    got = m.bests(texts)
+    for text, value in zip(texts, got, strict=True):
+        own = toxicity.packed(toxicity.windows_of(text))
+        assert np.isclose(value, max(m.values(own), default=toxicity.FLOOR), atol=1e-4), text
+    assert np.allclose([m.best(t) for t in texts], got)
+
+
+def test_toxicity_long_text():
+    m = toxicity.Machine(np.random.default_rng(5).normal(size=toxicity.WIDTH).astype(np.float32), -0.2)
+    old, toxicity.PART = toxicity.PART, 500
+    try:
+        parts = m.best("kato idiot mi sol. " * 3000)
+    finally:
+        toxicity.PART = old
+    assert np.isclose(parts, m.best("kato idiot mi sol. " * 3000))
