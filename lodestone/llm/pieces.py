@@ -7,7 +7,9 @@ one path weighs 0 and it is the encoding. That makes it scannable:
 
 1. A document of more than `CHUNK` characters is cut into chunks at any character. The state at a cut is the piece that
    covers it or ends at it. Each chunk gives a transfer matrix from the states at its start to those at its end.
-2. The matrices are combined associatively (max over states of sums), from either side, which leaves one state a cut.
+2. Neighbouring matrices are multiplied (max over the states between them of sums), up to `FAN` at a time, level by
+   level: the product is associative, so any grouping gives the document's matrix. Down the same tree, a node whose end
+   states are known tells the states at the cuts between its children; no task sees more than `FAN` matrices.
 3. Each chunk, given its two states, is backtraced by itself.
 
 No piece goes on past a space after another character, so there the state is known and the matrix is 1 x 1: only the
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, shuffle_width
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, MEMO, LONGEST, ROWS = 1 << 16, 100_000, 256, 500
+CHUNK, FAN, MEMO, LONGEST, ROWS = 1 << 16, 4, 100_000, 256, 500
 SPACE = "▁"
 _RUN = re.compile(r" *[^ ]+| +")
 
@@ -260,17 +262,35 @@ def backtrace(p: Pieces, text: str, lo: int, hi: int, entry: State | None, leave
     return head + middle + tail
 
 
-def combine(rows: list[tuple[list, list, list[int]]]) -> list:
-    """The state at each cut of a document, from its chunks' matrices in order; None at both ends.
+Matrix = tuple[list[State | None], list[State | None], list[int]]
 
-    Prefixes say which states the start reaches, suffixes which reach the end; one state is in both.
+
+def product(a: Matrix, b: Matrix) -> Matrix:
+    """The max-plus product: weights are 0 or minus infinity, so an exit's best weight is 0 for the entries that reach it by some state between."""
+    reach = dict(zip(a[1], a[2], strict=True))
+    through = [reach.get(s, 0) for s in b[0]]
+    out = []
+    for bits in b[2]:
+        own = 0
+        while bits:
+            low = bits & -bits
+            own |= through[low.bit_length() - 1]
+            bits ^= low
+        out.append(own)
+    return a[0], b[1], out
+
+
+def combine(rows: list[Matrix], entry: State | None = None, leave: State | None = None) -> list:
+    """The states at the start, at each cut and at the end of neighbouring chunks or nodes, from their matrices and the two outer states.
+
+    Prefixes say which states the entry reaches, suffixes which reach the end; one state is in both.
     """
-    forward = [{None}]
+    forward = [{entry}]
     for entries, exits, bits in rows:
         live = sum(1 << k for k, s in enumerate(entries) if s in forward[-1])
         forward.append({x for x, b in zip(exits, bits, strict=True) if b & live})
-    out = [None] * (len(rows) + 1)
-    wanted = {None}
+    out = [entry, *[None] * (len(rows) - 1), leave]
+    wanted = {leave}
     for k in range(len(rows) - 1, 0, -1):
         entries, exits, bits = rows[k]
         reach = 0
@@ -320,13 +340,46 @@ def _matrices(path: str):
     return run
 
 
-def _scan(table: pa.Table) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: r["k"])
+_MATRIX = "g string, k int, entries array<long>, exits array<long>, bits array<string>"
+
+
+def _read(rows: list[dict]) -> list[Matrix]:
     states_of = lambda flat: [None if a < 0 else (a, b) for a, b in zip(flat[::2], flat[1::2], strict=True)]
-    at = combine([(states_of(r["entries"]), states_of(r["exits"]), [int(b, 16) for b in r["bits"]]) for r in rows])
+    return [(states_of(r["entries"]), states_of(r["exits"]), [int(b, 16) for b in r["bits"]]) for r in rows]
+
+
+def _multiplied(table: pa.Table) -> pa.Table:
+    """One node of the level above from its children's matrices."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["k"])
+    entries, exits, bits = reduce(product, _read(rows))
+    flat = lambda own: [x for s in own for x in _pair(s, 0)]
+    return pa.table({"g": [rows[0]["g"]], "k": pa.array([rows[0]["k"] // FAN], pa.int32()), "entries": pa.array([flat(entries)], _STATE), "exits": pa.array([flat(exits)], _STATE), "bits": pa.array([[hex(b) for b in bits]], pa.list_(pa.string()))})
+
+
+def _opened(table: pa.Table) -> pa.Table:
+    """The end states of a node's children from its own."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["k"])
+    outer = [None if s[0] < 0 else tuple(s) for s in (rows[0]["entry"], rows[0]["leave"])]
+    at = combine(_read(rows), *outer)
     return pa.table({"g": [r["g"] for r in rows], "k": pa.array([r["k"] for r in rows], pa.int32()), "entry": pa.array([_pair(s, 0) for s in at[:-1]], _STATE), "leave": pa.array([_pair(s, 0) for s in at[1:]], _STATE)})
 
 
+def _known(matrices: DataFrame) -> DataFrame:
+    """(g, k, entry, leave) of every chunk: products up a tree over neighbouring chunks, states down again."""
+    levels, last = [matrices], matrices.agg(F.max("k")).first()[0]
+    above = lambda k: F.floor(k / FAN).cast("int")
+    while last:
+        levels.append(cut(levels[-1].groupBy("g", above(F.col("k")).alias("up")).applyInArrow(_multiplied, _MATRIX)))
+        last //= FAN
+    outside = F.array(F.lit(-1).cast("long"), F.lit(-1).cast("long"))
+    known = levels[-1].select("g", "k", outside.alias("entry"), outside.alias("leave"))
+    for level in reversed(levels[:-1]):
+        node = known.select(F.col("g").alias("of"), F.col("k").alias("up"), "entry", "leave")
+        met = level.join(node, (F.col("g") == F.col("of")) & (above(F.col("k")) == F.col("up"))).drop("of")
+        known = met.groupBy("g", "up").applyInArrow(_opened, "g string, k int, entry array<long>, leave array<long>")
+    return known
+
+
 def _backtraced(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
@@ -343,8 +396,7 @@ def scanned(giants: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFra
     """(g, ids) of distinct documents `giants(g, text)`, by the scan."""
     width = shuffle_width(giants.sparkSession)
     chunks = cut(giants.mapInArrow(_windows(path, chunk), "g string, k int, lo int, hi int, first boolean, last boolean, base long, text string").repartition(width, "g", "k"))
-    found = chunks.mapInArrow(_matrices(path), "g string, k int, entries array<long>, exits array<long>, bits array<string>")
-    at = found.groupBy("g").applyInArrow(_scan, "g string, k int, entry array<long>, leave array<long>")
+    at = _known(cut(chunks.mapInArrow(_matrices(path), _MATRIX)))
     ids = chunks.join(at, ["g", "k"]).mapInArrow(_backtraced(path), "g string, k int, ids array<int>")
     return ids.groupBy("g").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
@@ -400,23 +452,23 @@ def _checker(path: str):
     return checked
 
 
-def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
-    """The rows of giant texts with their ids, each distinct text scanned once."""
-    giant = docs.where(F.length("text") >= chunk).withColumn("_at", F.sha2(F.encode("text", "UTF-8"), 256))
-    distinct = giant.groupBy(F.col("_at").alias("g")).agg(F.first("text").alias("text"))
-    done = scanned(distinct, path, chunk).select(F.col("g").alias("_g"), F.col("ids").alias("_ids"))
-    return giant.join(done, F.col("_at") == F.col("_g")).select(*[F.col(f"`{c}`") for c in docs.columns if c != "ids"], F.col("_ids").alias("ids"))
+def _giants(rows: DataFrame, path: str, chunk: int) -> DataFrame:
+    """(row, ids) of giant texts in `rows(row)`, structs with a text; each distinct text is scanned once."""
+    giant = rows.where(F.length("row.text") >= chunk).select("row", F.sha2(F.encode("row.text", "UTF-8"), 256).alias("at"))
+    distinct = giant.groupBy(F.col("at").alias("g")).agg(F.first("row.text").alias("text"))
+    return giant.join(scanned(distinct, path, chunk), F.col("at") == F.col("g")).select("row", "ids")
 
 
 def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """All rows and columns of `docs(text)` and `ids`; giant texts by the scan."""
-    small = docs.where(F.col("text").isNull() | (F.length("text") < chunk)).withColumn("ids", _encoder(path)(F.col("text")))
-    return small.unionByName(_giants(docs, path, chunk))
+    """All rows and columns of `docs(text)` and `ids`, in place of a column of that name; giant texts by the scan."""
+    rows = docs.drop("ids").select(F.struct("*").alias("row"))
+    small = rows.where(F.col("row.text").isNull() | (F.length("row.text") < chunk)).select("row", _encoder(path)(F.col("row.text")).alias("ids"))
+    return small.unionByName(_giants(rows, path, chunk)).select("row.*", "ids")
 
 
 def round_trip(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, ids and intact (decoding gives the text again, U+2581 as a space) of every row."""
     docs = docs.select("doc_id", "text")
     small = docs.where(F.col("text").isNull() | (F.length("text") < chunk)).select("doc_id", _checker(path)(F.col("text")).alias("c")).select("doc_id", "c.ids", "c.intact")
-    large = _giants(docs, path, chunk).select("doc_id", "ids", (decoder(path)(F.col("ids")) == F.translate("text", SPACE, " ")).alias("intact"))
+    large = _giants(docs.select(F.struct("*").alias("row")), path, chunk).select("row.doc_id", "ids", (decoder(path)(F.col("ids")) == F.translate("row.text", SPACE, " ")).alias("intact"))
     return small.unionByName(large).select("doc_id", F.size("ids").alias("n_tokens"), "ids", "intact")

@@ -58,3 +58,50 @@ def test_spark(spark, docs):
         assert r.intact == (None if text is None else True)
     assert Q.round_trip(docs([])).count() == 0
     assert Q.encode(frame, chunk=60).columns == [*frame.columns, "ids"]
+
+
+def matrices(p, text, chunk):
+    side, whole, rows = 2 * p.widest, Q.surface(text), []
+    for lo in range(0, len(whole), chunk):
+        hi = min(lo + chunk, len(whole))
+        a, b = max(0, lo - 2 * side), min(len(whole), hi + side)
+        entries, exits, bits = Q.matrix(p, whole[a:b], lo - a, hi - a, lo == 0, hi == len(whole))
+        rows.append(([s and (s[0] + a, s[1] + a) for s in entries], [s and (s[0] + a, s[1] + a) for s in exits], bits))
+    return rows
+
+
+def test_product_is_associative():
+    """Any grouping of neighbouring matrices gives the same one, entry by entry that of a plain max-plus sum."""
+    p, rnd = Q.pieces(Q.MODEL), random.Random(4)
+    for t in texts(60, 5):
+        rows = matrices(p, t * 2, rnd.randrange(17, 60))
+        if len(rows) < 3:
+            continue
+        a, b, c = rows[:3]
+        left, right = Q.product(Q.product(a, b), c), Q.product(a, Q.product(b, c))
+        assert left == right
+        dense = lambda m: np.array([[0.0 if bits >> i & 1 else -np.inf for bits in m[2]] for i in range(len(m[0]))])
+        order = [b[0].index(s) if s in b[0] else None for s in a[1]]
+        da, db = dense(a), dense(b)
+        want = np.full((len(a[0]), len(b[1])), -np.inf)
+        for x, y in enumerate(order):
+            if y is not None:
+                want = np.maximum(want, da[:, x, None] + db[y][None, :])
+        assert (dense(Q.product(a, b)) == want).all()
+
+
+def test_states_come_down_the_tree(spark, docs, monkeypatch):
+    """Documents of many more chunks than a task joins: the scan's ids are the library's, by way of the products."""
+    p, seen = Q.pieces(Q.MODEL), []
+    own = [t * 20 for t in texts(4, 6)]
+    real = Q._known
+    monkeypatch.setattr(Q, "_known", lambda m: seen.append(m.groupBy("g").count().agg({"count": "max"}).first()[0]) or real(m))
+    got = {r.doc_id: r.ids for r in Q.encode(docs([(i, t, None, None) for i, t in enumerate(own)]), chunk=70).collect()}
+    assert seen and seen[0] > Q.FAN**2
+    assert all(got[i] == p.sp.encode(t) for i, t in enumerate(own))
+
+
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "a b", "x", "y", 5)], "doc_id long, text string, _at string, g string, ids int")
+    row = Q.encode(frame, chunk=2).first()
+    assert (row._at, row.g, row.ids) == ("x", "y", Q.pieces(Q.MODEL).sp.encode("a b"))
