@@ -7,7 +7,7 @@ cap / weight. A source's rate is its target over its words; each document is emi
 where a hash of its id falls below the fraction, so reruns agree and no document is emitted more than `MOST` times.
 
 Defined results: null text and text without words have size 0 and are emitted by the same rule; sources without words
-have target 0 and rate 0; rows that repeat an id share its draw; a null id draws as an empty one; empty tables give no
+have target 0 and rate 0; where the share is `MOST` or more every target is its cap; rows that repeat an id share its draw; a null id draws as an empty one; empty tables give no
 rows; `emit` keeps all columns.
 """
 
@@ -44,19 +44,20 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     heavy = F.sum("w").over(every) - (F.sum("w").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w"))
     per = per.withColumn("order", F.row_number().over(by)).withColumn("level", left / heavy).withColumn("open", F.col("level") * F.col("w") < F.col("cap"))
     level = F.min(F.when(F.col("open"), F.struct(F.col("order"), F.col("level")))).over(every)["level"]
-    target = F.least(F.col("cap"), F.coalesce(level, F.lit(0.0)) * F.col("w"))
+    target = F.least(F.col("cap"), level * F.col("w"))  # the cap where no source is open, as then the level is null
     per = per.withColumn("target", target)
     return per.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
 def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """All rows of `docs(doc_id, text, source)` and _size, _source_size, _target and _copies."""
+    """(row, size, source_size, target, copies) of all rows of `docs(doc_id, text, source)`; row: the whole row, whatever its columns are called."""
     per = cut(targets(docs.select("source", words(F.col("text")).alias("size")), weights, share, most))
-    per = per.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    whole = F.floor("_rate")
-    copies = (whole + (draw(F.col("doc_id"), seed) < F.col("_rate") - whole).cast("int")).cast("int")
-    met = docs.withColumn("_size", words(F.col("text"))).join(F.broadcast(per) if _few(per) else per, F.col("source").eqNullSafe(F.col("_source")))
-    return met.withColumn("_copies", copies).drop("_source", "_rate")
+    per = per.select(F.col("source").alias("of"), "source_size", "target", "rate")
+    whole = F.floor("rate")
+    copies = (whole + (draw(F.col("row.doc_id"), seed) < F.col("rate") - whole).cast("int")).cast("int")
+    sized = docs.select(F.struct("*").alias("row"), words(F.col("text")).alias("size"))
+    met = sized.join(F.broadcast(per) if _few(per) else per, F.col("row.source").eqNullSafe(F.col("of")))
+    return met.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def _few(per: DataFrame, bound: int = 100_000) -> bool:
@@ -66,15 +67,13 @@ def _few(per: DataFrame, bound: int = 100_000) -> bool:
 
 def plan(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row."""
-    return planned(docs.select("doc_id", "text", "source")).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken")
-    )
+    return planned(docs.select("doc_id", "text", "source")).select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of `docs` as many times as it is taken, with its own columns."""
-    out = planned(docs, weights, share, most, seed).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = planned(docs, weights, share, most, seed).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 SQL = r"""
@@ -89,7 +88,7 @@ WITH d AS (
   SELECT *, (((sum(source_size) OVER ())::DOUBLE * 1.5) - (sum(cap) OVER o - cap)) / (sum(w) OVER () - (sum(w) OVER o - w)) AS level, row_number() OVER o AS n FROM c
   WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)
 ), t AS (
-  SELECT source, source_size, least(cap, w * coalesce((SELECT arg_min(level, n) FROM l WHERE level * w < cap), 0.0)) AS target FROM l
+  SELECT source, source_size, least(cap, w * coalesce((SELECT arg_min(level, n) FROM l WHERE level * w < cap), 'infinity'::DOUBLE)) AS target FROM l
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
     ('0x' || substr(md5('mix-1|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u

@@ -1,15 +1,18 @@
 """Sharding by histogram sort, in DataFrame operations only.
 
-Rows are ordered by (text key, id key): a 63-bit hash of the text, then a 62-bit hash of the id, so equal texts lie side
-by side. Splitters are found by counting: every pass takes the exact bytes below each boundary of a finer grid over the
+Rows are ordered by (text key, id key): a 63-bit hash of the text, then 44 bits of a hash of the id and 18 of one of the
+row's place in the table, so equal texts lie side by side, and rows that repeat their id, or have none, can be told apart. Splitters are found by counting: every pass takes the exact bytes below each boundary of a finer grid over the
 intervals that still hold a splitter, and narrows them, until a boundary is within `TOLERANCE` of a shard's share. So a
 group of equal texts is cut only where it is larger than that; then the id key splits it. Each pass is one aggregation
 that sends sums of bytes, not rows. With the splitters known, rows are exchanged once, and numbered in their shard.
 
 Law `bytes`: sizes are near equal. Size: UTF-8 bytes of the text, none for null, plus 1.
 
-Defined results: null text has a null crc and size 1 and sorts first; a null id sorts by a key of its own; rows that
-repeat both id and text can't be told apart and stay together; fewer rows than shards leave shards empty; an empty table
+Slots are gapless in a shard and numbered part by part, the rows of a part in key order: parts are dealt by a hash of the
+id key, so no part grows with one id or with rows that have none.
+
+Defined results: null text has a null crc and size 1 and sorts first; a null id is one id more; rows that repeat an id,
+a text or both are rows of their own and may lie in different shards where their group is large; fewer rows than shards leave shards empty; an empty table
 gives no rows; columns named in `carry` go along.
 """
 
@@ -36,7 +39,7 @@ def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("_size"),
         crc.cast("long").alias("_crc"),
         F.coalesce(F.shiftleft(crc.cast("long"), 31).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1))), F.lit(0)).cast("long").alias("_h"),
-        F.xxhash64("doc_id", F.lit(23)).bitwiseAND(F.lit((1 << 62) - 1)).alias("_k"),
+        F.shiftleft(F.xxhash64("doc_id", F.lit(23)).bitwiseAND(F.lit((1 << 44) - 1)), 18).bitwiseOR(F.xxhash64(F.monotonically_increasing_id(), F.lit(29)).bitwiseAND(F.lit((1 << 18) - 1))).alias("_k"),
     )
 
 
@@ -92,14 +95,14 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
 
 def assign(docs: DataFrame, shards: int = SHARDS, carry: tuple[str, ...] = (), tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of `docs(doc_id, text)`, beside `carry`."""
-    narrow = cut(keyed(docs))
+    rows = cut(keyed(docs, carry))  # written once: a row keeps its place, and with it its key
+    narrow = rows.select("_size", "_h", "_k")
     cuts = splitters(narrow, shards, tolerance)
-    rows = keyed(docs, carry) if carry else narrow
     shard = F.lit(0)
     for h, k in cuts:
         shard = shard + ((F.col("_h") > h) | ((F.col("_h") == h) & (F.col("_k") >= k))).cast("int")
     parts = max(1, -(-narrow.count() // (shards * SLOT_ROWS)))
-    part = F.pmod(F.xxhash64("_id", F.lit(41)), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64("_k", F.lit(41)), F.lit(parts)).cast("int")
     placed = rows.withColumn("_shard", shard).withColumn("_part", part)
     counts = narrow.select(shard.alias("_s"), part.alias("_p")).groupBy("_s", "_p").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

@@ -87,3 +87,29 @@ def test_chat(spark):
         whole = rows[r.conv_id, r.participant].text
         assert whole[r.span_start : r.span_end] == r.content and r.mask == (r.role == "assistant")
     assert chat.perspectives(frame.limit(0)).count() == 0
+
+
+def test_sharding_cuts_rows_without_ids(docs):
+    """Rows that share their text and have no id, or repeat one, are dealt like others, and a plain histogram agrees."""
+    rows = [(None, "the same text " * 3, None, None)] * 400 + [(7, "another text", None, None)] * 200 + [(1000 + i, f"text {i}", None, None) for i in range(200)]
+    got = sharding.assign(docs(rows)).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    share = sum(size.values()) / 16
+    assert len(got) == len(rows) and all(abs(size[s] - share) <= 2 * 43 for s in range(16))
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    frame = spark.createDataFrame([(i, "a b", "s", "mine", "theirs", "x") for i in range(20)], "doc_id long, text string, source string, _size string, _source string, row string")
+    out = mixing.emit(frame)
+    assert out.columns == frame.columns and {(r._size, r._source, r.row) for r in out.collect()} == {("mine", "theirs", "x")}
+
+
+@pytest.mark.parametrize("share", [2.0, 3.0])
+def test_mixing_stops_at_the_cap(docs, share):
+    frame = docs([(i, "w " * 3, "en", f"s{i % 3}") for i in range(30)])
+    assert {r.target for r in mixing.targets(frame.select("source", mixing.words(frame.text).alias("size")), share=share, most=2).collect()} == {60.0}
+    assert mixing.emit(frame, share=share, most=2).count() == 60
