@@ -20,20 +20,16 @@ from lodestone.llm.common import ensure_checkpoint_dir
 LEAST_LANGUAGE_SCORE = 0.3
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learnt language; text without letters and text that is unlike every learnt language go."""
-    judged = docs.withColumn("_language", language.predict(spark, F.col("text"), language.train(docs)))
-    return judged.where((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)).select(*_columns(docs))
+    judged = docs.select(F.struct("*").alias("row"), language.predict(spark, F.col("text"), language.train(docs)).alias("said"))
+    return judged.where((F.col("said.lang_pred") != "und") & (F.col("said.score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold."""
     machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(toxicity.score(spark, F.col("text"), machine) < toxicity.THRESHOLD).select(*_columns(docs))
+    return docs.where(toxicity.score(spark, F.col("text"), machine) < toxicity.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
