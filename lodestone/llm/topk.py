@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, shuffle_width
 
 K, SLICES, DEPTH, QUERY_BLOCK, ROW_BLOCK, TILE = 20, 2, 256, 16384, 16384, 64
 NONE = np.iinfo(np.int64).min // 8
@@ -149,7 +149,8 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, slices: int = SLICES, depth: int = DEPTH, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """The k best rows of `vectors(row, id, v)`, as `scaled` gives them, for each of `queries`, some of them: query_id, rank, vec_id, score."""
     total, asked = vectors.count(), queries.count()
-    row_blocks, query_blocks = max(1, -(-total // row_block)), max(1, -(-asked // query_block))
+    # at least a block a task, as far as blocks keep a thousand rows: queries are copied to every block of rows
+    row_blocks, query_blocks = max(1, -(-total // row_block), min(shuffle_width(vectors.sparkSession), total // 1024)), max(1, -(-asked // query_block))
     block = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     rows = vectors.withColumn("c", block(row_blocks, 3)).withColumn("q", every(query_blocks)).withColumn("unit", F.col("q") * row_blocks + F.col("c"))
