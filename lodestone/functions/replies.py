@@ -75,13 +75,33 @@ def is_pdf(url: Column, content: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), r"[?#].*$", "")).endswith(".pdf") | F.coalesce(F.decode(F.substring(content, 1, 64), "ISO-8859-1").rlike(r"^(\xEF\xBB\xBF)?\s*%PDF-"), F.lit(False))
 
 
-def error_kind(status: Column, text: Column) -> Column:
-    """FLT-17: what to do about a failed request: retry it, try it elsewhere, or give up."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return (
-        F.when(status.isin(429, 502, 503, 504) | t.rlike(r"timeout|timed out|temporar|rate limit|too many requests|connection (reset|refused)"), "transient")
-        .when(t.rlike(r"net::err_aborted|navigation|download is starting"), "navigation").when(status.isin(401, 403, 404, 410), "final").otherwise("unknown")
-    )
+#: Codes of failures that are tried again or read without a model, statuses and words likewise.
+RETRYABLE_CODES = ("rate-limited", "server-busy", "connection-failed", "network-error")
+RETRYABLE_STATUSES = (408, 425, 429)
+TRANSIENT_STATUSES = (408, 425, 429, 502, 503, 504)
+TRANSIENT_WORDS = ("rate limit", "rate-limit", "too many requests", "requeued", "memory pressure", "service unavailable", "temporarily unavailable")
+FALLBACK_CODES = ("bad-response", "no-task-id", "timeout")
+FALLBACK_STATUSES = (400, 404, 405, 500, 501)
+
+
+def retryable(code: Column, status: Column) -> Column:
+    """FLT-17: whether a failed request is sent again."""
+    http = (code == "http-error") & (status.isin(*RETRYABLE_STATUSES) | status.between(500, 599))
+    return F.coalesce(code.isin(*RETRYABLE_CODES) | http, F.lit(False))
+
+
+def transient(success: Column, status: Column, message: Column) -> Column:
+    """FLT-17: whether a page's own failure, in a reply that arrived, is worth another try."""
+    said = F.lower(F.coalesce(message, F.lit("")))
+    words = F.lit(False)
+    for w in TRANSIENT_WORDS:
+        words = words | said.contains(w)
+    return ~F.coalesce(success, F.lit(False)) & (F.coalesce(status.isin(*TRANSIENT_STATUSES), F.lit(False)) | words)
+
+
+def fallback_worthy(code: Column, status: Column) -> Column:
+    """FLT-17: whether a page that a model couldn't read is read as plain Markdown instead."""
+    return F.coalesce(code.isin(*FALLBACK_CODES) | ((code == "http-error") & status.isin(*FALLBACK_STATUSES)), F.lit(False))
 
 
 def retry_delay(retry_after: Column, attempt: Column, jitter: Column, ladder: tuple[int, ...] = (2, 5, 10), most: int = 60) -> Column:

@@ -1,0 +1,107 @@
+"""Results of searches, crawls and extraction jobs as rows and text: projections and small rules.
+
+PRJ-01/02, AGG-18, MSC-03/05/07, SCA-16/22, TOP-10, SET-06.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from lodestone.functions.text import clean
+
+#: Characters of a snippet, of a link's label, of a section of links and of a code excerpt; links in a section.
+SNIPPET, LABEL, SECTION, EXCERPT, MOST_LINKS = 500, 90, 3000, 6000, 25
+LINKS_MARK = "--- Links on this page"
+
+
+def _end(x: Column) -> Column:
+    return F.regexp_replace(x, r"\s+$", "")
+
+
+def search_result(title: Column, url: Column, content: Column, engine: Column, score: Column) -> Column:
+    """PRJ-01: a search result as it is shown: a clean title or the address, a snippet, engine and score; null without an address."""
+    said = clean(F.coalesce(content, F.lit("")))
+    snippet = F.when(F.length(said) > SNIPPET, F.concat(_end(F.substring(said, 1, SNIPPET)), F.lit("…"))).otherwise(said)
+    name = clean(F.coalesce(title, F.lit("")))
+    made = F.struct(
+        F.when(name != "", name).otherwise(url).alias("title"), url.alias("url"), snippet.alias("content"), F.coalesce(engine, F.lit("")).alias("engine"), F.coalesce(score.cast("double"), F.lit(0.0)).alias("score")
+    )
+    return F.when(F.coalesce(url, F.lit("")) != "", made)
+
+
+def distinct_strings(values: Column) -> Column:
+    """AGG-18: clean strings, each once, in order of their first occurrence; blank ones go."""
+    return F.array_distinct(F.filter(F.transform(values, lambda v: clean(F.coalesce(v, F.lit("")))), lambda v: v != ""))
+
+
+def job_result(result: Column) -> Column:
+    """MSC-03: an extraction job's JSON reply: structured if an object or a list, else a reply; nothing is a failure."""
+    blank = result.isNull() | (result == "") | (result == "null")
+    structured = result.rlike(r"^\s*[\[{]")
+    return F.struct(
+        (~blank).alias("success"), F.when(blank, "The LLM extraction returned no content.").alias("error"),
+        F.when(~blank & structured, result).alias("structured"), F.when(~blank & ~structured, result).alias("reply"),
+    )
+
+
+def is_internal(*flags: Column) -> Column:
+    """MSC-05: whether any internal mark of a message is set."""
+    out = F.lit(False)
+    for flag in flags:
+        out = out | F.coalesce(flag, F.lit(False))
+    return out
+
+
+def is_model(installed: Column, name: Column) -> Column:
+    """MSC-07: whether an installed model is the one asked for, with or without its tag."""
+    return F.coalesce((installed == name) | installed.startswith(F.concat(name, F.lit(":"))), F.lit(False))
+
+
+def links_section(links: Column, most: int = MOST_LINKS) -> Column:
+    """SCA-16: an array of links (href, text, title, external) as a numbered section; '' without links."""
+    own = F.slice(F.coalesce(links, F.array().cast("array<struct<href:string,text:string,title:string,external:boolean>>")), 1, most)
+
+    def line(x: Column, i: Column) -> Column:
+        filled = lambda c: F.when(x[c] != "", x[c])
+        label = F.translate(F.regexp_replace(F.coalesce(filled("text"), filled("title"), filled("href"), F.lit("")), r"\s+", " "), "[]", "()")
+        label = F.when(F.length(label) > LABEL, F.concat(_end(F.substring(label, 1, LABEL - 1)), F.lit("…"))).otherwise(label)
+        return F.concat((i + 1).cast("string"), F.lit(". ["), label, F.lit("]("), F.coalesce(x["href"], F.lit("")), F.lit(")"), F.when(x["external"], " (external)").otherwise(""))
+
+    head = F.concat(F.lit(f"{LINKS_MARK} ("), F.size(own).cast("string"), F.lit(") ---"))
+    section = F.array_join(F.concat(F.array(head), F.transform(own, line)), "\n")
+    section = F.when(F.length(section) > SECTION, F.concat(_end(F.substring(section, 1, SECTION)), F.lit("\n[...links trimmed]"))).otherwise(section)
+    return F.when(F.size(own) > 0, section).otherwise("")
+
+
+def split_links(text: Column) -> Column:
+    """SCA-16: (head, tail) of a result at its section of links; the tail is '' where there is none."""
+    t = F.coalesce(text, F.lit(""))
+    at = F.locate(LINKS_MARK, t)
+    return F.struct(F.when(at > 0, _end(F.substring(t, F.lit(1), at - 1))).otherwise(t).alias("head"), F.when(at > 0, F.substring(t, at, F.length(t))).otherwise("").alias("tail"))
+
+
+def code_excerpt(text: Column, most: int = EXCERPT) -> Column:
+    """SCA-22: headings and fenced lines of a page; of one that has none its start; cut with a note."""
+    t = F.coalesce(text, F.lit(""))
+    lines = F.split(t, "\n")
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, line: Column) -> Column:
+        fence = line.rlike(r"^\s*```")
+        keep = fence | acc["inside"] | line.rlike(r"^#{1,6}\s")
+        return F.struct(F.when(fence, ~acc["inside"]).otherwise(acc["inside"]).alias("inside"), F.when(keep, F.concat(acc["kept"], F.array(line))).otherwise(acc["kept"]).alias("kept"))
+
+    own = F.regexp_replace(F.array_join(F.aggregate(lines, start, step, lambda acc: acc["kept"]), "\n"), r"^\s+|\s+$", "")
+    return F.when(own == "", _end(F.substring(t, 1, most))).when(F.length(own) > most, F.concat(_end(F.substring(own, 1, most)), F.lit("\n[...raw excerpt trimmed]"))).otherwise(own)
+
+
+def first_items(items: Column, most: int) -> Column:
+    """TOP-10: the first items of a list, in its order."""
+    return F.slice(F.coalesce(items, F.array()), 1, most)
+
+
+def stage_keys(old: Column, new: Column) -> Column:
+    """SET-06: stages reached so far and new ones, each once."""
+    none = F.array().cast("array<string>")
+    return F.array_union(F.coalesce(old, none), F.coalesce(new, none))

@@ -45,21 +45,37 @@ def _re(x: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(x, pattern, to)
 
 
-def html_to_text(html: Column, entities: bool = True) -> Column:
-    """SCA-01: visible text of a page, a line for each block and `- ` before list items; '' for null.
+def _numbered(text: Column, mark: str, digits: str, base: int) -> Column:
+    """Numeric entities of one kind as signs; numbers that are no code point give nothing."""
+    number = rf"^&#{mark}({digits}+);"
+
+    def part(x: Column) -> Column:
+        n = F.regexp_extract(x, number, 1)
+        code = F.when(F.length(F.ltrim(n, F.lit("0"))) <= 7, F.conv(n, base, 10).cast("long"))
+        real = (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        sign = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
+        return F.when(n != "", F.concat(F.coalesce(sign, F.lit("")), F.regexp_replace(x, number, ""))).otherwise(x)
+
+    return F.when(text.contains(f"&#{mark}"), F.array_join(F.transform(F.split(text, rf"(?=&#{mark}{digits}+;)"), part), "")).otherwise(text)
+
 
-    Named entities are decoded here; numeric ones need code points beyond what `chr` gives, see `markdown.decode_entities`.
-    """
+def decoded(text: Column) -> Column:
+    """SCA-04 in expressions: hexadecimal, then decimal, then named entities, one pass each; unknown names stay."""
+    t = _numbered(_numbered(text, "x", "[0-9a-fA-F]", 16), "", "[0-9]", 10)
+    for name, sign in ENTITIES.items():
+        if name != "amp":
+            t = F.replace(t, F.lit(f"&{name};"), F.lit(sign))
+    return F.replace(t, F.lit("&amp;"), F.lit("&"))
+
+
+def html_to_text(html: Column, entities: bool = True) -> Column:
+    """SCA-01: visible text of a page, a line for each block and `- ` before list items; '' for null."""
     t = _re(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " ")
     # any dropped element ends at its own end tag, so one alternative each, in the order that they open
     t = _re(t, r"(?is)<(" + "|".join(DROPPED) + r").*?</\1>", " ")
     t = _re(_re(t, r"(?i)<li[^>]*>", "\n- "), r"(?i)<br\s*/?>", "\n")
     t = _re(_re(t, f"(?i)</({BREAKING})>", "\n"), r"<[^>]+>", " ")
-    if entities:
-        for name, sign in ENTITIES.items():
-            if name != "amp":
-                t = F.replace(t, F.lit(f"&{name};"), F.lit(sign))
-        t = F.replace(t, F.lit("&amp;"), F.lit("&"))
+    t = decoded(t) if entities else t
     t = _re(_re(_re(t, r"[ \t\f\x0B]+", " "), r" *\n *", "\n"), r"\n{3,}", "\n\n")
     return _re(t, r"^\s+|\s+$", "")
 

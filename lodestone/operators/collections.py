@@ -44,11 +44,16 @@ def evict_oldest(chunks: DataFrame, n: int) -> DataFrame:
 
 
 def evict_share(chunks: DataFrame, share: float = 0.2) -> DataFrame:
-    """DML-04: every collection without its oldest fifth, at least one chunk."""
+    """DML-04: every collection without its oldest fifth, at least one chunk. Ids and ages are ranked; content is not moved for that."""
     order = Window.partitionBy("collection").orderBy(F.coalesce("indexed_at", F.lit(0.0)), "id")
     size = chunks.groupBy("collection").agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("_drop"))
-    met = chunks.withColumn("_r", F.row_number().over(order)).join(F.broadcast(size), "collection")
-    return met.where(F.col("_r") > F.col("_drop")).drop("_r", "_drop")
+    aged = chunks.select("collection", "id", "indexed_at").withColumn("_r", F.row_number().over(order)).join(size, "collection")
+    return chunks.join(aged.where(F.col("_r") <= F.col("_drop")).select("collection", "id"), ["collection", "id"], "left_anti")
+
+
+def without(chunks: DataFrame, collection: str | None = None) -> DataFrame:
+    """SNK-05: chunks without one collection, or none at all."""
+    return chunks.limit(0) if collection is None else chunks.where(~F.coalesce(F.col("collection") == collection, F.lit(False)))
 
 
 def stats(chunks: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Links of pages: extraction, filters, ranking, merging of result lists.
 
-TAB-01/09/17, TOP-05/06/11, AGG-16, JN-06/07, SET-01/04/05, PIP-07, SNK-06. Pages are (page_id, url, html).
+TAB-01/09/16/17, TOP-05/06/11, AGG-16, JN-06/07, SET-01/04/05, PIP-07, SNK-06. Pages are (page_id, url, html).
 """
 
 from __future__ import annotations
@@ -16,15 +16,33 @@ _ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))[^>]*
 
 
 def anchors(pages: DataFrame, most: int | None = None) -> DataFrame:
-    """TAB-01: (page_id, url, pos, href, text, external) of the http(s) links of a page, in order; the first `most` only."""
+    """TAB-01: (page_id, url, pos, href, text, external) of the http(s) links of a page, in order.
+
+    With `most`, reading stops after twice as many links that are neither navigation nor assets, as `normalized` wants them.
+    """
     group = lambda k: F.regexp_extract_all("html", F.lit(_ANCHOR), k)
     zipped = F.arrays_zip(group(1).alias("a"), group(2).alias("b"), group(3).alias("c"), group(4).alias("t"))
-    if most is not None:
-        zipped = F.slice(zipped, 1, 2 * most)
     flat = pages.select("page_id", "url", F.posexplode(zipped).alias("pos", "m"))
     raw = F.coalesce(*[F.nullif(F.col(f"m.{c}"), F.lit("")) for c in "abc"])
-    out = flat.select("page_id", "url", "pos", U.resolve(raw, F.col("url")).alias("href"), T.clean(F.regexp_replace("m.t", r"(?s)<[^>]+>", " ")).alias("text"))
-    return out.where("href <> ''").withColumn("external", U.is_external(F.col("href"), F.col("url")))
+    out = flat.select("page_id", "url", "pos", U.resolve(raw, F.col("url")).alias("href"), T.clean(T.decoded(F.regexp_replace("m.t", r"(?s)<[^>]+>", " "))).alias("text"))
+    out = out.where("href <> ''").withColumn("external", U.is_external(F.col("href"), F.col("url")))
+    if most is None:
+        return out
+    found = out.where(~F.col("href").rlike(U.NOISE) & ~F.col("href").rlike(U.ASSET))
+    return found.withColumn("_r", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("_r") <= 2 * most).drop("_r")
+
+
+def crawled(results: DataFrame, external: bool = False) -> DataFrame:
+    """TAB-16: (page_id, url, pos, href, text, title, external) of the links that a crawl's result lists, internal ones first.
+
+    results: (page_id, url, internal, external), arrays of structs with href, text and title; links without an address go.
+    """
+    own = F.transform(F.coalesce("internal", F.array()), lambda x: F.struct(x["href"].alias("href"), x["text"].alias("text"), x["title"].alias("title"), F.lit(False).alias("external")))
+    if external:
+        own = F.concat(own, F.transform(F.coalesce("external", F.array()), lambda x: F.struct(x["href"].alias("href"), x["text"].alias("text"), x["title"].alias("title"), F.lit(True).alias("external"))))
+    flat = results.select("page_id", "url", F.posexplode(own).alias("pos", "m"))
+    trimmed = lambda c: F.trim(F.coalesce(F.col(f"m.{c}"), F.lit("")))
+    return flat.select("page_id", "url", "pos", trimmed("href").alias("href"), trimmed("text").alias("text"), trimmed("title").alias("title"), F.col("m.external").alias("external")).where("href <> ''")
 
 
 def normalized(links: DataFrame, most: int, pdfs: bool = True) -> DataFrame:

@@ -6,6 +6,8 @@ embedding). Ties go to the smaller id. Queries are small relations that are broa
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,26 +57,57 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 def term_idf(post: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """SCA-54: a term's inverse document frequency; negative ones become epsilon times the collection's mean."""
-    df = post.groupBy("collection", "term").agg(F.count("*").alias("df")).join(F.broadcast(stats), "collection")
+    df = post.groupBy("collection", "term").agg(F.count("*").alias("df")).join(stats, "collection")
     raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("collection").agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean), "collection").select("collection", "term", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
+    return raw.join(mean, "collection").select("collection", "term", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(chunks: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
-    """JN-12, SCA-54: (collection, id, score, normalized) of the chunks that score above 0 for the query.
+def _query_stats(words: DataFrame, terms: list[str], epsilon: float = EPSILON) -> DataFrame:
+    """(collection, avg_len, idf): one row a collection, idf an array by place in `terms`; null where no document has a term.
 
-    Query terms count as often as they are given. Only the postings of query terms reach the scoring join; the idf table
-    covers all terms, since its floor is the mean over the collection.
+    One pass over the documents' distinct terms: partial counts by term, then by how many documents have a term, which is a
+    short table, of which the mean that negative frequencies become a part of follows. A null term stands for the document.
     """
-    spark = chunks.sparkSession
-    terms = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qf"))
-    post, stats = postings(chunks), corpus_stats(chunks)
-    idf = term_idf(post, stats).join(F.broadcast(terms), "term")
-    hit = post.join(F.broadcast(idf), ["collection", "term"]).join(F.broadcast(stats.select("collection", "avg_len")), "collection")
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = hit.groupBy("collection", "id").agg(F.sum(part).alias("score")).where("score > 0")
-    return scored.withColumn("normalized", F.least(F.col("score") / F.max("score").over(Window.partitionBy("collection")), F.lit(1.0)))
+    flat = words.select("collection", F.size("t").alias("len"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("term"))
+    by_term = flat.groupBy("collection", "term").agg(F.count("*").alias("df"), F.sum("len").alias("n"))
+    by_df = by_term.groupBy("collection", F.col("term").isNull().alias("whole"), F.when(F.col("term").isin(terms), F.col("term")).alias("term"), "df").agg(F.count("*").alias("terms"), F.sum("n").alias("n"))
+    every = Window.partitionBy("collection")
+    told = by_df.withColumn("docs", F.max(F.when(F.col("whole"), F.col("df"))).over(every)).withColumn("avg_len", F.max(F.when(F.col("whole"), F.col("n"))).over(every) / F.col("docs"))
+    told = told.withColumn("raw", F.when(~F.col("whole"), F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    told = told.withColumn("mean", F.sum(F.col("raw") * F.col("terms")).over(every) / F.sum(F.when(~F.col("whole"), F.col("terms"))).over(every))
+    idf = F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw"))
+    return told.groupBy("collection").agg(F.first("avg_len").alias("avg_len"), F.array(*(F.max(F.when(F.col("term") == t, idf)) for t in terms)).alias("idf"))
+
+
+def bm25_scores(chunks: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """JN-12, SCA-54: (collection, id, score) of the chunks that score above 0 for the query.
+
+    Query terms count as often as they are given. Each chunk counts them in its own words; no posting crosses a shuffle.
+    """
+    asked = Counter(re.findall(r"[a-z0-9]+", query.lower()))
+    if not asked:
+        return chunks.select("collection", "id", F.lit(0.0).alias("score")).limit(0)
+    words = chunks.select("collection", "id", tokens(F.col("content")).alias("t"))
+    met = words.select("collection", "id", F.size("t").alias("len"), F.filter("t", lambda x: x.isin(list(asked))).alias("t")).where(F.size("t") > 0).join(_query_stats(words, list(asked)), "collection")
+    count = lambda term: F.size(F.filter("t", lambda x: x == term))
+    score = F.lit(0.0)
+    for i, (term, qf) in enumerate(asked.items()):
+        tf = count(term)
+        score = score + F.when(tf > 0, qf * F.col("idf")[i] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).otherwise(0.0)
+    return met.select("collection", "id", score.alias("score")).where("score > 0")
+
+
+def bm25(chunks: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """The same, with scores over their collection's best (AGG-15): a maximum that is joined, not a window over all hits."""
+    scored = bm25_scores(chunks, query, k1, b)
+    return scored.join(scored.groupBy("collection").agg(F.max("score").alias("best")), "collection").select("collection", "id", "score", F.least(F.col("score") / F.col("best"), F.lit(1.0)).alias("normalized"))
+
+
+def lexical_topk(chunks: DataFrame, query: str, k: int) -> DataFrame:
+    """TOP-02/03: the k best chunks of each collection, with scores over the best and `rank0`; only those are compared further."""
+    top = ranked(bm25_scores(chunks, query).withColumn("score", F.round("score", 9)), "score", k)
+    return top.withColumn("normalized", F.least(F.col("score") / F.max("score").over(Window.partitionBy("collection")), F.lit(1.0)))
 
 
 def ranked(hits: DataFrame, score: str, k: int, by: tuple[str, ...] = ("collection",)) -> DataFrame:
@@ -96,13 +129,23 @@ def rrf(*lists: DataFrame, k: int = RRF_K) -> DataFrame:
     return every.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank0") + 1)).alias("rrf"))
 
 
-def hybrid(chunks: DataFrame, query_text: str, query_vector: DataFrame, k: int) -> DataFrame:
-    """PIP-01: dense and BM25 lists of 2k fused by rank; the score shown is the dense one, else BM25's (JN-02)."""
+def hybrid(chunks: DataFrame, query_text: str, query_vector: DataFrame, k: int, score: Callable[[list[str]], list[float] | None] | None = None, rerank_k: int = 20) -> DataFrame:
+    """PIP-01: dense and BM25 lists of 2k fused by rank; the score shown is the dense one, else BM25's (JN-02), to four places.
+
+    With `score`, the best `rerank_k` (k to 50), if there are k of them, are scored anew and ordered by that.
+    """
     dense = dense_topk(chunks, query_vector, 2 * k, by=("collection",)).withColumn("rank0", F.col("rank") - 1)
-    lexical = ranked(bm25(chunks, query_text), "score", 2 * k)
+    lexical = lexical_topk(chunks, query_text, 2 * k)
     fused = rrf(listed(lexical), listed(dense))
     shown = fused.join(dense.select("id", F.col("score").alias("d")), "id", "left").join(lexical.select("id", F.col("normalized").alias("l")), "id", "left")
-    return shown.select("id", "rrf", F.coalesce("d", "l", F.lit(0.0)).alias("score")).orderBy(F.desc("rrf"), "id").limit(k)
+    shown = shown.select("id", "rrf", F.round(F.coalesce("d", "l", F.lit(0.0)), 4).alias("score")).orderBy(F.desc("rrf"), "id")
+    if score is None:
+        return shown.limit(k)
+    few = shown.limit(max(k, min(rerank_k, 50)))
+    if few.count() < k:
+        return shown.limit(k)
+    again = rerank(few.join(chunks.select("id", "content"), "id").repartition(1).sortWithinPartitions(F.desc("rrf"), "id"), score)
+    return again.select("id", "rrf", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def coverage(hits: DataFrame) -> DataFrame:

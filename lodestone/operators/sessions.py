@@ -11,16 +11,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import pricing as P
 
-#: Request states and the events that lead from one to the next.
-LIFECYCLE = {
-    "idle": {"start": "preparing"}, "preparing": {"send": "waiting", "cancel": "cancelled", "fail": "failed"},
-    "waiting": {"frame": "streaming", "done": "finished", "cancel": "cancelled", "fail": "failed"},
-    "streaming": {"frame": "streaming", "tool": "tooling", "done": "finished", "cancel": "cancelled", "fail": "failed"},
-    "tooling": {"send": "waiting", "done": "finished", "cancel": "cancelled", "fail": "failed"},
-    "finished": {"start": "preparing"}, "cancelled": {"start": "preparing"}, "failed": {"start": "preparing"},
-}
-#: Characters of a tool result that are kept, by the last iteration that a tier holds for.
-TIERS = ((2, 12_000), (5, 6_000), (10, 3_000), (10**6, 1_500))
+#: Request states; those that a request works in, and those that it has come to rest in.
+STATES = ("idle", "enriching", "awaiting-model", "tool-loop", "synthesis", "stopping", "done", "error")
+PHASES, SETTLED = ("enriching", "awaiting-model", "tool-loop", "synthesis"), ("idle", "done", "error")
+#: Last iteration of a tier, search results, characters of a snippet, of a page read, of a page crawled and of knowledge.
+CHAT_TIERS = ((2, 10, 500, 16_000, 32_000, 8_000), (4, 8, 400, 8_000, 16_000, 5_000), (6, 6, 300, 4_000, 8_000, 3_000), (None, 4, 200, 2_000, 4_000, 2_000))
+RESEARCH_TIERS = ((3, 15, 500, 16_000, 32_000, 10_000), (5, 12, 450, 10_000, 20_000, 8_000), (8, 10, 350, 6_000, 12_000, 5_000), (None, 6, 250, 4_000, 8_000, 3_000))
+LINKS_MARK = "--- Links on this page"
 
 
 def greedy_spans(messages: DataFrame, budget: int) -> DataFrame:
@@ -51,14 +48,46 @@ def greedy_spans(messages: DataFrame, budget: int) -> DataFrame:
     return messages.select("conv_id", "turn", "role", "tokens").groupBy("conv_id").applyInPandas(fold, "conv_id long, turn long, role string")
 
 
-def tier_limit(iteration: Column) -> Column:
-    """WIN-16: characters kept of a tool result at an iteration."""
-    out = F.lit(TIERS[-1][1])
-    for last, n in reversed(TIERS[:-1]):
-        out = F.when(iteration <= last, n).otherwise(out)
+def tier(iteration: Column, tiers: tuple = CHAT_TIERS) -> Column:
+    """WIN-16: the limits of the first tier that holds at an iteration: results, snippet, read, crawl and knowledge."""
+    limits = lambda t: F.struct(*(F.lit(v).alias(n) for n, v in zip(("results", "snippet", "read", "crawl", "knowledge"), t[1:], strict=True)))
+    out = limits(tiers[-1])
+    for t in reversed(tiers[:-1]):
+        out = F.when(iteration <= t[0], limits(t)).otherwise(out)
     return out
 
 
+def truncated(text: Column, tool: Column, iteration: Column, tiers: tuple = CHAT_TIERS) -> Column:
+    """WIN-16: a tool's result as an iteration keeps it.
+
+    Pages and knowledge are cut to the tier's characters with a note; a page's list of links stays whole behind it. Of
+    searches the first results are kept, their lines cut. Other tools' results stay as they are.
+    """
+    t = tier(iteration, tiers)
+    end = lambda x: F.regexp_replace(x, r"\s+$", "")
+    note = F.concat(F.lit("[Content trimmed at iteration "), iteration.cast("string"), F.lit(" to manage context — re-read this page later if you need the rest.]"))
+    most = F.when(tool == "read_url", t["read"]).when(tool.isin("crawl_url", "explore_docs"), t["crawl"]).otherwise(t["knowledge"])
+    mark = F.locate(LINKS_MARK, text)
+    head, tail = F.when(mark > 0, end(F.substring(text, F.lit(1), mark - 1))), F.when(mark > 0, F.substring(text, mark, F.length(text)))
+    kept = F.greatest(F.lit(200), most - F.length(tail) - F.length(note) - 4)
+    page = F.when((tool != "knowledge_search") & (mark > 0), F.concat_ws("\n\n", end(F.substring(head, F.lit(1), kept)), note, tail)).otherwise(F.concat_ws("\n\n", end(F.substring(text, F.lit(1), most)), note))
+    lines = F.split(text, "\n")
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, line: Column) -> Column:
+        head_line = line.rlike(r"^[0-9]+\.\s")
+        n = acc["n"] + head_line.cast("int")
+        short = F.when(~head_line & (n > 0) & line.startswith("   ") & (F.length(line) > t["snippet"] + 3), F.concat(end(F.substring(line, F.lit(1), t["snippet"])), F.lit("…"))).otherwise(line)
+        done = acc["n"] > t["results"]  # nothing behind the first result too many is read
+        return F.struct(F.when(done, acc["n"]).otherwise(n).alias("n"), F.when(done | (n > t["results"]), acc["out"]).otherwise(F.concat(acc["out"], F.array(short))).alias("out"))
+
+    read = F.aggregate(lines, start, step)
+    left = F.concat(F.lit("\n["), (read["n"] - t["results"]).cast("string"), F.lit(" more results trimmed — iteration "), iteration.cast("string"), F.lit(".]"))
+    search = F.array_join(F.when(read["n"] > t["results"], F.concat(read["out"], F.array(left))).otherwise(read["out"]), "\n")
+    paged = tool.isin("read_url", "crawl_url", "explore_docs", "knowledge_search")
+    return F.when(paged & (F.length(text) > most), page).when(tool == "web_search", search).otherwise(text)
+
+
 def carried_facts(pages: DataFrame, most: int = 4000, each: int = 3) -> DataFrame:
     """WIN-13: before each page of a run, the last characters of the first facts of the pages before it."""
     order = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,18 +97,46 @@ def carried_facts(pages: DataFrame, most: int = 4000, each: int = 3) -> DataFram
 
 
 def lifecycle(events: DataFrame) -> DataFrame:
-    """STR-12: the state after each event (request_id, seq, event); events out of turn change nothing and are marked."""
+    """STR-12: what each action does to a session's request: (session_id, seq, state, generation, ok, reason).
+
+    events: (session_id, seq, action, argument, key). Actions: `begin` a phase (argument) of the response `key`, `mark` a
+    phase, `stop`, and `finish` with `error` or anything else. From a settled state a request begins anew and counts a
+    generation; a different response while one is at work counts one too and is told as an overlap, unless the one at work has
+    no name yet. Actions out of turn change nothing and have a reason, but `begin` while stopping, which does.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, generation, out = "idle", 0, []
+        state, response, generation, out = "idle", None, 0, []
         for r in pdf.sort_values("seq").itertuples():
-            new = LIFECYCLE[state].get(r.event)
-            generation += new == "preparing"
-            out.append((r.request_id, r.seq, r.event, new or state, generation, new is None))
-            state = new or state
-        return pd.DataFrame(out, columns=["request_id", "seq", "event", "state", "generation", "ignored"])
-
-    return events.groupBy("request_id").applyInPandas(fold, "request_id long, seq long, event string, state string, generation int, ignored boolean")
+            key, reason = r.key if isinstance(r.key, str) else None, None
+            if r.action == "begin":
+                if r.argument not in PHASES:
+                    reason = "invalid-phase"
+                else:
+                    if state == "stopping":
+                        reason = "illegal-transition"
+                    elif state in SETTLED:
+                        generation, response = generation + 1, key
+                    elif key is not None and key != response:
+                        if response is not None:
+                            reason, generation = "response-overlap", generation + 1
+                        response = key
+                    state = r.argument
+            elif r.action == "mark":
+                if r.argument in PHASES and state in PHASES:
+                    state = r.argument
+                else:
+                    reason = "illegal-transition"
+            elif r.action == "stop":
+                reason = "already-stopping" if state == "stopping" else None if state in PHASES else "not-stoppable"
+                state = state if reason else "stopping"
+            else:
+                reason = "not-active" if state in SETTLED else None
+                state = state if reason else "error" if r.argument == "error" else "done"
+            out.append((r.session_id, r.seq, state, generation, reason is None, reason))
+        return pd.DataFrame(out, columns=["session_id", "seq", "state", "generation", "ok", "reason"])
+
+    return events.select("session_id", "seq", "action", "argument", "key").groupBy("session_id").applyInPandas(fold, "session_id long, seq long, state string, generation int, ok boolean, reason string")
 
 
 def upsert(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -110,18 +167,18 @@ def active_companion(pinned: Column, provider: Column, providers: tuple[str, ...
     return F.coalesce(known(pinned), known(provider), F.lit(providers[0]))
 
 
-#: Tools by name, what they are and how dangerous, and their required parameters.
+#: Tools by name, how dangerous they are, and their required parameters.
 TOOLS = (
-    ("web_search", "search", "safe", ("query",)), ("read_url", "fetch", "safe", ("url",)), ("crawl_url", "fetch", "safe", ("urls",)), ("document", "file", "safe", ("path",)),
-    ("deep_research", "research", "costly", ("query",)), ("knowledge_search", "search", "safe", ("query",)), ("update_knowledge", "memory", "writes", ("key", "content")),
-    ("forget_knowledge", "memory", "writes", ("key",)), ("explore_docs", "fetch", "safe", ("url",)),
+    ("web_search", "read_only", ("query",)), ("read_url", "read_only", ("url",)), ("crawl_url", "read_only", ("url",)), ("document", "potentially_unsafe", ()), ("deep_research", "read_only", ()),
+    ("knowledge_search", "read_only", ("query",)), ("update_knowledge", "potentially_unsafe", ("about", "new_fact")), ("forget_knowledge", "potentially_unsafe", ("about",)), ("explore_docs", "read_only", ("url",)),
 )
 
 
 def tool_catalog(spark) -> DataFrame:
-    """UDF-01/02: the tools as a dimension, with their JSON schemas in either dialect."""
-    t = spark.createDataFrame([(n, k, d, list(p)) for n, k, d, p in TOOLS], "name string, kind string, danger string, required array<string>")
+    """UDF-01/02: the tools as a dimension, with their JSON schemas in either dialect; tools without parameters have none."""
+    t = spark.createDataFrame([(n, d, list(p)) for n, d, p in TOOLS], "name string, danger string, required array<string>")
     props = F.map_from_entries(F.transform("required", lambda p: F.struct(p, F.struct(F.lit("string").alias("type")))))
     schema = F.struct(F.lit("object").alias("type"), props.alias("properties"), F.col("required"))
     function = F.to_json(F.struct(F.lit("function").alias("type"), F.struct("name", schema.alias("parameters")).alias("function")))
-    return t.withColumn("function_schema", function).withColumn("input_schema", F.to_json(F.struct("name", schema.alias("input_schema"))))
+    some = F.size("required") > 0
+    return t.withColumn("function_schema", F.when(some, function)).withColumn("input_schema", F.when(some, F.to_json(F.struct("name", schema.alias("input_schema")))))

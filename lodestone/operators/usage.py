@@ -6,8 +6,12 @@ Everything after the rollup works on day x provider x model rows, a small table
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lodestone.functions import pricing as P
 
@@ -211,17 +215,37 @@ def companion(rollup: DataFrame) -> DataFrame:
 
 
 def dedup_events(events: DataFrame, key: str = "event_id") -> DataFrame:
-    """STR-06 in batch: the first event of each id by time; blank ids are all kept."""
+    """STR-06 in batch: the first event of each id by time, ties by their other columns; blank ids are all kept."""
     named = events.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
-    order = Window.partitionBy(key).orderBy("ts")
+    order = Window.partitionBy(key).orderBy("ts", F.xxhash64(*events.columns))
     return named.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r").unionByName(events.where(F.coalesce(F.col(key).cast("string"), F.lit("")) == ""))
 
 
-def dedup_window(rows: DataFrame, key: str, ts: str, seconds: int = 8) -> DataFrame:
-    """SET-07, STR-09: rows of a key that come more than `seconds` after its previous row; the first is kept."""
-    order = Window.partitionBy(key).orderBy(ts, "event_id")
-    gap = F.unix_micros(F.col(ts)) - F.lag(F.unix_micros(F.col(ts))).over(order)
-    return rows.withColumn("_g", gap).where(F.col("_g").isNull() | (F.col("_g") > seconds * 1_000_000)).drop("_g")
+def dedup_window(rows: DataFrame, key: str, ts: str, seconds: int = 8, tie: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """SET-07, STR-09: rows of a key that come `seconds` or more after its last row that was kept; the first is kept.
+
+    A row that comes so long after the row before it is kept whatever was kept before, so a key's rows fall into bursts that
+    are judged by themselves, in order, as they stream by: no task holds a key. Rows without a time are all kept.
+    """
+    marked = rows.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.unix_micros(F.col(ts)).alias("at"), *(F.col(c).alias(f"tie{i}") for i, c in enumerate(tie)))
+    order = Window.partitionBy("key").orderBy("at", *(f"tie{i}" for i in range(len(tie))))
+    fresh = F.coalesce(F.col("at") - F.lag("at").over(order) >= seconds * 1_000_000, F.lit(True))
+    bursts = marked.withColumn("fresh", fresh).withColumn("burst", F.sum(F.col("fresh").cast("int")).over(order))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            keep = []
+            for own, at in zip(zip(batch.column("key").to_pylist(), batch.column("burst").to_pylist(), strict=True), batch.column("at").to_pylist(), strict=True):
+                if own != now:
+                    now, last = own, None
+                keep.append(at is None or last is None or at - last >= seconds * 1_000_000)
+                if keep[-1] and at is not None:
+                    last = at
+            yield batch.select(["row"]).filter(pa.array(keep, pa.bool_()))
+
+    dealt = bursts.repartition("key", "burst").sortWithinPartitions("key", "burst", "at", *(f"tie{i}" for i in range(len(tie))))
+    return dealt.select("row", "key", "burst", "at").mapInArrow(judged, StructType([StructField("row", rows.schema)])).select("row.*")
 
 
 def retained(rollup: DataFrame, days: int) -> DataFrame:

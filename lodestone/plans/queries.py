@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import chunking
 from lodestone.functions import pricing as P
+from lodestone.functions import replies, results
 from lodestone.functions import text as T
 from lodestone.functions import urls as U
-from lodestone.operators import chat, collections, links, research, retrieval, usage
+from lodestone.operators import chat, collections, links, research, retrieval, sessions, usage
 from lodestone.session import table
 from lodestone.streaming import frames, ledger
 
@@ -134,8 +135,7 @@ def bm25_normalized(spark, d):
 @query(f"{_BM} SELECT collection, id, rank0::INT AS rank0 FROM bl WHERE rank0 < 10")
 def bm25_topk(spark, d):
     """TOP-02."""
-    hits = retrieval.bm25(chunks(spark, d), QUESTION).withColumn("score", F.round("score", 9))
-    return retrieval.ranked(hits, "score", 10).select("collection", "id", F.col("rank0").cast("int").alias("rank0"))
+    return retrieval.lexical_topk(chunks(spark, d), QUESTION, 10).select("collection", "id", F.col("rank0").cast("int").alias("rank0"))
 
 
 def _vectors(spark, d):
@@ -153,7 +153,7 @@ def _lists(spark, d, k):
     e, q = _vectors(spark, d)
     c = chunks(spark, d)
     dense = retrieval.dense_topk(c.join(e, "id"), q, k, by=("collection",)).withColumn("rank0", F.col("rank") - 1)
-    lexical = retrieval.ranked(retrieval.bm25(c, QUESTION).withColumn("score", F.round("score", 9)), "score", k)
+    lexical = retrieval.lexical_topk(c, QUESTION, k)
     return dense, lexical
 
 
@@ -412,10 +412,14 @@ def dedup_events(spark, d):
     return usage.dedup_events(e)
 
 
-@query("""SELECT event_id, user_id FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events) WHERE g IS NULL OR g > 8000000""")
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) // 5000 AS t FROM events),
+k AS (SELECT user_id, min({'t': t, 'id': event_id}) AS m FROM e GROUP BY user_id
+  UNION ALL SELECT k.user_id, min({'t': e.t, 'id': e.event_id}) FROM k JOIN e ON e.user_id = k.user_id AND e.t >= k.m.t + 8000000 GROUP BY k.user_id, k.m)
+SELECT m.id AS event_id, user_id FROM k""")
 def query_dedup_window(spark, d):
-    """SET-07, STR-09."""
-    return usage.dedup_window(table(spark, d, "events"), "user_id", "ts").select("event_id", "user_id")
+    """SET-07, STR-09: from a sent query on, the same one within eight seconds isn't sent. Times are made five thousand times denser, so that some are."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.timestamp_micros(F.expr("unix_micros(cast(ts as timestamp)) div 5000")).alias("ts"))
+    return usage.dedup_window(e, "user_id", "ts").select("event_id", "user_id")
 
 
 @query(f"WITH {USAGE} SELECT day, provider, sum(total)::BIGINT AS total FROM u WHERE day > {TODAY} - 7 GROUP BY ALL")
@@ -429,25 +433,49 @@ def usage_retained(spark, d):
 
 
 
-def _html_sql(x: str) -> str:
+def _numbered_sql(x: str, mark: str, digits: str, code: str) -> str:
+    """Numeric entities: what lies between them, and a sign for each."""
+    pattern = f"&#{mark}({digits}+);"
+    n = f"try_cast({code} AS BIGINT)"
+    sign = f"CASE WHEN {n} BETWEEN 0 AND 1114111 AND {n} NOT BETWEEN 55296 AND 57343 THEN chr({n}::INT) ELSE '' END"
+    parts = f"string_split_regex({x}, '&#{mark}{digits}+;')"
+    found = f"regexp_extract_all({x}, '{pattern}', 1)"
+    return f"({parts}[1] || array_to_string(list_transform(range(1, len({found}) + 1), lambda i: {sign.replace('E_', f'{found}[i]')} || {parts}[i + 1]), ''))"
+
+
+def _entities_sql(x: str) -> str:
+    for name, sign in T.ENTITIES.items():
+        if name != "amp":
+            sign = sign.replace("'", "''")
+            x = f"replace({x}, '&{name};', '{sign}')"
+    return f"replace({x}, '&amp;', '&')"
+
+
+def _visible_sql(x: str) -> str:
     out = f"regexp_replace(coalesce({x}, ''), '(?s)<!--.*?-->', ' ', 'g')"
     for tag in T.DROPPED:
         out = f"regexp_replace({out}, '(?is)<{tag}.*?</{tag}>', ' ', 'g')"
     out = f"regexp_replace(regexp_replace({out}, '(?i)<li[^>]*>', chr(10) || '- ', 'g'), '(?i)<br\\s*/?>', chr(10), 'g')"
-    out = f"regexp_replace(regexp_replace({out}, '(?i)</({T.BREAKING})>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
-    for name, sign in T.ENTITIES.items():
-        if name != "amp":
-            sign = sign.replace("'", "''")
-            out = f"replace({out}, '&{name};', '{sign}')"
-    out = f"replace({out}, '&amp;', '&')"
-    out = f"regexp_replace(regexp_replace(regexp_replace({out}, '[ \\t\\f\\x0B]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"regexp_replace(regexp_replace({out}, '(?i)</({T.BREAKING})>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+
+
+def _tidy_sql(x: str) -> str:
+    out = f"regexp_replace(regexp_replace(regexp_replace({x}, '[ \\t\\f\\x0B]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
     return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
 
 
-@query(f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
+#: Numeric entities are made to stand before each page's text, one of each kind and one that is no sign.
+_ENTITIES = "<p>It&#39;s &#x2014; caf&#xE9; &#38;lt; &#1114112;&#55296;.</p>"
+
+
+_VISIBLE = _visible_sql(f"'{_ENTITIES}' || coalesce(html, '')")
+
+
+@query(f"""WITH a AS (SELECT page_id, {_VISIBLE} AS t FROM pages), b AS (SELECT page_id, {_numbered_sql('t', 'x', '[0-9a-fA-F]', "('0x' || E_)")} AS t FROM a),
+c AS (SELECT page_id, {_numbered_sql('t', '', '[0-9]', 'E_')} AS t FROM b) SELECT page_id, {_tidy_sql(_entities_sql('t'))} AS text FROM c""")
 def html_to_text(spark, d):
-    """SCA-01."""
-    return table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    """SCA-01, SCA-04."""
+    return table(spark, d, "pages").select("page_id", T.html_to_text(F.concat(F.lit(_ENTITIES), F.coalesce("html", F.lit("")))).alias("text"))
 
 
 _HOST = lambda u: f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
@@ -634,24 +662,12 @@ def query_intent(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.intent(F.col("text")).alias("intent"))
 
 
-@query("""WITH q AS (SELECT item_id, ['what is ', 'please tell ', '', 'a vs '][item_id % 4 + 1] || substr(text, 1, 5 + (item_id % 9) * 12) || ['?', '', ': or and'][item_id % 3 + 1] AS q FROM benchmark), t AS (SELECT item_id, trim(q, chr(10) || ' ' || chr(9)) AS q FROM q)
-SELECT item_id, ((length(q) < 10)::INT + regexp_matches(q, '(?i)^(what|how|why|who|when|where)\\b')::INT + ends_with(q, '?')::INT + (len(regexp_split_to_array(q, '\\s+')) > 12)::INT
-+ regexp_matches(q, '(?i)^(can you|could you|please|tell me|explain|find me|show me|look up|search for)\\b')::INT) >= 2 AS expand, regexp_matches(lower(q), '\\b(vs|versus|compared to|difference between)\\b') OR regexp_matches(lower(q), '\\b(and also|or also|plus)\\b')
-OR contains(q, ':') OR len(regexp_extract_all(lower(q), '\\b(and|or)\\b')) >= 2 AS multi FROM t""")
-def query_expansion(spark, d):
-    """FLT-11, FLT-12."""
-    i = F.col("item_id")
-    pick = lambda own: F.element_at(F.array(*map(F.lit, own)), (i % len(own) + 1).cast("int"))
-    q = F.concat(pick(["what is ", "please tell ", "", "a vs "]), F.substring(F.col("text"), F.lit(1), (5 + (i % 9) * 12).cast("int")), pick(["?", "", ": or and"]))
-    return table(spark, d, "benchmark").select("item_id", T.needs_expansion(q).alias("expand"), T.is_multi_part(q).alias("multi"))
-
-
 @query("""WITH q AS (SELECT item_id, ['what is ', 'please tell ', '', 'a vs '][item_id % 4 + 1] || text || ['?', '', ': or and'][item_id % 3 + 1] AS q FROM benchmark), t AS (SELECT item_id, trim(q, chr(10) || ' ' || chr(9)) AS q FROM q)
 SELECT item_id, ((length(q) < 10)::INT + regexp_matches(q, '(?i)^(what|how|why|who|when|where)\\b')::INT + ends_with(q, '?')::INT + (len(regexp_split_to_array(q, '\\s+')) > 12)::INT
 + regexp_matches(q, '(?i)^(can you|could you|please|tell me|explain|find me|show me|look up|search for)\\b')::INT) >= 2 AS expand, regexp_matches(lower(q), '\\b(vs|versus|compared to|difference between)\\b') OR regexp_matches(lower(q), '\\b(and also|or also|plus)\\b')
 OR contains(q, ':') OR len(regexp_extract_all(lower(q), '\\b(and|or)\\b')) >= 2 AS multi FROM t""")
-def query_expansion_whole(spark, d):
-    """FLT-11, FLT-12: whole texts; `query_expansion` takes their first 5 to 101 characters, as its SQL does."""
+def query_expansion(spark, d):
+    """FLT-11, FLT-12: whole texts."""
     i = F.col("item_id")
     pick = lambda own: F.element_at(F.array(*map(F.lit, own)), (i % len(own) + 1).cast("int"))
     q = F.concat(pick(["what is ", "please tell ", "", "a vs "]), "text", pick(["?", "", ": or and"]))
@@ -714,19 +730,6 @@ def relevance_sandwich(spark, d):
     return research.sandwich(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))).select("id", "position")
 
 
-def _claims(spark, d):
-    doc = table(spark, d, "documents")
-    return doc.select(F.col("doc_id").alias("seq"), F.concat(F.lit("station budget growth "), F.col("source"), F.lit(" reached "), (F.col("doc_id") % 37 + 1).cast("string"), F.lit(" percent")).alias("claim"), F.concat(F.lit("https://"), "source", F.lit(".org/"), F.col("doc_id")).alias("url")).where("doc_id % 10 = 0 and lang <> 'en'")
-
-
-@query("""WITH c AS (SELECT doc_id AS seq, source, doc_id % 37 + 1 AS v, 'https://' || source || '.org/' || doc_id AS url FROM documents WHERE doc_id % 10 = 0 AND lang <> 'en'),
-n AS (SELECT seq, source, url, v::DOUBLE AS x FROM c)
-SELECT a.seq AS i, b.seq AS j, (5 + (a.source = b.source)::INT)::BIGINT AS shared, a.x AS a, b.x AS b, (greatest(a.x, b.x) - least(a.x, b.x)) / greatest(a.x, b.x) AS divergence FROM n a JOIN n b ON a.seq < b.seq WHERE (greatest(a.x, b.x) - least(a.x, b.x)) / greatest(a.x, b.x) > 0.15""")
-def contradiction_pairs(spark, d):
-    """JN-09, JN-10, SCA-08, SCA-56, TAB-13: made claims about one topic."""
-    return research.contradiction_pairs(_claims(spark, d))
-
-
 def _topic_claims(spark, d):
     """A claim of every document. Twenty neighbouring ids are a topic, whose words no other topic has, so claims meet only within it."""
     topic = F.translate(F.expr("doc_id div 20").cast("string"), "-0123456789", "kabcdefghij")
@@ -737,8 +740,8 @@ def _topic_claims(spark, d):
 
 @query("""WITH n AS (SELECT doc_id AS seq, doc_id // 20 AS topic, coalesce(source, 'none') AS source, (doc_id % 37 + 1)::DOUBLE AS x FROM documents)
 SELECT a.seq AS i, b.seq AS j, (5 + (a.source = b.source)::INT)::BIGINT AS shared, a.x AS a, b.x AS b, (greatest(a.x, b.x) - least(a.x, b.x)) / greatest(a.x, b.x) AS divergence FROM n a JOIN n b ON a.topic = b.topic AND a.seq < b.seq WHERE (greatest(a.x, b.x) - least(a.x, b.x)) / greatest(a.x, b.x) > 0.15""")
-def contradiction_pairs_whole(spark, d):
-    """JN-09, JN-10, SCA-08, SCA-56, TAB-13: made claims of all documents about many topics; `contradiction_pairs` takes a sample of one topic, as its SQL does."""
+def contradiction_pairs(spark, d):
+    """JN-09, JN-10, SCA-08, SCA-56, TAB-13: made claims of all documents about many topics."""
     return research.contradiction_pairs(_topic_claims(spark, d))
 
 
@@ -797,43 +800,25 @@ def event_windows(spark, d):
     return ledger.tumbling(table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query("""SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL)
+WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_windows(spark, d):
-    """Event-time windows in append mode: those within the watermark at the end are withheld, so SQL's rows are more."""
-    return ledger.settle(ledger.tumbling(ledger.stream_table(spark, d, "events")), "append")
+    """Event-time windows in append mode: those that end by the watermark, ten minutes before the last event."""
+    return ledger.settle(ledger.tumbling(ledger.stream_table(spark, d, "events")), "append").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT * FROM (SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, s) WHERE "end" <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_sessions(spark, d):
-    """Sessions of users in append mode, likewise."""
-    return ledger.settle(ledger.sessions(ledger.stream_table(spark, d, "events")), "append")
-
-
-def _deltas(spark, d):
-    c = table(spark, d, "conversations")
-    tag = F.when(F.col("turn") % 4 == 0, "<think>").when(F.col("turn") % 4 == 2, "</thinking>").otherwise("")
-    return c.select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), F.concat(F.substring("text", 1, 20), tag, F.substring("text", 21, 20)).alias("text"))
-
-
-@query("""WITH c AS (SELECT conv_id, turn, substr(text, 1, 20) AS a, substr(text, 21, 20) AS b FROM conversations)
-SELECT conv_id AS response_id, turn AS seq, CASE turn % 4 WHEN 0 THEN a WHEN 1 THEN '' WHEN 2 THEN b ELSE a || b END AS text, CASE turn % 4 WHEN 0 THEN b WHEN 1 THEN a || b WHEN 2 THEN a ELSE '' END AS think FROM c""")
-def thinking_split(spark, d):
-    """STR-02, SCA-20: tags put into turns so that SQL knows the state at each."""
-    return frames.thinking_batch(_deltas(spark, d))
-
-
-@query("""SELECT conv_id AS response_id, (turn % 2)::BIGINT AS index, arg_max('c' || turn, turn) AS id, arg_max(role, turn) AS name, string_agg(substr(text, 1, 10), '' ORDER BY turn) AS arguments FROM conversations GROUP BY conv_id, turn % 2""")
-def tool_call_assembly(spark, d):
-    """STR-03, STR-04."""
-    c = table(spark, d, "conversations")
-    f = c.select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), (F.col("turn") % 2).cast("int").alias("index"), F.concat(F.lit("c"), "turn").alias("id"), F.col("role").alias("name"), F.substring("text", 1, 10).alias("arguments"))
-    return frames.assemble_tool_calls(f)
+    """Sessions of users in append mode: those that end by the watermark."""
+    return ledger.settle(ledger.sessions(ledger.stream_table(spark, d, "events")), "append").withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, substr(text, 1, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b FROM conversations)
 SELECT conv_id AS response_id, turn AS seq, CASE turn % 4 WHEN 0 THEN a WHEN 1 THEN '' WHEN 2 THEN b ELSE a || b END AS text, CASE turn % 4 WHEN 0 THEN b WHEN 1 THEN a || b WHEN 2 THEN a ELSE '' END AS think FROM c""")
-def thinking_split_whole(spark, d):
-    """STR-02, SCA-20: whole turns with a tag at half of each; `thinking_split` takes 40 characters of a turn, as its SQL does."""
+def thinking_split(spark, d):
+    """STR-02, SCA-20: whole turns with a tag at half of each, so that SQL knows the state there."""
     c = table(spark, d, "conversations")
     tag = F.when(F.col("turn") % 4 == 0, "<think>").when(F.col("turn") % 4 == 2, "</thinking>").otherwise("")
     half = F.expr("cast(length(text) div 2 as int)")
@@ -841,8 +826,8 @@ def thinking_split_whole(spark, d):
 
 
 @query("""SELECT conv_id AS response_id, (turn % 2)::BIGINT AS index, arg_max('c' || turn, turn) AS id, arg_max(role, turn) AS name, string_agg(text, '' ORDER BY turn) AS arguments FROM conversations GROUP BY conv_id, turn % 2""")
-def tool_call_assembly_whole(spark, d):
-    """STR-03, STR-04: whole turns as arguments; `tool_call_assembly` takes 10 characters of a turn, as its SQL does."""
+def tool_call_assembly(spark, d):
+    """STR-03, STR-04: whole turns as arguments."""
     c = table(spark, d, "conversations")
     return frames.assemble_tool_calls(c.select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), (F.col("turn") % 2).cast("int").alias("index"), F.concat(F.lit("c"), "turn").alias("id"), F.col("role").alias("name"), F.col("text").alias("arguments")))
 
@@ -867,3 +852,106 @@ def stream_frames(spark, d):
 def stream_usage(spark, d):
     """STR-05."""
     return frames.stream_usage(frames.interpret(_frames(spark, d)))
+
+
+# results, failures and tools
+
+
+@query("""WITH t AS (SELECT page_id, url, trim(regexp_replace(coalesce(html, ''), '\\s+', ' ', 'g')) AS c FROM pages)
+SELECT page_id, url AS title, url, CASE WHEN length(c) > 500 THEN regexp_replace(substr(c, 1, 500), '\\s+$', '') || '…' ELSE c END AS content, '' AS engine, 0.0::DOUBLE AS score FROM t WHERE coalesce(url, '') <> ''""")
+def search_results(spark, d):
+    """PRJ-01: pages as results that have no title, engine or score."""
+    none = F.lit(None).cast("string")
+    made = results.search_result(F.lit("  "), F.col("url"), F.col("html"), none, none)
+    return table(spark, d, "pages").select("page_id", made.alias("r")).where("r is not null").select("page_id", "r.*")
+
+
+@query("""WITH f AS (SELECT event_id, ['http-error', 'rate-limited', 'timeout', 'ssrf-blocked', 'bad-response'][event_id % 5 + 1] AS code, 400 + event_id % 110 AS status, ['Domain rate limit', 'requeued', 'gone', 'Service Unavailable now'][event_id % 4 + 1] AS said FROM events)
+SELECT event_id, code IN ('rate-limited', 'server-busy', 'connection-failed', 'network-error') OR (code = 'http-error' AND (status IN (408, 425, 429) OR status BETWEEN 500 AND 599)) AS again,
+status IN (408, 425, 429, 502, 503, 504) OR regexp_matches(lower(said), 'rate.limit|too many requests|requeued|memory pressure|service unavailable|temporarily unavailable') AS transient,
+code IN ('bad-response', 'no-task-id', 'timeout') OR (code = 'http-error' AND status IN (400, 404, 405, 500, 501)) AS plain FROM f""")
+def crawl_failures(spark, d):
+    """FLT-17: made failures of every kind."""
+    i = F.col("event_id")
+    pick = lambda own: F.element_at(F.array(*map(F.lit, own)), (i % len(own) + 1).cast("int"))
+    f = table(spark, d, "events").select("event_id", pick(["http-error", "rate-limited", "timeout", "ssrf-blocked", "bad-response"]).alias("code"), (400 + i % 110).alias("status"), pick(["Domain rate limit", "requeued", "gone", "Service Unavailable now"]).alias("said"))
+    c, s = F.col("code"), F.col("status")
+    return f.select("event_id", replies.retryable(c, s).alias("again"), replies.transient(F.lit(False), s, F.col("said")).alias("transient"), replies.fallback_worthy(c, s).alias("plain"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, turn % 9 + 1 AS it FROM conversations WHERE text IS NOT NULL), m AS (SELECT *, repeat(text, 40) AS long, CASE WHEN it <= 2 THEN 16000 WHEN it <= 4 THEN 8000 WHEN it <= 6 THEN 4000 ELSE 2000 END AS most FROM c)
+SELECT conv_id, turn, CASE WHEN length(long) > most THEN regexp_replace(substr(long, 1, most), '\\s+$', '') || chr(10) || chr(10) || '[Content trimmed at iteration ' || it || ' to manage context — re-read this page later if you need the rest.]' ELSE long END AS kept FROM m""")
+def tool_results_truncated(spark, d):
+    """WIN-16: turns, made long, as pages that a tool read."""
+    c = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.repeat("text", F.lit(40)).alias("long"), (F.col("turn") % 9 + 1).alias("it"))
+    return c.select("conv_id", "turn", sessions.truncated(F.col("long"), F.lit("read_url"), F.col("it")).alias("kept"))
+
+
+@query("""WITH e AS (SELECT conv_id AS session_id, turn AS seq, turn % 4 AS a FROM conversations)
+SELECT session_id, seq, CASE a WHEN 0 THEN 'enriching' WHEN 1 THEN 'tool-loop' WHEN 2 THEN 'stopping' ELSE 'done' END AS state, (seq // 4 + 1)::INT AS generation, true AS ok FROM e
+WHERE session_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) = max(turn) + 1 AND min(turn) = 0)""")
+def request_lifecycle(spark, d):
+    """STR-12: turns as actions: begin, mark, stop, finish, over and over, in conversations whose turns have no gap."""
+    c = table(spark, d, "conversations")
+    whole = c.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last"), F.min("turn").alias("first")).where("n = last + 1 and first = 0").select("conv_id")
+    pick = lambda own: F.element_at(F.array(*map(F.lit, own)), (F.col("turn") % 4 + 1).cast("int"))
+    e = c.join(whole, "conv_id").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), pick(["begin", "mark", "stop", "finish"]).alias("action"), pick(["enriching", "tool-loop", None, None]).alias("argument"), F.lit("k").alias("key"))
+    return sessions.lifecycle(e).select("session_id", "seq", "state", "generation", "ok")
+
+
+@query("""SELECT * FROM (VALUES ('web_search', 'read_only', 'query'), ('read_url', 'read_only', 'url'), ('crawl_url', 'read_only', 'url'), ('document', 'potentially_unsafe', ''), ('deep_research', 'read_only', ''), ('knowledge_search', 'read_only', 'query'),
+('update_knowledge', 'potentially_unsafe', 'about,new_fact'), ('forget_knowledge', 'potentially_unsafe', 'about'), ('explore_docs', 'read_only', 'url')) AS t(name, danger, required)""")
+def tools_by_danger(spark, d):
+    """UDF-01, UDF-02."""
+    return sessions.tool_catalog(spark).select("name", "danger", F.array_join("required", ",").alias("required"))
+
+
+@query("""WITH l AS (SELECT page_id, '/a/' || page_id AS href, 'A [label] of  ' || repeat('x', (page_id % 100)::INT) AS text, page_id % 2 = 0 AS external FROM pages),
+n AS (SELECT *, replace(replace(regexp_replace(text, '\\s+', ' ', 'g'), '[', '('), ']', ')') AS raw FROM l)
+SELECT page_id, '--- Links on this page (1) ---' || chr(10) || '1. [' || CASE WHEN length(raw) > 90 THEN regexp_replace(substr(raw, 1, 89), '\\s+$', '') || '…' ELSE raw END || '](' || href || ')' || CASE WHEN external THEN ' (external)' ELSE '' END AS section FROM n""")
+def links_sections(spark, d):
+    """SCA-16: a made link for each page, with brackets in labels that may be too long."""
+    i = F.col("page_id")
+    link = F.struct(F.concat(F.lit("/a/"), i.cast("string")).alias("href"), F.concat(F.lit("A [label] of  "), F.expr("repeat('x', cast(page_id % 100 as int))")).alias("text"), F.lit("").alias("title"), (i % 2 == 0).alias("external"))
+    return table(spark, d, "pages").select("page_id", results.links_section(F.array(link)).alias("section"))
+
+
+@query("""SELECT doc_id, '# Head' || chr(10) || '```' || chr(10) || 'code ' || doc_id || chr(10) || '```' AS excerpt FROM documents WHERE text IS NOT NULL AND NOT contains(text, '```') AND NOT regexp_matches(text, '(?m)^#{1,6}\\s')""")
+def code_excerpts(spark, d):
+    """SCA-22: a heading and a fence put around whole texts."""
+    fence = F.concat(F.lit("# Head\n"), "text", F.lit("\n```\ncode "), F.col("doc_id").cast("string"), F.lit("\n```\n"), "text")
+    return table(spark, d, "documents").where("text is not null and not contains(text, '```')").where(~F.col("text").rlike(r"(?m)^#{1,6}\s")).select("doc_id", results.code_excerpt(fence).alias("excerpt"))
+
+
+@query("""SELECT page_id, pos::INT AS pos, href, text, external FROM (SELECT page_id, unnest([0, 2]) AS pos, unnest(['/in', 'https://out.org/' || page_id]) AS href, unnest(['In', 'Out']) AS text, unnest([false, true]) AS external FROM pages)""")
+def crawled_links(spark, d):
+    """TAB-16: made link lists of a crawl: one internal, one without an address, one external."""
+    link = lambda href, text: F.struct(F.lit(href).alias("href") if isinstance(href, str) else href.alias("href"), F.lit(text).alias("text"), F.lit(None).cast("string").alias("title"))
+    r = table(spark, d, "pages").select("page_id", "url", F.array(link(" /in ", " In"), link("", "None")).alias("internal"), F.array(link(F.concat(F.lit("https://out.org/"), F.col("page_id").cast("string")), "Out")).alias("external"))
+    return links.crawled(r, external=True).select("page_id", "pos", "href", "text", "external")
+
+
+@query("""SELECT conv_id, array_to_string(list_distinct_ordered, '|') AS said FROM (SELECT conv_id, list_transform(list_sort(list_transform(map_entries(m), lambda e: {'p': e.value, 'k': e.key})), lambda e: e.k) AS list_distinct_ordered
+FROM (SELECT conv_id, map_from_entries(list({'k': role, 'v': p})) AS m FROM (SELECT conv_id, role, min(turn) AS p FROM conversations WHERE role IS NOT NULL GROUP BY conv_id, role) GROUP BY conv_id))""")
+def distinct_speakers(spark, d):
+    """AGG-18: each conversation's speakers, once each, in order of their first turn."""
+    c = table(spark, d, "conversations").where("role is not null").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(F.lit(" "), x["role"])).alias("all"))
+    return c.select("conv_id", F.array_join(results.distinct_strings(F.col("all")), "|").alias("said"))
+
+
+@query(f"WITH {USAGE} SELECT sum(total)::BIGINT AS total, count(DISTINCT provider) AS providers FROM u")
+def usage_store_total(spark, d):
+    """AGG-23: the sum of all days."""
+    return usage.daily(events(spark, d)).agg(F.sum("total").alias("total"), F.countDistinct("provider").alias("providers"))
+
+
+@query("SELECT source AS branch, count(*) AS pages, sum(coalesce(n_chars, 0))::BIGINT AS facts FROM documents GROUP BY source")
+def research_totals(spark, d):
+    """AGG-20: pages and facts of each branch."""
+    return table(spark, d, "documents").groupBy(F.col("source").alias("branch")).agg(F.count("*").alias("pages"), F.sum(F.coalesce("n_chars", F.lit(0))).cast("bigint").alias("facts"))
+
+
+@query("SELECT l.doc_id, min(c.conv_id) AS conv_id FROM labels l LEFT JOIN conversations c ON c.conv_id = l.doc_id GROUP BY l.doc_id")
+def hit_conversations(spark, d):
+    """JN-13: hits of the knowledge base with the conversation that their session names, if there is one."""
+    return table(spark, d, "labels").select("doc_id").distinct().join(table(spark, d, "conversations").select("conv_id").distinct(), F.col("doc_id") == F.col("conv_id"), "left").select("doc_id", "conv_id")

@@ -43,7 +43,10 @@ def plan(tools: Tools, question: str, angles: int = 5) -> list:
 
 
 def crawl(tools: Tools, urls: list[str], cache: DataFrame | None = None, rounds: int = 2) -> DataFrame:
-    """PIP-10: guarded addresses only, cached pages first, whatever failed fetched again up to `rounds` times."""
+    """PIP-10/11: guarded addresses only, cached pages first, transient failures fetched again up to `rounds` times.
+
+    A fetcher gives (page_id, url, html) and perhaps status and error of pages that failed; without those any failure is transient.
+    """
     asked = tools.spark.createDataFrame([(u,) for u in urls], "url string").where(U.guard(F.col("url")).isNull())
     have = asked.join(cache, "url").select("page_id", "url", "html") if cache is not None else None
     todo = [r.url for r in (asked.join(have, "url", "left_anti") if have is not None else asked).collect()]
@@ -51,9 +54,12 @@ def crawl(tools: Tools, urls: list[str], cache: DataFrame | None = None, rounds:
     for _ in range(rounds + 1):
         if not todo:
             break
-        part = tools.fetch(todo).where("html is not null")
-        got = part if got is None else got.unionByName(part)
-        done = {r.url for r in part.select("url").collect()}
+        part = tools.fetch(todo)
+        read = part.where("html is not null").select("page_id", "url", "html")
+        got = read if got is None else got.unionByName(read)
+        known = {"status", "error"} <= set(part.columns)
+        over = part.where(~replies.transient(F.col("html").isNotNull(), F.col("status"), F.col("error"))) if known else read
+        done = {r.url for r in over.select("url").collect()}
         todo = [u for u in todo if u not in done]
     return got if got is not None else tools.spark.createDataFrame([], "page_id long, url string, html string")
 

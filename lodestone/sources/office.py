@@ -181,7 +181,8 @@ def xlsx(data: bytes) -> str:
     """SRC-13: a table for each sheet."""
     z = _open(data)
     book = _xml(z, "xl/workbook.xml")
-    shared = [_runs(s) for s in (_xml(z, "xl/sharedStrings.xml") or ())]
+    strings = _xml(z, "xl/sharedStrings.xml")
+    shared = [_runs(s) for s in strings] if strings is not None else []
     styles = _xml(z, "xl/styles.xml")
     custom = {_attr(f, "numFmtId"): _attr(f, "formatCode") for f in styles.iter() if _tag(f) == "numFmt"} if styles is not None else {}
     cells = next((list(x) for x in styles.iter() if _tag(x) == "cellXfs"), []) if styles is not None else []
@@ -247,7 +248,7 @@ def pptx(data: bytes) -> str:
     out = []
     for k, path in enumerate(order, 1):
         parts = []
-        for shape in (_xml(z, path) or ET.Element("x")).iter():
+        for shape in slide.iter() if (slide := _xml(z, path)) is not None else ():
             if _tag(shape) == "tbl":
                 parts.append(markdown_table([[" ".join(_runs(p) for p in c.iter() if _tag(p) == "p") for c in r if _tag(c) == "tc"] for r in shape if _tag(r) == "tr"]))
             elif _tag(shape) == "txBody":

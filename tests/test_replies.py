@@ -33,8 +33,10 @@ def test_titles_and_lists(spark):
 
 
 def test_choices(spark):
-    rows = spark.createDataFrame([(429, "x"), (200, "timed out"), (404, "gone"), (0, "net::ERR_ABORTED"), (0, None)], "s int, t string")
-    assert [r[0] for r in rows.select(R.error_kind(F.col("s"), F.col("t"))).collect()] == ["transient", "transient", "final", "navigation", "unknown"]
+    rows = spark.createDataFrame([("http-error", 408), ("http-error", 599), ("http-error", 404), ("server-busy", None), ("timeout", None), (None, 503)], "c string, s int")
+    assert [tuple(r) for r in rows.select(R.retryable(F.col("c"), F.col("s")), R.fallback_worthy(F.col("c"), F.col("s"))).collect()] == [(True, False), (True, False), (False, True), (True, False), (False, True), (False, False)]
+    rows = spark.createDataFrame([(False, 425, None), (False, 200, "Memory pressure, requeued"), (True, 503, None), (False, 500, "boom"), (None, None, "Rate-limit hit")], "ok boolean, s int, t string")
+    assert [r[0] for r in rows.select(R.transient(F.col("ok"), F.col("s"), F.col("t"))).collect()] == [True, True, False, False, True]
     d = spark.createDataFrame([("7", 0, 0.0), (None, 0, 1.0), (None, 9, 0.0), ("900", 0, 0.0)], "r string, a int, j double")
     assert [r[0] for r in d.select(R.retry_delay(F.col("r"), F.col("a"), F.col("j"))).collect()] == [7.0, 2.5, 10.0, 60.0]
     t = spark.createDataFrame([("", "j", "r"), (" fit", None, None), (None, None, None)], "f string, s string, r string")
