@@ -63,6 +63,11 @@ def term_idf(post: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> Dat
     return raw.join(mean, "collection").select("collection", "term", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
 
 
+def _words(chunks: DataFrame) -> DataFrame:
+    """(collection, id, t): each chunk's words. A generated row keeps the optimizer from reading a text again for every use of `t`."""
+    return chunks.select("collection", "id", F.explode(F.array(tokens(F.col("content")))).alias("t"))
+
+
 def _query_stats(words: DataFrame, terms: list[str], epsilon: float = EPSILON) -> DataFrame:
     """(collection, avg_len, idf): one row a collection, idf an array by place in `terms`; null where no document has a term.
 
@@ -88,8 +93,9 @@ def bm25_scores(chunks: DataFrame, query: str, k1: float = K1, b: float = B) ->
     asked = Counter(re.findall(r"[a-z0-9]+", query.lower()))
     if not asked:
         return chunks.select("collection", "id", F.lit(0.0).alias("score")).limit(0)
-    words = chunks.select("collection", "id", tokens(F.col("content")).alias("t"))
-    met = words.select("collection", "id", F.size("t").alias("len"), F.filter("t", lambda x: x.isin(list(asked))).alias("t")).where(F.size("t") > 0).join(_query_stats(words, list(asked)), "collection")
+    words = _words(chunks)
+    own = words.select("collection", "id", F.struct(F.size("t").alias("len"), F.filter("t", lambda x: x.isin(list(asked))).alias("t")).alias("w"))
+    met = own.select("collection", "id", "w.len", "w.t").join(_query_stats(words, list(asked)), "collection")
     count = lambda term: F.size(F.filter("t", lambda x: x == term))
     score = F.lit(0.0)
     for i, (term, qf) in enumerate(asked.items()):
