@@ -97,7 +97,7 @@ def _bound(n: Column, bad: Column, prior: Column, kappa: float) -> Column:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
-    """page_id, host, path, rule, verdict, labelled and bad (the host's labels) of every row of `pages(page_id, url)`.
+    """page_id, host, path, rule, verdict, labelled and bad (the host's labels) and bound of every row of `pages(page_id, url)`.
 
     outcomes: (host, bad 0/1), a row for each labelled page.
     """
@@ -112,12 +112,12 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     # a level's prior is of what lies beside the unit, so no label counts twice
     of_suffix = _shrunk(F.col("sn") - F.col("dn"), F.col("sb") - F.col("db"), F.lit(s.mean), s.suffix)
     of_domain = _shrunk(F.col("dn") - F.col("n"), F.col("db") - F.col("bad"), of_suffix, s.domain)
-    judged = known.select(F.col("host").alias("h"), "n", F.col("bad").alias("b"), (_bound(F.col("n"), F.col("bad"), of_domain, s.host) > limit).alias("blocked"))
+    judged = known.select(F.col("host").alias("h"), "n", F.col("bad").alias("b"), _bound(F.col("n"), F.col("bad"), of_domain, s.host).alias("bound"))
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
     return parsed.join(judged, F.col("host") == F.col("h")).select(
         "page_id", "host", "path", rule.alias("rule"),
-        F.coalesce(verdict, F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"),
-        F.col("n").cast("long").alias("labelled"), F.col("b").cast("long").alias("bad"),
+        F.coalesce(verdict, F.when(F.col("bound") > limit, "block").otherwise("allow")).alias("verdict"),
+        F.col("n").cast("long").alias("labelled"), F.col("b").cast("long").alias("bad"), F.round("bound", 6).alias("bound"),
     )
 
 
@@ -171,7 +171,7 @@ WITH p AS (
 )
 SELECT page_id, host, path, {case(lambda v, r: r)} AS rule,
   coalesce({case(lambda v, r: v)}, CASE WHEN mean - {Z} * sqrt(mean * (1 - mean) / (n + kh + 1)) > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-  CAST(n AS BIGINT) AS labelled, CAST(bad AS BIGINT) AS bad
+  CAST(n AS BIGINT) AS labelled, CAST(bad AS BIGINT) AS bad, round(mean - {Z} * sqrt(mean * (1 - mean) / (n + kh + 1)), 6) AS bound
 FROM p JOIN m USING (host)
 """
 
