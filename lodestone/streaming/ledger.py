@@ -16,9 +16,13 @@ from lodestone.operators import usage
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the session's checkpoint folder; a temporary one only where none is set."""
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = own.get() if own.isDefined() else spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-stream-")
+    """A new folder below the session's checkpoint folder; a temporary one only in local mode."""
+    sc = spark.sparkContext
+    own = sc._jsc.sc().getCheckpointDir()
+    base = own.get() if own.isDefined() else sc.getConf().get("spark.checkpoint.dir")
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="lodestone-stream-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
