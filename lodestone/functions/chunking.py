@@ -1,18 +1,19 @@
 """Chunkers of text: order-dependent packing, so plain Python in Arrow batches.
 
-TAB-02/04/05/06, SCA-13/14. Lengths are in characters. A null or blank text has no chunks.
+TAB-02/04/05/06, SCA-13/14/15. Lengths are in characters. A null or blank text has no chunks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP, LEAST_SIZE, SNAP = 800, 120, 50, 40
 _BLANK_LINE, _AFTER_SENTENCE = re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+")
+_BEFORE_CAPITAL, _HEADING = re.compile(r"\s+(?=[A-Z])"), re.compile(r"(?m)^#{1,6}[^\S\n]+.+")
 
 
 def overlap_tail(text: str, n: int) -> str:
@@ -108,25 +109,62 @@ def bounded_lines(text: str | None, size: int = 6000) -> list[str]:
     return out
 
 
-def keep_ends(text: str | None, most: int, head: float = 0.8, mark: str = "\n[…]\n") -> str:
-    """SCA-14: leading sentences up to four fifths of `most` and trailing ones for the rest."""
+#: Characters of a page in a prompt and marks of what was left out.
+PAGE_CHARS = 15_000
+CUT_MARK, MIDDLE_MARK = "\n\n[...content truncated...]\n\n", "\n\n[...middle content trimmed...]\n\n"
+
+
+def _fitting(parts: Iterable[str], room: int) -> list[str]:
+    """Leading parts that fit in `room` when they are joined by spaces."""
+    kept, used = [], 0
+    for part in parts:
+        used += len(part) + (used > 0)
+        if used > room:
+            break
+        kept.append(part)
+    return kept
+
+
+def keep_ends(text: str | None, most: int) -> str:
+    """SCA-14: leading sentences up to four fifths of `most` and, if a fifth is over 100, trailing ones within that."""
     text = text or ""
     if len(text) <= most:
         return text
     sentences = _AFTER_SENTENCE.split(text)
-    first, last, used = [], [], 0
-    for s in sentences:
-        if used + len(s) + 1 > most * head:
-            break
-        first.append(s)
-        used += len(s) + 1
-    used = 0
-    for s in reversed(sentences[len(first) :]):
-        if used + len(s) + 1 > most * (1 - head):
-            break
-        last.append(s)
-        used += len(s) + 1
-    return (" ".join(first) or text[: int(most * head)]) + mark + " ".join(reversed(last))
+    if len(sentences) == 1:
+        sentences = _BEFORE_CAPITAL.split(text)
+    end = int(most * 0.2)
+    if len(sentences) == 1:
+        return text[: int(most * 0.8)] + CUT_MARK + text[-end:]
+    out = " ".join(_fitting(sentences, most - end))
+    tail = " ".join(reversed(_fitting(reversed(sentences), end))).strip() if end > 100 else ""
+    if tail and tail not in out:
+        out += MIDDLE_MARK + tail
+    return (out or text[: most - 3] + "...").strip()
+
+
+def sections(text: str) -> list[tuple[str, str]]:
+    """(heading, body) of a Markdown page; what precedes the first heading has a blank one, and goes if it is blank too."""
+    at = [m.start() for m in _HEADING.finditer(text)]
+    cuts = [text[a:b] for a, b in zip(at, [*at[1:], len(text)])]
+    found = [("", text[: at[0]] if at else text)] + [tuple((c.split("\n", 1) + [""])[:2]) for c in cuts]
+    return [(h.strip(), body.strip()) for h, body in found if h or body.strip()]
+
+
+def for_prompt(text: str | None, most: int = PAGE_CHARS) -> str:
+    """SCA-15: whole sections while they fit, the next one by sentences if more than 300 characters are left; else SCA-14."""
+    text = text or ""
+    if len(text) <= most:
+        return text
+    out, found = "", sections(text)
+    for heading, body in found if len(found) > 1 else ():
+        head = heading + "\n" if heading else ""
+        if len(out) + len(head) + len(body) + 2 > most:
+            left = most - len(out)
+            body = keep_ends(body, left - len(head)) if left > 300 else ""
+            return "\n\n".join(filter(None, (out, head + body if body else ""))) or keep_ends(text, most)
+        out = "\n\n".join(filter(None, (out, head + body)))
+    return out or keep_ends(text, most)
 
 
 def chunker(f, *args):

@@ -1,6 +1,6 @@
 """Replies of language models and tools made into rows: lenient JSON, tool calls, plans, facts, titles, bibliographies.
 
-SCA-19/26/52/60/61/62, TAB-10/11/12/15, FLT-15/16/17/18, SRC-25/26/27, MSC-03. Column functions where regular
+SCA-19/23/26/52/60/61/62, TAB-10/11/12/15, FLT-15/16/17/18, SRC-25/26/27, PIP-09. Column functions where regular
 expressions can say it; a few scanners in Python, for Arrow batches, where nesting must be counted.
 """
 
@@ -26,7 +26,12 @@ def unfenced(x: Column) -> Column:
 def lenient_json(x: Column, schema: str) -> Column:
     """SCA-60: the whole text, else what is fenced, else its widest array or object, as JSON of the schema; null if none is."""
     wide = F.regexp_extract(F.coalesce(x, F.lit("")), r"(?s)(\[.*\]|\{.*\})" if schema.startswith("array") else r"(?s)(\{.*\})", 1)
-    good = lambda c: F.from_json(c, schema)
+    opens = r"^\s*[\[{]" if schema.startswith("array") else r"^\s*\{"
+
+    def good(c: Column) -> Column:
+        # what is no JSON would become a struct of nulls
+        return F.when(c.rlike(opens) & F.try_parse_json(c).isNotNull(), F.from_json(c, schema))
+
     return F.coalesce(good(F.trim(x)), good(unfenced(x)), good(wide))
 
 
@@ -54,6 +59,54 @@ def plan(reply: Column) -> Column:
     return F.when(F.size(parsed) > 0, parsed).when(F.size(lines) >= 2, made)
 
 
+#: Queries that a gap check, one after a low score and a check of causes may add.
+GAP_QUERIES, RETRY_QUERIES, CAUSAL_QUERIES = 2, 4, 3
+OUTLINE = "struct<sections:array<struct<title:string,key_claims:array<string>,based_on:array<string>>>>"
+CRITIQUE = "struct<sufficient:boolean,contradictions:array<string>,adjustments:array<string>,drop_indices:array<string>,new_branches:array<struct<sub_task:string,search_query:string,rationale:string>>>"
+QUALITY = "struct<coverage_score:double,score:double,groundedness_score:double,missing_aspects:array<string>,unsupported_claims:array<string>,unverified_citations:array<string>>"
+
+
+def follow_ups(reply: Column, most: int = GAP_QUERIES) -> Column:
+    """PIP-09: the first queries of a gap or causal check's reply; no plan gives none."""
+    none = F.from_json(F.lit("[]"), PLAN)
+    return F.slice(F.coalesce(plan(reply), none), 1, most)
+
+
+def critique(reply: Column) -> Column:
+    """PIP-09: a verdict on the plan in the middle of a run. Indices that aren't whole and branches without a query go;
+    missing lists are empty. Null where the reply holds no object."""
+    c, none = lenient_json(reply, CRITIQUE), F.array().cast("array<string>")
+    whole = F.transform(F.filter(F.coalesce(c["drop_indices"], none), lambda i: i.rlike(r"^-?\d+$")), lambda i: i.cast("int"))
+    spawned = F.filter(F.coalesce(c["new_branches"], F.from_json(F.lit("[]"), "array<struct<sub_task:string,search_query:string,rationale:string>>")), lambda b: F.coalesce(b["search_query"], F.lit("")) != "")
+    return F.when(
+        c.isNotNull(),
+        F.struct(
+            F.coalesce(c["sufficient"], F.lit(False)).alias("sufficient"), F.coalesce(c["contradictions"], none).alias("contradictions"), F.coalesce(c["adjustments"], none).alias("adjustments"),
+            whole.alias("drop_indices"), spawned.alias("new_branches"),
+        ),
+    )
+
+
+def outline(reply: Column, least: int = 0) -> Column:
+    """PIP-09: the sections of an outline; null without a list of them. A refined outline must have one at least."""
+    sections = lenient_json(reply, OUTLINE)["sections"]
+    return F.when(F.size(sections) >= least, sections)
+
+
+def quality(reply: Column) -> Column:
+    """PIP-09: coverage (or a single score), groundedness and what was flagged; null without a score."""
+    q, none = lenient_json(reply, QUALITY), F.array().cast("array<string>")
+    filled = lambda c: F.filter(F.coalesce(q[c], none), lambda x: F.coalesce(x, F.lit("")) != "")
+    coverage = F.coalesce(q["coverage_score"], q["score"])
+    return F.when(
+        coverage.isNotNull(),
+        F.struct(
+            coverage.alias("coverage"), q["groundedness_score"].alias("groundedness"), F.coalesce(q["missing_aspects"], none).alias("missing"),
+            filled("unsupported_claims").alias("unsupported"), filled("unverified_citations").alias("unverified"),
+        ),
+    )
+
+
 def bibliography(text: Column) -> Column:
     """TAB-12: (number, url) of the lines of a source list, the first url of each number."""
     line = r"(?m)^\s*(?:[-*]\s*)?\[?(\d{1,3})[\].)]*:?\s+.*?(https?://[^\s)>\]]+)"
@@ -131,6 +184,48 @@ def looks_like_tool_calls(text: Column) -> Column:
     return hit & ~((F.length(t) > 2000) & (F.regexp_count(t, F.lit(r"[.!?]\s")) > 20))
 
 
+#: Signs that are dropped, signs that stand for others, marks of one vendor's format and gaps in tags.
+MARKUP_NORMAL = (
+    (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", ""),
+    (r"[\x{AD}\x{600}-\x{605}\x{61C}\x{6DD}\x{70F}\x{8E2}\x{180E}\x{200B}-\x{200F}\x{2028}-\x{202E}\x{2060}-\x{2069}\x{FEFF}\x{FFF9}-\x{FFFB}]", ""),
+    (r"[\x{E0000}-\x{E007F}]", ""), (r"[\x{2039}\x{2329}\x{27E8}\x{3008}\x{FE64}\x{FF1C}]", "<"),
+    (r"[\x{203A}\x{232A}\x{27E9}\x{3009}\x{FE65}\x{FF1E}]", ">"), (r"[\x{201C}\x{201D}\x{201E}\x{FF02}]", "\""),
+    (r"\x{FF5C}+", "|"), (r"(?i)\|DSML\|", ""), (r"\|(?=[a-zA-Z_])", ""),
+    (r"(?i)<\s+(?=(?:tool_calls?|function_calls?|invoke|parameter|function|calls)\b)", "<"), (r"(?i)</\s+(?=(?:tool_calls?|function_calls?|invoke|parameter|function|calls)\b)", "</"),
+)
+#: Tools whose calls are taken out of replies, and what is taken out, in this order.
+STRIPPED_TOOLS = "web_search|read_url|crawl_url|python|terminal"
+MARKUP_GONE = (
+    r"(?is)<function_calls>.*?</function_calls>", r"(?is)<tool_calls>.*?</tool_calls>", r"(?is)<invoke\b[^>]*>.*?</invoke>", r"(?i)<function>\s*\w+\s*</function>",
+    r"(?is)<parameter\b[^>]*>.*?</parameter>", r"(?i)<parameter\b[^>]*/>", r"(?is)<invoke\b[^>]*>.*?(?=</?[a-zA-Z_]|\z)", r"(?is)<(?:function_calls|tool_calls)\b[^>]*>.*?(?=</?[a-zA-Z_]|\z)",
+    r"(?is)<parameter\b[^>]*>.*?(?=\n|\z)", r"(?i)<function>\s*\w+\s*</function>", rf'(?i)\{{[^{{}}]*"name"\s*:\s*"(?:{STRIPPED_TOOLS})"[^{{}}]*\}}',
+    rf"(?i)(?:{STRIPPED_TOOLS})\s*\(\s*\{{[^{{}}]*\}}\s*\)", r"</?[a-zA-Z_][a-zA-Z0-9_]*(?:\s[^>]*)?/?>",
+)
+#: Signs that markup is still there, and lines that then go.
+MARKUP_LEFT = r"<invoke|<tool_call|<function_call|<parameter|web_search\(|read_url\(|crawl_url\("
+LINE_OPENS, LINE_ENDS = r"(?i)< *(?:invoke|tool_call|function_call|parameter|function)[ >]", r"(?i)</ *(?:invoke|tool_call|function_call)>"
+LINE_CALLS = rf'^\s*(\{{[^}}]*"(?:{STRIPPED_TOOLS})"|(?:{STRIPPED_TOOLS})\s*\()'
+
+
+def without_tool_markup(text: Column) -> Column:
+    """SCA-23: a reply without calls of tools, whole or cut off; lines go one by one where signs of markup are left. '' for null."""
+    t = F.coalesce(text, F.lit(""))
+    for pattern, to in MARKUP_NORMAL:
+        t = F.regexp_replace(t, pattern, to)
+    for pattern in MARKUP_GONE:
+        t = F.regexp_replace(t, pattern, "")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t\f\x0B]+", " "), r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
+    start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("kept"))
+
+    def step(a: Column, line: Column) -> Column:
+        opens, ends = line.rlike(LINE_OPENS), line.rlike(LINE_ENDS)
+        keep = ~opens & ~ends & ~a["skip"] & ~F.trim(line).rlike(LINE_CALLS) & (F.trim(line) != "")
+        return F.struct((opens | (a["skip"] & ~ends)).alias("skip"), F.when(keep, F.concat(a["kept"], F.array(line))).otherwise(a["kept"]).alias("kept"))
+
+    lines = F.trim(F.array_join(F.aggregate(F.split(t, "\n"), start, step, lambda a: a["kept"]), "\n"))
+    return F.when(t.rlike(MARKUP_LEFT), lines).otherwise(t)
+
+
 #: Commands and the tool that each starts.
 COMMANDS = {"search": "web_search", "crawl": "crawl_url", "kb": "knowledge_search", "doc": "document"}
 

@@ -1,10 +1,14 @@
 """Results of searches, crawls and extraction jobs as rows and text: projections and small rules.
 
-PRJ-01/02, AGG-18, MSC-03/05/07, SCA-16/22, TOP-10, SET-06.
+PRJ-01/02, AGG-18/24, MSC-03/05/07/08, SCA-16/22/24/57/67, TOP-10, SET-06.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,3 +109,72 @@ def stage_keys(old: Column, new: Column) -> Column:
     """SET-06: stages reached so far and new ones, each once."""
     none = F.array().cast("array<string>")
     return F.array_union(F.coalesce(old, none), F.coalesce(new, none))
+
+
+def plan_snapshot(tasks: Column) -> Column:
+    """PRJ-02: an array of tasks (sub_task, search_query, hypothesis, evidence_needed) as JSON, blank optional fields left out."""
+    filled = lambda c: F.when(c != "", c)
+    each = lambda t: F.struct(t["sub_task"].alias("sub_task"), t["search_query"].alias("search_query"), filled(t["hypothesis"]).alias("hypothesis"), filled(t["evidence_needed"]).alias("evidence_needed"))
+    return F.coalesce(F.to_json(F.transform(tasks, each)), F.lit("[]"))
+
+
+def usage_total(provider: Column, prompt_evals: Column, evals: Column, inputs: Column, outputs: Column, prompt: Column, completion: Column) -> Column:
+    """AGG-24: tokens of a whole reply by the fields that its provider fills; missing ones count nothing."""
+    both = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    return F.when(provider == "ollama", both(prompt_evals, evals)).when(provider == "anthropic", both(inputs, outputs)).otherwise(both(prompt, completion))
+
+
+def inline_text(x: Column) -> Column:
+    """SCA-24: spaces, tabs and fixed spaces as one space, lines trimmed, blank lines gone; '' for null."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\r\n?", "\n"), r"[ \t\x{A0}]+", " ")
+    lines = F.transform(F.split(t, "\n"), lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
+    return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
+
+
+def table_cell(x: Column) -> Column:
+    """SCA-24: a cell of a Markdown table: one line, backslashes and bars escaped."""
+    return F.replace(F.replace(clean(x), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+
+
+def cache_key(url: Column, *config: Column) -> Column:
+    """SCA-57: the SHA-256 of an address, or with extraction settings of the JSON list of it and them; null counts as blank."""
+    parts = [F.trim(F.coalesce(url, F.lit(""))), *(F.coalesce(c, F.lit("")) for c in config)]
+    return F.sha2(F.to_json(F.array(*parts)) if config else parts[0], 256)
+
+
+def json_block():
+    """SCA-67: a column function from JSON to a fenced block of it, indented by two; what is no JSON stays as it is."""
+
+    def shown(text: str | None) -> str:
+        whole = lambda s: int(float(s)) if float(s).is_integer() and abs(float(s)) < 1e21 else float(s)
+        try:
+            text = json.dumps(json.loads(text or "null", parse_float=whole), indent=2, ensure_ascii=False)
+        except ValueError:
+            pass
+        return f"```json\n{text}\n```"
+
+    @F.arrow_udf("string")
+    def block(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shown(t) for t in batch.to_pylist()], pa.string())
+
+    return block
+
+
+#: Searches of one turn from which each note is given, and the notes.
+SEARCH_NOTES = (
+    (5, "\nYou have run {n} web searches this turn. If you are on a close trail to the information, keep using read_url/crawl_url on specific pages and following links from pages you have opened; run another search if it targets a concrete gap."),
+    (3, "\nYou have already run {n} web searches this turn. Reading pages (and following links you find in them) often yields more than another search."),
+    (2, "You have already run {n} web search(es) this turn. Consider reading pages with read_url before searching again."),
+)
+UNREAD_NOTE = "\nYou have searched {n} times without reading any pages yet. Reading at least one promising URL (with read_url or crawl_url) — and following the links it lists — often yields more than another search."
+FAILED_NOTE = "\nNOTE: {n} page-reading attempts have failed this turn. These sites may block scraping — try crawl_url for JavaScript-heavy pages, different sources, or the information you already have."
+
+
+def search_notes(searches: Column, reads: Column, failures: Column) -> Column:
+    """MSC-08: the notes that follow a list of results, by the turn's searches, pages read and pages that failed; '' without any."""
+    said = lambda note, n: F.replace(F.lit(note), F.lit("{n}"), n.cast("string"))
+    many = F.lit(None).cast("string")
+    for least, note in reversed(SEARCH_NOTES):
+        many = F.when(searches >= least, said(note, searches)).otherwise(many)
+    return F.concat_ws("\n", many, F.when((searches >= 2) & (reads == 0), said(UNREAD_NOTE, searches)), F.when(failures >= 2, said(FAILED_NOTE, failures)))

@@ -1,6 +1,6 @@
 """Upkeep of chunk collections as set operations on immutable tables: the result is the new table, never a change in place.
 
-FLT-03, JN-08, SET-02, TOP-04/08/09, AGG-12/13, SNK-04, DML-01..05/08/09, TAB-03, FLT-13, MSC-04. Chunks are (collection,
+FLT-03, JN-08, SET-02, TOP-04/08/09, AGG-12/13, SNK-04, DML-01..05/07/08/09, TAB-03, FLT-13, MSC-04. Chunks are (collection,
 id, content, source_id, indexed_at); a missing indexed_at counts as 0, the oldest.
 """
 
@@ -90,6 +90,27 @@ def upsert(chunks: DataFrame, new: DataFrame, replace_ids: list[str], cap: int =
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+#: The collection of remembered facts and what their ids begin with.
+MEMORY, FACT_PREFIX = "conversations", "update_"
+
+
+def fact_id(about: Column) -> Column:
+    """DML-07: the id of the fact about a topic: letters and digits in lower case, other runs as one underscore."""
+    return F.concat(F.lit(FACT_PREFIX), F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(about, F.lit(""))), r"[^\p{L}\p{N}]+", "_"), r"^_+|_+$", ""))
+
+
+def remember(chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """DML-07: chunks after `facts(about, new_fact, at)`: of each topic the newest fact, in the place of the one before."""
+    new = facts.groupBy(fact_id(F.col("about")).alias("id")).agg(F.max(F.struct("at", "new_fact")).alias("f")).select(F.lit(MEMORY).alias("collection"), "id", F.col("f.new_fact").alias("content"))
+    return chunks.join(new.select("collection", "id"), ["collection", "id"], "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def forget(chunks: DataFrame, topics: DataFrame) -> DataFrame:
+    """DML-07: chunks without the facts about `topics(about)`; nothing else can be forgotten."""
+    gone = topics.select(F.lit(MEMORY).alias("collection"), fact_id(F.col("about")).alias("id")).distinct()
+    return chunks.join(gone, ["collection", "id"], "left_anti")
+
+
 def merge_front(old: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame:
     """DML-08: rows of `new` replace those of `old` and come last in `seq` order, which is the front of a newest-first list."""
     top = old.agg(F.coalesce(F.max(seq), F.lit(0)).alias("_top"))

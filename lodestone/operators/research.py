@@ -1,12 +1,12 @@
 """Research: citation numbers, contradictions, ordering by relevance, budgets and checkpoints.
 
-WIN-06/11/14/15, AGG-19, JN-03/09/10, SET-03, PIP-04/05/06, SNK-08, MSC-09, SCA-56, TOP-10.
+WIN-06/11/14/15, AGG-19, JN-03/09/10/14/16, SET-03, PIP-04/05/06, SNK-08, MSC-09, SCA-56, TOP-10.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -41,6 +41,46 @@ def cite(text: DataFrame, cited: DataFrame) -> DataFrame:
     return met.withColumn("mark", F.concat(F.lit("["), F.coalesce(F.col("_n").cast("string"), F.lit("?")), F.lit("]("), F.col("url"), F.lit(")"))).drop("_k", "_n")
 
 
+def annotated(text: Column, claims: Column, least: int = 30) -> Column:
+    """JN-14: the text with `[n]` behind the first place of each claim in turn: `claims` is an array of (claim, numbers).
+
+    Claims shorter than `least`, ones without numbers and ones that marks follow already add nothing.
+    """
+
+    def step(t: Column, c: Column) -> Column:
+        claim, numbers = c["claim"], F.array_sort(F.array_distinct(F.filter(c["numbers"], lambda n: n > 0)))
+        at = F.position(claim, t)
+        end = at + F.length(claim)
+        marks = F.array_join(F.transform(numbers, lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), "")
+        new = (F.length(claim) >= least) & (at > 0) & (marks != "") & ~F.substring(t, end, F.lit(20)).rlike(r"^(\s*\[\d+\])+")
+        return F.when(new, F.concat(F.substring(t, F.lit(1), end - 1), marks, F.substring(t, end, F.length(t)))).otherwise(t)
+
+    return F.aggregate(F.coalesce(claims, F.array().cast("array<struct<claim:string,numbers:array<bigint>>>")), text, step)
+
+
+def _plain_key(url: Column) -> Column:
+    return F.lower(F.regexp_replace(url, r"/+$", ""))
+
+
+def citation_map(cited: DataFrame, messages: DataFrame, listed: DataFrame) -> DataFrame:
+    """JN-16: (run, number, url, title): what a mark points to, for each run.
+
+    Numbers of the tracker `cited(run, number, url)` come first; then addresses that tool messages (run, seq, role, text) say
+    were read in full, in order, each once and with the next numbers; last the model's own list (run, number, url, title),
+    for numbers that nothing has yet.
+    """
+    tracked = cited.groupBy("run", "number").agg(F.min("url").alias("url")).select("run", F.col("number").cast("long").alias("number"), "url", F.lit("").alias("title"), F.lit(0).alias("source"))
+    read = F.regexp_extract_all("text", F.lit(r"\[Full text (?:scraped|extracted|fetched) from\s+(https?://[^\]]+)\]"), F.lit(1))
+    found = messages.where("role = 'tool'").select("run", "seq", F.posexplode(read).alias("pos", "url")).withColumn("key", _plain_key(F.col("url")))
+    first = found.groupBy("run", "key").agg(F.min(F.struct("seq", "pos", "url")).alias("f")).join(tracked.select("run", _plain_key(F.col("url")).alias("key")).distinct(), ["run", "key"], "left_anti")
+    held = tracked.groupBy("run").agg(F.count("*").alias("held"))
+    place = F.row_number().over(Window.partitionBy("run").orderBy("f.seq", "f.pos"))
+    scraped = first.withColumn("place", place).join(held, "run", "left").select("run", (F.coalesce("held", F.lit(0)) + F.col("place")).cast("long").alias("number"), "f.url", F.lit("").alias("title"), F.lit(1).alias("source"))
+    own = listed.select("run", F.col("number").cast("long").alias("number"), "url", F.coalesce("title", F.lit("")).alias("title"), F.lit(2).alias("source"))
+    every = tracked.unionByName(scraped).unionByName(own)
+    return every.groupBy("run", "number").agg(F.min(F.struct("source", "url", "title")).alias("m")).select("run", "number", "m.url", "m.title")
+
+
 def sandwich(ranked: DataFrame, score: str = "score") -> DataFrame:
     """WIN-11: the best first, the second last, and so inwards: `position` from 0."""
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

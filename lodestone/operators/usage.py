@@ -205,6 +205,25 @@ def stage_ups(events: DataFrame) -> DataFrame:
     return run.where((F.col("old") != F.col("new")) & (F.col("new") != "hatchling")).select("provider", "event_id", F.col("old").alias("from_stage"), F.col("new").alias("to_stage"), F.col("after").alias("xp"))
 
 
+#: The companions of the providers.
+COMPANIONS = (("ollama", "Ollie"), ("unsloth", "Slothy"), ("openai", "Sparky"), ("anthropic", "Clyde"), ("deepseek", "Pearl"))
+
+
+def companions(rows: DataFrame) -> DataFrame:
+    """JN-15: rows of providers with their companion's name; null for others. The dimension has five rows."""
+    names = rows.sparkSession.createDataFrame(COMPANIONS, "provider string, companion string")
+    return rows.join(F.broadcast(names), "provider", "left")
+
+
+def stage_state(xp: Column, replies: Column, hatched: Column, fed: Column, stages: Column) -> Column:
+    """SCA-69: a saved companion made sound: counts and times at least 0, known stages once each and none beyond its own."""
+    count = lambda c: F.greatest(F.lit(0), F.coalesce(F.floor(c.cast("double") + 0.5), F.lit(0)).cast("long"))
+    time = lambda c: F.greatest(F.lit(0), F.coalesce(F.floor(c.cast("double")), F.lit(0)).cast("long"))
+    reached = F.array(*(F.when(count(xp) >= least, F.lit(key)) for least, key in P.XP_STAGES))
+    held = F.array_distinct(F.filter(F.coalesce(stages, F.array().cast("array<string>")), lambda s: s.isNotNull() & F.array_contains(F.array_compact(reached), s)))
+    return F.struct(count(xp).alias("xp"), count(replies).alias("replies"), time(hatched).alias("hatched_at"), time(fed).alias("last_fed_at"), held.alias("stages"))
+
+
 def companion(rollup: DataFrame) -> DataFrame:
     """SCA-48: stage and mood from all time and the last month."""
     s = summary_ranges(rollup)

@@ -955,3 +955,139 @@ def research_totals(spark, d):
 def hit_conversations(spark, d):
     """JN-13: hits of the knowledge base with the conversation that their session names, if there is one."""
     return table(spark, d, "labels").select("doc_id").distinct().join(table(spark, d, "conversations").select("conv_id").distinct(), F.col("doc_id") == F.col("conv_id"), "left").select("doc_id", "conv_id")
+
+
+# small rules over made fields
+
+
+def _made(i, *own):
+    """The value in `own` by the remainder of a number."""
+    return F.element_at(F.array(*(F.lit(v) for v in own)), (i % len(own) + 1).cast("int"))
+
+
+@query("""SELECT doc_id, '[{"sub_task":"Task ' || doc_id || '","search_query":"q' || doc_id || '"' || CASE doc_id % 3 WHEN 0 THEN ',"hypothesis":"h"' ELSE '' END || CASE doc_id % 2 WHEN 0 THEN ',"evidence_needed":"e"' ELSE '' END || '}]' AS snapshot FROM documents""")
+def plan_snapshots(spark, d):
+    """PRJ-02: a made task for each document, with some optional fields."""
+    i = F.col("doc_id")
+    named = lambda p: F.concat(F.lit(p), i.cast("string"))
+    task = F.struct(named("Task ").alias("sub_task"), named("q").alias("search_query"), _made(i, "h", "", None).alias("hypothesis"), _made(i, "e", "").alias("evidence_needed"))
+    return table(spark, d, "documents").select("doc_id", results.plan_snapshot(F.array(task)).alias("snapshot"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'ollama' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'openai' ELSE 'deepseek' END AS provider,
+CASE event_id % 4 WHEN 0 THEN user_id + coalesce(nullif(event_id % 5, 0), 0) WHEN 1 THEN 2 * user_id ELSE 3 * user_id + 7 END AS tokens FROM events""")
+def reply_usage_totals(spark, d):
+    """AGG-24: made fields of whole replies of each provider, one missing now and then."""
+    i, u = F.col("event_id"), F.col("user_id")
+    provider = _made(i, "ollama", "anthropic", "openai", "deepseek")
+    return table(spark, d, "events").select("event_id", provider.alias("provider"), results.usage_total(provider, u, F.nullif(i % 5, F.lit(0)), u, u, u * 3, F.lit(7)).cast("bigint").alias("tokens"))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace('  ' || coalesce(text, '') || chr(13) || chr(10) || chr(10) || '  end' || chr(9) || chr(9) || '|x ', '[ \\t\\x{A0}]+', ' ', 'g').replace(chr(13) || chr(10), chr(10)).replace(chr(13), chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS inline,
+replace(replace(trim(regexp_replace('a\\b ' || coalesce(text, '') || ' |' || chr(10) || 'c', '\\s+', ' ', 'g')), '\\', '\\\\'), '|', '\\|') AS cell FROM documents""")
+def office_texts(spark, d):
+    """SCA-24: whole texts between blanks, ends of lines and signs that must be escaped."""
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select(
+        "doc_id", results.inline_text(F.concat(F.lit("  "), t, F.lit("\r\n\n  end\t\t|x "))).alias("inline"), results.table_cell(F.concat(F.lit("a\\b "), t, F.lit(" |\nc"))).alias("cell")
+    )
+
+
+@query("""SELECT page_id, sha256(trim(coalesce(url, ''))) AS plain, sha256('["' || trim(coalesce(url, '')) || '","markdown","","say \\"x\\"",""]') AS extraction FROM pages""")
+def page_cache_keys(spark, d):
+    """SCA-57: keys of pages and of extractions from them."""
+    none = F.lit(None).cast("string")
+    return table(spark, d, "pages").select("page_id", results.cache_key(F.col("url")).alias("plain"), results.cache_key(F.col("url"), F.lit("markdown"), none, F.lit('say "x"'), none).alias("extraction"))
+
+
+@query("""WITH n AS (SELECT event_id, event_id % 7 AS s, event_id % 2 AS r, event_id % 3 AS f FROM events)
+SELECT event_id, s >= 2 AS many, regexp_extract(CASE WHEN s >= 5 THEN 'You have run ' || s ELSE CASE WHEN s >= 2 THEN 'You have already run ' || s ELSE '' END END, '.*') AS first, s >= 2 AND r = 0 AS unread, f >= 2 AS failed,
+(CASE WHEN s >= 5 THEN 1 WHEN s >= 3 THEN 1 ELSE 0 END) + (CASE WHEN s >= 2 AND r = 0 THEN 1 ELSE 0 END) + (CASE WHEN f >= 2 THEN 1 ELSE 0 END) + greatest((CASE WHEN s >= 2 THEN 1 ELSE 0 END) + (CASE WHEN s >= 2 AND r = 0 THEN 1 ELSE 0 END) + (CASE WHEN f >= 2 THEN 1 ELSE 0 END) - 1, 0) AS breaks FROM n""")
+def search_notes(spark, d):
+    """MSC-08: which notes follow made counts of searches, pages read and failures, and how many lines they begin."""
+    i = F.col("event_id")
+    note = results.search_notes(i % 7, i % 2, i % 3)
+    return table(spark, d, "events").select("event_id", note.alias("n")).select(
+        "event_id", F.col("n").contains("web search").alias("many"), F.regexp_extract("n", r"^\n?(You have (?:already )?run \d+)", 1).alias("first"),
+        F.col("n").contains("times without reading").alias("unread"), F.col("n").contains("NOTE: ").alias("failed"), F.regexp_count("n", F.lit("\n")).alias("breaks"),
+    )
+
+
+@query("""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(coalesce(text, '') || ' ', '[ \\t\\f\\v]+', ' ', 'g') || CASE turn % 4 WHEN 3 THEN '' ELSE ' and so on' END, '\\n{3,}', chr(10) || chr(10), 'g').replace('  ', ' '), ' ' || chr(10)) AS said FROM conversations""")
+def replies_without_markup(spark, d):
+    """SCA-23: whole turns with a call in markup, in an object, as a function, or cut off at the end."""
+    call = _made(F.col("turn"), '<invoke name="web_search"><parameter name="q">x</parameter></invoke>', '{"name": "read_url", "arguments": 1}', 'crawl_url({"url": "u"})', '\uff1cinvoke name="web_search">\n<parameter name="q">x')
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), call, F.when(F.col("turn") % 4 == 3, "").otherwise(" and so on"))
+    return table(spark, d, "conversations").select("conv_id", "turn", replies.without_tool_markup(said).alias("said"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN CASE WHEN event_id % 5 > 0 THEN floor(event_id % 5 * 1000 * 2.8) ELSE floor(4096 * 2.8) END WHEN 1 THEN CASE WHEN event_id % 5 > 0 THEN floor(event_id % 5 * 1000 * 2.8) ELSE floor(8192 * 2.8) END
+WHEN 2 THEN 2156000 WHEN 3 THEN CASE event_id % 3 WHEN 0 THEN 358400 ELSE 89600 END WHEN 4 THEN 280000 ELSE 200000 END::BIGINT AS budget FROM events""")
+def provider_budgets(spark, d):
+    """SCA-51: made settings of all providers."""
+    i = F.col("event_id")
+    provider = _made(i, "ollama", "unsloth", "deepseek", "openai", "anthropic", "other")
+    return table(spark, d, "events").select("event_id", chat.provider_budget(provider, _made(i, "GPT-4o", "unknown", None), i % 5 * 1000).alias("budget"))
+
+
+@query("""WITH s AS (SELECT conv_id, max(turn) AS stop FROM conversations GROUP BY conv_id), m AS (SELECT c.conv_id, turn, '[' || coalesce(nullif(role, ''), 'unknown') || '] ' || coalesce(text, '') AS said FROM conversations c JOIN s ON c.conv_id = s.conv_id WHERE turn < stop),
+t AS (SELECT conv_id, string_agg(said, chr(10) || chr(10) ORDER BY turn, said) AS t FROM m GROUP BY conv_id) SELECT conv_id, CASE WHEN length(t) > 1000 THEN '[...older messages trimmed...]' || chr(10) || chr(10) || right(t, 1000) ELSE t END AS transcript FROM t""")
+def memory_transcripts(spark, d):
+    """STR-15: all turns but the last as what is folded into a memory, in as little room as there may be."""
+    c = table(spark, d, "conversations")
+    return chat.fold_transcripts(c, c.groupBy("conv_id").agg(F.max("turn").alias("start_turn")), most=0)
+
+
+@query("""SELECT event_id, CASE user_id % 6 WHEN 0 THEN 'Ollie' WHEN 1 THEN 'Slothy' WHEN 2 THEN 'Sparky' WHEN 3 THEN 'Clyde' WHEN 4 THEN 'Pearl' END AS companion, greatest(round(value * 1000), 0)::BIGINT AS xp,
+CASE WHEN round(value * 1000) >= 10000 THEN 'egg|sprout' ELSE 'egg' END AS stages FROM events""")
+def companion_states(spark, d):
+    """JN-15, SCA-69: made states with unknown, repeated and later stages."""
+    state = usage.stage_state(F.col("value") * 1000, F.lit(-1), F.lit(1.5), F.lit(None).cast("double"), F.array(*map(F.lit, ["egg", "sprout", "egg", "dragon", "archmage"])))
+    e = table(spark, d, "events").select("event_id", _made(F.col("user_id"), "ollama", "unsloth", "openai", "anthropic", "deepseek", "none").alias("provider"), state.alias("s"))
+    return usage.companions(e).select("event_id", "companion", "s.xp", F.array_join("s.stages", "|").alias("stages"))
+
+
+@query("""WITH c AS (SELECT doc_id, text, substr(text, 11, 40) AS claim, strpos(text, substr(text, 11, 40)) AS p FROM documents)
+SELECT doc_id, CASE WHEN length(claim) >= 30 AND p > 0 THEN substr(text, 1, p + length(claim) - 1) || '[1][3]' || substr(text, p + length(claim)) ELSE text END AS marked FROM c""")
+def citations_marked(spark, d):
+    """JN-14: marks behind a claim of forty characters in each whole text; the second claim, already marked, adds none."""
+    claim = F.struct(F.substring("text", 11, 40).alias("claim"), F.array(*(F.lit(n).cast("bigint") for n in (3, 1, 3))).alias("numbers"))
+    short = F.struct(F.substring("text", 1, 9).alias("claim"), F.array(F.lit(2).cast("bigint")).alias("numbers"))
+    return table(spark, d, "documents").select("doc_id", research.annotated(F.col("text"), F.array(claim, short, claim)).alias("marked"))
+
+
+@query("""SELECT conv_id AS run, 1::BIGINT AS number, 'https://a.org/' || conv_id AS url, '' AS title FROM conversations GROUP BY conv_id
+UNION ALL SELECT conv_id, 1 + row_number() OVER (PARTITION BY conv_id ORDER BY turn), 'https://b.org/' || turn, '' FROM (SELECT DISTINCT conv_id, turn FROM conversations)
+UNION ALL SELECT conv_id, 1000000, 'https://c.org', 'C' FROM conversations GROUP BY conv_id""")
+def citation_maps(spark, d):
+    """JN-16: a tracked address, turns as pages that were read, one of them tracked already, and a list of two."""
+    c = table(spark, d, "conversations")
+    one = c.select(F.col("conv_id").alias("run")).distinct()
+    tracked = one.select("run", F.lit(1).alias("number"), F.concat(F.lit("https://a.org/"), F.col("run").cast("string")).alias("url"))
+    own = F.concat(F.lit("[Full text scraped from https://A.org/"), F.col("conv_id").cast("string"), F.lit("/] ["), F.lit("Full text fetched from https://b.org/"), F.col("turn").cast("string"), F.lit("] "), F.coalesce("text", F.lit("")))
+    said = c.select(F.col("conv_id").alias("run"), F.col("turn").alias("seq"), F.lit("tool").alias("role"), own.alias("text"))
+    listed = one.select("run", F.explode(F.array(F.lit(2), F.lit(1000000))).alias("number"), F.lit("https://c.org").alias("url"), F.lit("C").alias("title"))
+    return research.citation_map(tracked, said, listed)
+
+
+@query("""SELECT 'conversations' AS collection, 'update_' || regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g') AS id, 'fact ' || max(doc_id) AS content FROM documents WHERE source <> 'web' GROUP BY source
+UNION ALL SELECT lang, 'd' || doc_id, text FROM documents""")
+def facts_remembered(spark, d):
+    """DML-07: a fact for each document about its source, of which the last stays, and one topic forgotten."""
+    doc = table(spark, d, "documents")
+    had = doc.select(F.col("lang").alias("collection"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("content"))
+    facts = doc.where("source is not null").select(F.col("source").alias("about"), F.concat(F.lit("fact "), F.col("doc_id").cast("string")).alias("new_fact"), F.col("doc_id").alias("at"))
+    return collections.forget(collections.remember(had, facts), spark.createDataFrame([("Web",)], "about string"))
+
+
+@query("""SELECT item_id, (item_id % 5)::DOUBLE AS coverage, 'gap ' || item_id AS missing, item_id % 2 = 0 AS sufficient, 1::INT AS dropped, 1::INT AS sections, 2::INT AS gaps FROM benchmark""")
+def research_verdicts(spark, d):
+    """PIP-09, SCA-60: made replies of every check, bare, fenced and within words, with whole texts in them."""
+    i = F.col("item_id")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r'[\\\\"{}\[\]\p{Cntrl}]', " ")
+    q = F.concat(F.lit('Here: {"score": '), (i % 5).cast("string"), F.lit(', "missing_aspects": ["gap '), i.cast("string"), F.lit('"], "unsupported_claims": ["", "'), text, F.lit('"]} thanks'))
+    c = F.concat(F.lit('```json\n{"sufficient": '), F.when(i % 2 == 0, "true").otherwise("false"), F.lit(', "drop_indices": [0, 1.5], "new_branches": [{"sub_task": "'), text, F.lit('"}]}\n```'))
+    o = F.concat(F.lit('{"sections": [{"title": "'), text, F.lit('"}]}'))
+    g = F.concat(F.lit('[{"search_query": "a"}, {"search_query": "b'), text, F.lit('"}, {"search_query": "c"}]'))
+    got = table(spark, d, "benchmark").select("item_id", replies.quality(q).alias("q"), replies.critique(c).alias("c"), replies.outline(o, 1).alias("o"), replies.follow_ups(g).alias("g"))
+    return got.select("item_id", F.col("q.coverage").alias("coverage"), F.col("q.missing")[0].alias("missing"), F.col("c.sufficient").alias("sufficient"), F.size("c.drop_indices").alias("dropped"), F.size("o").alias("sections"), F.size("g").alias("gaps"))
