@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, embeddings, jaccard, language, mixing, pieces, reputation, sharding, topk, toxicity
+from lodestone.llm import chat, embeddings, jaccard, language, mixing, phrases, pieces, reputation, sharding, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,10 +73,17 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.every_twentieth(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_language, op3_urls, op4_pieces, op5_sharding, op6_mixing, op7_jaccard, op8_chat, op9_embeddings, op10_topk)
+    own = (
+        op1_toxicity, op2_language, op3_urls, op4_pieces, op5_sharding, op6_mixing, op7_jaccard, op8_chat, op9_embeddings, op10_topk,
+        op13_phrases,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": reputation.SQL, "op6_mixing": mixing.SQL, "op7_jaccard": OP7_SQL, "op8_chat": chat.SQL}
+    return {"op3_urls": reputation.SQL, "op6_mixing": mixing.SQL, "op7_jaccard": OP7_SQL, "op8_chat": chat.SQL, "op13_phrases": phrases.SQL}
