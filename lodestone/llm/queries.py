@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, embeddings, jaccard, language, mixing, phrases, pieces, reputation, sharding, spelling, topk, toxicity
+from lodestone.llm import chat, embeddings, jaccard, language, mixing, phrases, pieces, reputation, sharding, spelling, suffixes, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.every_twentieth(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
@@ -84,10 +88,10 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_toxicity, op2_language, op3_urls, op4_pieces, op5_sharding, op6_mixing, op7_jaccard, op8_chat, op9_embeddings, op10_topk,
-        op12_spelling, op13_phrases,
+        op11_passages, op12_spelling, op13_phrases,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": reputation.SQL, "op6_mixing": mixing.SQL, "op7_jaccard": OP7_SQL, "op8_chat": chat.SQL, "op12_spelling": spelling.SQL, "op13_phrases": phrases.SQL}
+    return {"op3_urls": reputation.SQL, "op6_mixing": mixing.SQL, "op7_jaccard": OP7_SQL, "op8_chat": chat.SQL, "op11_passages": suffixes.SQL, "op12_spelling": spelling.SQL, "op13_phrases": phrases.SQL}
