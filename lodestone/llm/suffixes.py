@@ -295,11 +295,11 @@ def _chosen(s: Suffixes, names: np.ndarray, lists: list[list[bytes] | None]) ->
 
 
 def _told_strings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first document's rows of every string, and the rows of others."""
+    """The rows of every string's first document, and those of others."""
     rows = rows[np.lexsort((rows["doc"], rows["l"], rows["k"]))]
     heads = _heads(rows["k"], rows["l"])
     later = rows["doc"] > np.repeat(rows["doc"][heads], np.diff(np.append(heads, len(rows))))
-    return rows[heads], rows[later]
+    return rows[~later], rows[later]
 
 
 def _marks(rows: np.ndarray) -> np.ndarray:
