@@ -77,3 +77,20 @@ def calibrate(margin: np.ndarray, positive: np.ndarray, rounds: int = 50) -> tup
         if np.abs(step).max() < 1e-8:
             break
     return max(a, 1e-3), b
+
+
+def logistic(x: np.ndarray, positive: np.ndarray, ridge: float = 0.1, rounds: int = 100) -> tuple[float, ...]:
+    """Weights of P(positive) = 1 / (1 + exp(-(x @ w + b))) and b, by Newton steps on standardised columns."""
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-6] = np.inf  # a column that doesn't vary tells nothing
+    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    w, keep = np.zeros(z.shape[1]), np.diag([ridge] * x.shape[1] + [1e-6])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + keep, z.T @ (p - positive) + keep @ w)
+        step *= min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    own = w[:-1] / scale
+    return (*own.tolist(), float(w[-1] - own @ mean))

@@ -6,19 +6,22 @@ close to the plain ones; values are over the norms that strings of their lengths
 machine on Nystrom features (the kernel against landmark strings, whitened by the landmarks' own kernel) folds exactly
 into one weight for each subsequence, so scoring is a table lookup for each subsequence of a text's letters.
 
-Training data are labelled sentences: a document's label holds for its sentences, and a sentence is the set of its
-windows. Words are folded to plain letters (accents dropped, look-alike digits and signs read as letters between
-letters, other signs left out). A window begins with a word, marked by a sign for its start, and goes on over the words
-that follow in the sentence until it is full or a word ends; long words have windows further in; and every second
-letter of a word gives windows too. So insults with a letter in every gap or broken by blanks give the plain one's
-window. A toxic document's sentences are represented by their witnesses, windows of words whose documents are toxic
-beyond chance, the most telling first, until `COVER` of them explain the document; windows of clean documents are
-negatives, and those that the machine likes most go into its next round. A text scores by its best window over all its
-sentences, calibrated on documents that the calibrating machine has not seen. The fit is one task's work on a bounded
-sample: `TOXIC` and `CLEAN` documents of at most `LONGEST` characters each and `BYTES` in all by class; only the
-weights reach the driver.
-
-Defined results: null and empty text and text without windows get the score of a text whose best window is the
+Training data are the windows of labelled documents' sentences. Words are folded to plain letters (accents dropped,
+look-alike digits and signs read as letters between letters, other signs left out). A window begins with a word, marked
+by a sign for its start, and goes on over the words that follow in the sentence until it is full or a word ends; long
+words have windows further in; and every second letter of a word gives windows too. So insults with a letter in every gap
+or broken by blanks give the plain one's window. A toxic document is represented by its witnesses, windows or beginnings
+of words whose documents are toxic beyond chance, the most telling first, until `COVER` of them explain the document;
+all windows that begin with a telling beginning are positives, and no negatives. Windows of clean documents are
+negatives, and those that the machine likes most go into its next round.
+
+One window that the machine likes proves little where toxic words resemble clean ones, several do; and long texts hold
+some by chance. So a text's score is a logistic function of its best window, of its evidence (all windows above `BAR`,
+each up to one) and of its length, fitted to documents that the machine behind those numbers has not seen. The fit is
+one task's work on a bounded sample: `TOXIC` and `CLEAN` documents of at most `LONGEST` characters each and `BYTES` in all
+by class; only the weights reach the driver.
+
+Defined results: null and empty text and text without windows have no evidence and the best window of the
 negative limit; without both labels to learn from every score is 0; labels that are null or contradict each other are
 not learnt from; of rows that repeat an id the smallest text is learnt from; repeated rows are each scored; empty tables
 give no rows; other columns are never read. A text of more than `PART` characters is read in parts that end at blanks.
@@ -48,6 +51,10 @@ WIDE = 8
 #: ones whose joined and spread windows are learnt from; landmarks; negatives in all and new ones a round.
 TOXIC, CLEAN, LONGEST, BYTES, JOINED, LANDMARKS, NEGATIVES, HARD, ROUNDS = 1200, 1800, 1 << 16, 1 << 24, 600, 960, 5000, 3000, 5
 COVER, THRESHOLD, FLOOR = 3, 0.7, -3.0
+#: Windows above it are evidence; words of a text of which nothing is told.
+BAR, COMMON = 0.5, 100.0
+#: Letters, with the sign, of word beginnings that can be witnesses for all windows that begin so.
+STEMS = (6, 7)
 #: Characters that are scored together, and the most of one text at a time.
 PART = 1 << 20
 
@@ -93,6 +100,20 @@ def windows(token: str) -> list[str]:
     return [w for w in (own[:WIDE], *_further(own)) if len(w) >= ORDER]
 
 
+def stems(token: str) -> list[str]:
+    """Beginnings of a word that goes on, with its sign."""
+    return ["^" + token[: n - 1] for n in STEMS if len(token) >= n]
+
+
+def _begins(strings: np.ndarray, witness: np.ndarray) -> np.ndarray:
+    """Which packed windows begin with a witness that is as long as a stem and marked by the sign."""
+    out = np.zeros(len(strings), dtype=bool)
+    for n in STEMS:
+        short = witness[(np.char.str_len(witness) == n) & np.char.startswith(witness, b"^")].astype(f"S{n}")
+        out |= np.isin(strings.astype(f"S{n}"), short)
+    return out
+
+
 def spread(token: str) -> list[str]:
     """Windows of every second letter, from the first and from the second: a letter put into every gap is left out there."""
     return [w for half in (token[::2], token[1::2]) if len(half) >= ORDER for w in windows(half)]
@@ -260,19 +281,21 @@ class Letters:
 
 @dataclass
 class Machine:
-    """weights: one for each subsequence; a window's value is their weighted sum plus the bias."""
+    """weights: one for each subsequence; a window's value is their weighted sum plus the bias.
+
+    chance: weights of a text's signs (see `signs`) and their offset, of which its score is the logistic function.
+    """
 
     weights: np.ndarray
     bias: float
-    slope: float = 1.0
-    offset: float = 0.0
+    chance: tuple[float, ...] = (1.0, 1.0, -0.3, -1.0)
 
     def __getstate__(self) -> tuple:
         at = np.flatnonzero(self.weights)
-        return at.astype(np.int32), self.weights[at].astype(np.float32), self.bias, self.slope, self.offset
+        return at.astype(np.int32), self.weights[at].astype(np.float32), self.bias, self.chance
 
     def __setstate__(self, state: tuple) -> None:
-        at, values, self.bias, self.slope, self.offset = state
+        at, values, self.bias, self.chance = state
         self.weights = np.zeros(WIDTH, dtype=np.float32)
         self.weights[at] = values
 
@@ -288,8 +311,14 @@ class Machine:
         return float(self.bests([text])[0])
 
     def bests(self, texts: list[str | None]) -> np.ndarray:
-        """As `best`; texts are read together, up to PART characters at a time."""
-        out, now, size = np.full(len(texts), FLOOR), [], 0
+        """As `best`."""
+        return self.read(texts)[:, 0]
+
+    def read(self, texts: list[str | None]) -> np.ndarray:
+        """For each text the value of its best window, its evidence (windows above BAR, each up to one), and its words;
+        texts are read together, up to PART characters at a time."""
+        out, now, size = np.zeros((len(texts), 3)), [], 0
+        out[:, 0] = FLOOR
         for i, text in enumerate(texts):
             for part in _parts(text or ""):
                 if size + len(part) > PART:
@@ -304,8 +333,13 @@ class Machine:
         if not parts:
             return
         own, of = Letters.of([t for _, t in parts]), np.array([i for i, _ in parts])
+        if len(own.first):
+            np.add.at(out[:, 2], of[own.text], 1.0)
         for letters in (own, own.halves()) if len(own.first) else ():
-            np.maximum.at(out, of[letters.text], self._words(letters))
+            value, text = self._words(letters), of[letters.text]
+            np.maximum.at(out[:, 0], text, value)
+            above = value > BAR
+            np.add.at(out[:, 1], text[above], np.minimum(1.0, (value[above] - BAR) / (1 - BAR)))
 
     def _words(self, x: Letters) -> np.ndarray:
         """For each word the best of the windows that begin in it.
@@ -357,8 +391,16 @@ class Machine:
             np.maximum.at(best, word[here], total[here] / norm[m] + self.bias)
         return best
 
-    def scores(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -30, 30)))
+    def scores(self, best: np.ndarray, evidence: np.ndarray | None = None, words: np.ndarray | None = None) -> np.ndarray:
+        """Scores by what `read` tells; of a best window alone as if it were all the evidence of a text of COMMON words."""
+        evidence = np.clip((best - BAR) / (1 - BAR), 0.0, 1.0) if evidence is None else evidence
+        z = signs(best, evidence, np.full(len(best), COMMON) if words is None else words) @ np.array(self.chance[:-1]) + self.chance[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def signs(best: np.ndarray, evidence: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """What a text's score rests on: its best window, and its evidence against its length, for a long text has some by chance."""
+    return np.stack([np.clip(best, -1.0, 1.0), np.log1p(evidence), np.log(words + COMMON)], axis=1)
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -372,8 +414,8 @@ def _parts(text: str) -> Iterator[str]:
 
 
 def _train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Machine | None:
-    """A machine of labelled documents, uncalibrated."""
-    own = [packed({w for t in {t for s in sentences(text) for t in s} for w in windows(t)}) for text in texts]
+    """A machine of labelled documents; its scores aren't fitted yet."""
+    own = [packed({w for t in {t for s in sentences(text) for t in s} for w in (*windows(t), *stems(t))}) for text in texts]
     window, of = np.unique(np.concatenate(own), return_inverse=True)
     if not len(window):
         return None
@@ -410,9 +452,11 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Machine | None
             left -= done
     if not witness:
         return None
-    positive = window[sorted(witness, key=lambda w: (-hot[w], window[w]))[: NEGATIVES // 2]]
+    begun = _begins(window, window[witness])
+    positive = np.flatnonzero(begun & (hot > 0))
+    positive = window[sorted({*positive.tolist(), *witness}, key=lambda w: (-hot[w], window[w]))[: NEGATIVES // 2]]
     clean = np.unique(np.concatenate([window[cold > 0], *(packed(windows_of(texts[i])) for i in np.flatnonzero(~toxic)[:JOINED])]))
-    clean = np.setdiff1d(clean, window[witness], assume_unique=True)
+    clean = np.setdiff1d(clean[~_begins(clean, window[witness])], window[witness], assume_unique=True)
     del window, of, doc, hot, cold, holds
     rng = np.random.default_rng(seed)
     chosen = rng.permutation(len(clean))[:NEGATIVES].tolist()
@@ -437,21 +481,15 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Machine | None
 
 
 def fit(texts: list[str], toxic: list[bool]) -> Machine | None:
-    """A calibrated machine: trained on all, its calibration from the margins that a machine of two thirds gives the others."""
+    """A machine trained on all; the weights of a text's signs come from what a machine of two thirds reads in the others."""
     y = np.array(toxic, dtype=bool)
     if not y.any() or y.all():
         return None
-    margins, known = np.full(len(texts), FLOOR), np.zeros(len(texts), dtype=bool)
-    learn, test = np.flatnonzero(np.arange(len(texts)) % 3 != 0), np.flatnonzero(np.arange(len(texts)) % 3 == 0)
-    part = _train([texts[i] for i in learn], y[learn]) if y[learn].any() and not y[learn].all() else None
-    if part is not None:
-        margins[test] = part.bests([texts[i] for i in test])
-        known[test] = True
+    test = np.arange(len(texts)) % 3 == 0
+    part = _train([texts[i] for i in np.flatnonzero(~test)], y[~test]) if y[~test].any() and not y[~test].all() else None
     machine = _train(texts, y)
-    if machine is None:
-        return None
-    if known.any() and y[known].any() and not y[known].all():
-        machine.slope, machine.offset = svm.calibrate(np.clip(margins[known], FLOOR, 3.0), y[known])
+    if machine is not None and part is not None and y[test].any() and not y[test].all():
+        machine.chance = svm.logistic(signs(*part.read([texts[i] for i in np.flatnonzero(test)]).T), y[test])
     return machine
 
 
@@ -494,7 +532,7 @@ def score(spark, text: Column, machine: Machine | None) -> Column:
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for batch in batches:
-            parts = [m.scores(m.bests(batch.slice(s, 500).to_pylist())) for s in range(0, len(batch), 500)]
+            parts = [m.scores(*m.read(batch.slice(s, 500).to_pylist()).T) for s in range(0, len(batch), 500)]
             yield pa.array(np.concatenate([*parts, np.zeros(0)]))
             pa.default_memory_pool().release_unused()
 

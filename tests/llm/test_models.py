@@ -86,6 +86,23 @@ def test_toxicity_finds_inserted_letters_and_blanks(machine):
         assert m.scores(m.bests([clean]))[0] < 0.5, clean
 
 
+def test_toxicity_held_out(spark):
+    """Documents that nothing was learnt from, in each language; some labelled ones of sf0.1 hold no toxic word any more."""
+    d, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    got = toxicity.judge(d.join(labels, "doc_id", "left_semi"), labels).join(labels, "doc_id").join(d.select("doc_id", "lang"), "doc_id").where("held_out and toxic is not null").collect()
+    said, toxic = np.array([r.predicted for r in got]), np.array([r.toxic for r in got])
+    assert said[toxic == 1].mean() >= 0.9 and toxic[said == 1].mean() >= 0.95 and said[toxic == 0].mean() <= 0.01
+    for lang in {r.lang for r in got}:
+        own = np.array([r.lang == lang for r in got])
+        assert said[own & (toxic == 1)].mean() >= 0.85 and toxic[own & (said == 1)].mean() >= 0.85, lang
+
+
+def test_toxicity_evidence_adds_up():
+    m = toxicity.Machine(np.random.default_rng(6).normal(size=toxicity.WIDTH).astype(np.float32), 0.1)
+    one, many = m.read(["kato idiot mi sol.", "kato idiot mi sol.\n" * 5])
+    assert np.isclose(many[1], 5 * one[1], atol=1e-3) and many[2] == 5 * one[2] and np.isclose(one[0], many[0], atol=1e-5)
+
+
 def test_toxicity_edges(spark, docs):
     frame = docs([(1, None, None, None), (2, "", None, None), (None, "x", None, None), (2, "y", None, None)])
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (3, 0)], "doc_id long, toxic int")
