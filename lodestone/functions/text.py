@@ -5,6 +5,8 @@ SCA-01/02/03/06/07/08/09/10/11/12/13/18/21/27/28/34/49, FLT-02/11/12/14, WIN-12,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def _re(x: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(x, pattern, to)
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _numbered(text: Column, mark: str, digits: str, base: int) -> Column:
     """Numeric entities of one kind as signs; numbers that are no code point give nothing."""
     number = rf"^&#{mark}({digits}+);"
@@ -61,7 +68,7 @@ def _numbered(text: Column, mark: str, digits: str, base: int) -> Column:
 
 def decoded(text: Column) -> Column:
     """SCA-04 in expressions: hexadecimal, then decimal, then named entities, one pass each; unknown names stay."""
-    t = _numbered(_numbered(text, "x", "[0-9a-fA-F]", 16), "", "[0-9]", 10)
+    t = bound(bound(text, lambda x: _numbered(x, "x", "[0-9a-fA-F]", 16)), lambda x: _numbered(x, "", "[0-9]", 10))
     for name, sign in ENTITIES.items():
         if name != "amp":
             t = F.replace(t, F.lit(f"&{name};"), F.lit(sign))

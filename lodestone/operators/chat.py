@@ -24,6 +24,7 @@ ANTHROPIC_CONTEXT, ANTHROPIC_OTHER = {
     "claude-3-5-sonnet-20241022": 200_000, "claude-3-5-haiku-20241022": 200_000, "claude-3-7-sonnet-20250219": 200_000, "claude-sonnet-4-20250514": 200_000,
     "claude-opus-4-20250514": 200_000, "claude-3-opus-20240229": 200_000, "claude-3-haiku-20240307": 200_000,
 }, 100_000
+OPENAI_MODEL = "gpt-4o"
 DEEPSEEK_INPUT = 616_000
 #: Characters of a memory, of a request that folds turns into it, and of the turns in it at least.
 MEMORY_CHARS, FOLD_CHARS, FOLD_LEAST = 4000, 32_000, 1000
@@ -116,13 +117,13 @@ def _looked_up(key: Column, table: dict[str, int], other: int) -> Column:
 
 
 def provider_budget(provider: Column, model: Column, context: Column) -> Column:
-    """SCA-51: characters of input that a provider's model takes; `context` is a local provider's setting in tokens, if above 0."""
+    """SCA-51: characters of input that a provider's model takes; an unset OpenAI model is OPENAI_MODEL; `context` is a local provider's setting in tokens, if above 0."""
     share = lambda tokens: F.floor(tokens * INPUT_SHARE * TOKEN_CHARS)
     local = F.when(context > 0, context).otherwise(_looked_up(provider, LOCAL_CONTEXT, 0))
     return (
         F.when(provider.isin(*LOCAL_CONTEXT), share(local))
         .when(provider == "deepseek", F.floor(F.lit(DEEPSEEK_INPUT * TOKEN_CHARS)))
-        .when(provider == "openai", share(_looked_up(F.lower(F.coalesce(model, F.lit(""))), OPENAI_CONTEXT, OPENAI_OTHER)))
+        .when(provider == "openai", share(_looked_up(F.lower(F.coalesce(model, F.lit(OPENAI_MODEL))), OPENAI_CONTEXT, OPENAI_OTHER)))
         .when(provider == "anthropic", share(_looked_up(F.coalesce(model, F.lit("")), ANTHROPIC_CONTEXT, ANTHROPIC_OTHER)))
         .otherwise(UNKNOWN_BUDGET)
         .cast("long")

@@ -1022,12 +1022,12 @@ def replies_without_markup(spark, d):
 
 
 @query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN CASE WHEN event_id % 5 > 0 THEN floor(event_id % 5 * 1000 * 2.8) ELSE floor(4096 * 2.8) END WHEN 1 THEN CASE WHEN event_id % 5 > 0 THEN floor(event_id % 5 * 1000 * 2.8) ELSE floor(8192 * 2.8) END
-WHEN 2 THEN 2156000 WHEN 3 THEN CASE event_id % 3 WHEN 0 THEN 358400 ELSE 89600 END WHEN 4 THEN 280000 ELSE 200000 END::BIGINT AS budget FROM events""")
+WHEN 2 THEN 2156000 WHEN 3 THEN CASE event_id // 6 % 3 WHEN 1 THEN 89600 ELSE 358400 END WHEN 4 THEN 280000 ELSE 200000 END::BIGINT AS budget FROM events""")
 def provider_budgets(spark, d):
     """SCA-51: made settings of all providers."""
     i = F.col("event_id")
     provider = _made(i, "ollama", "unsloth", "deepseek", "openai", "anthropic", "other")
-    return table(spark, d, "events").select("event_id", chat.provider_budget(provider, _made(i, "GPT-4o", "unknown", None), i % 5 * 1000).alias("budget"))
+    return table(spark, d, "events").select("event_id", chat.provider_budget(provider, _made(F.floor(i / 6), "GPT-4o", "unknown", None), i % 5 * 1000).alias("budget"))
 
 
 @query("""WITH s AS (SELECT conv_id, max(turn) AS stop FROM conversations GROUP BY conv_id), m AS (SELECT c.conv_id, turn, '[' || coalesce(nullif(role, ''), 'unknown') || '] ' || coalesce(text, '') AS said FROM conversations c JOIN s ON c.conv_id = s.conv_id WHERE turn < stop),

@@ -11,9 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import replies, text
+from lodestone.functions import chunking, replies, results, text
 from lodestone.functions import urls as U
 from lodestone.operators import links, research
+from lodestone.streaming.ledger import shared_folder
 
 #: Characters of findings in a synthesis prompt, at most, as the reference has it.
 FINDINGS_CHARS = 80_000
@@ -65,11 +66,16 @@ def crawl(tools: Tools, urls: list[str], cache: DataFrame | None = None, rounds:
 
 
 def compress(tools: Tools, pages: DataFrame, topic: str) -> DataFrame:
-    """PIP-02: code-heavy pages word for word, prose as facts of a model's reply for each page: (url, claim)."""
+    """PIP-02: code-heavy pages as their headings and fenced lines, prose as facts of a model's reply for each page: (url, claim).
+
+    A long page goes to the model by whole sections, then sentences, up to the prompt's room; the model is asked page by
+    page from the driver, for it is an outside service, and pages of one branch are few by its plan.
+    """
     read = pages.select("url", text.html_to_text(F.col("html")).alias("t")).withColumn("heavy", text.code_heaviness(F.col("t"))["code_heavy"])
-    prose = [(r.url, tools.llm(f"Facts about {topic} as JSON from:\n{r.t[:15_000]}")) for r in read.where("not heavy").limit(16).collect()]
+    asked = read.where("not heavy").select("url", chunking.chunker(lambda t: [chunking.for_prompt(t)])(F.col("t"))[0].alias("t"))
+    prose = [(r.url, tools.llm(f"Facts about {topic} as JSON from:\n{r.t}")) for r in asked.collect()]
     said = tools.spark.createDataFrame(prose, "url string, reply string").select("url", F.explode(replies.facts(F.col("reply"), F.col("url"))).alias("f")).select("url", F.col("f.claim").alias("claim"))
-    return said.unionByName(read.where("heavy").select("url", F.substring("t", 1, 6000).alias("claim")))
+    return said.unionByName(read.where("heavy").select("url", results.code_excerpt(F.col("t")).alias("claim")))
 
 
 def branch(tools: Tools, topic: str, query: str, reads: int = 3, follows: int = 3) -> DataFrame:
@@ -104,7 +110,9 @@ def synthesis(facts: DataFrame, question: str, budget: int = FINDINGS_CHARS) ->
     All claims are in it while they fit the budget. Beyond it each run keeps its most relevant ones within its share
     (WIN-14/15; there are no summaries, so facts have all of it), and a line says how many others there are.
     """
-    facts = (facts if "run" in facts.columns else facts.withColumn("run", F.lit(0))).cache()
+    folder = shared_folder(facts.sparkSession)
+    (facts if "run" in facts.columns else facts.withColumn("run", F.lit(0))).write.parquet(folder)  # read several times, numbered once
+    facts = facts.sparkSession.read.parquet(folder)
     cited = research.citations(facts)
     words = text.keywords(F.lit(question))
     scored = cited.join(facts.select("seq", "run"), "seq").select(F.col("seq").alias("id"), F.col("run").alias("branch"), "claim", "number", text.occurrences(F.lower("claim"), words).alias("score"))
@@ -116,5 +124,4 @@ def synthesis(facts: DataFrame, question: str, budget: int = FINDINGS_CHARS) ->
     lines += [f"- [+{more} more facts available]"] if more else []
     conflicts = [f"- {r.a:g} against {r.b:g}" for r in research.contradiction_pairs(facts).orderBy("i", "j").limit(5).collect()]
     sources = research.bibliography(cited).first().bibliography or ""
-    facts.unpersist()
     return "\n\n".join(filter(None, [f"Question: {question}", "Findings:\n" + "\n".join(lines), "Conflicts:\n" + "\n".join(conflicts) if conflicts else "", "Sources:\n" + sources]))

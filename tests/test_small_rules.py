@@ -70,7 +70,7 @@ def test_pages_in_prompts():
 def test_budgets_and_memory(spark):
     budget = lambda p, m=None, c=None: value(spark, chat.provider_budget(F.lit(p), F.lit(m).cast("string"), F.lit(c).cast("int")))
     assert (budget("ollama"), budget("unsloth", c=0), budget("ollama", c=10_000)) == (11468, 22937, 28000)
-    assert (budget("deepseek"), budget("openai", "GPT-4o"), budget("openai"), budget("anthropic", "x"), budget("other"), budget(None)) == (2_156_000, 358_400, 89_600, 280_000, 200_000, 200_000)
+    assert (budget("deepseek"), budget("openai", "GPT-4o"), budget("openai"), budget("openai", ""), budget("anthropic", "x"), budget("other"), budget(None)) == (2_156_000, 358_400, 358_400, 89_600, 280_000, 200_000, 200_000)
     rows = [(1, 0, "user", "a" * 600), (1, 1, None, "b" * 600), (1, 2, "user", "last"), (2, 0, "user", None), (2, 1, "user", "x"), (3, 0, "user", "alone")]
     m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     start = spark.createDataFrame([(1, 2, "m"), (2, 1, None), (3, 0, "m")], "conv_id long, start_turn long, memory string")
