@@ -3,8 +3,9 @@
 Words are counted by language first; the frequent ones get numbers by falling frequency. A phrase belongs to its pivot,
 its rarest word (the leftmost of them). Every occurrence of a frequent word sends the fragment around it that phrases
 of that pivot can lie in: up to four words to either side, rewritten to numbers and cut where a piece ends, where a word is
-too rare for any phrase, or where a word is rarer than the pivot, whose own fragment covers that phrase. Equal fragments
-are counted before the exchange, so a line that very many documents share is one fragment a task. Fragments meet by their
+too rare for any phrase, where two neighbours aren't a frequent pair, or where a word is rarer than the pivot, whose own
+fragment covers that phrase. Pairs are counted first, by pivot too; a bitmap of fixed size tells the frequent ones, and
+where hashes meet there it cuts less than it could, never more. Equal fragments are counted before the exchange, so a line that very many documents share is one fragment a task. Fragments meet by their
 pivot; phrases grow there from the pivot to the right and then to the left, each step by one exact count that drops what
 isn't frequent, and only phrases of that pivot come out. The rarer a pivot, the fewer its occurrences; the more common,
 the fewer words are left in its fragments: so no pivot holds more than a small share.
@@ -23,7 +24,7 @@ empty table gives no rows; other columns are never read. Texts of any length are
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,10 @@ LONGEST, LEAST, MOST = 5, 100, 2000
 DICTIONARY = 1 << 20
 #: Words of a slice of text, tokens whose fragments are counted together, distinct words that a task counts at a time,
 #: occurrences for each part of the exchange.
-SLICE, TOGETHER, COUNTED, PART = 1 << 22, 1 << 21, 300_000, 1_000_000
+SLICE, TOGETHER, COUNTED, PART = 1 << 22, 1 << 20, 300_000, 500_000
 TAIL = 1 << 62
+#: Bits of the bitmap of frequent pairs, and of each of the blocks that make it up.
+BITS, BLOCK_BITS = 26, 15
 #: A-Z are lowered, `.,;:!?` and line ends end a piece, tabs are blanks.
 _READ = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 9 + b" ")
 #: Stands for the end of a piece; no UTF-8 text holds this byte.
@@ -146,13 +149,33 @@ def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[first], np.diff(np.append(first, len(rows)))
 
 
-def _sent(book, beyond: bool, parts: int, kind: str, reach: int):
-    """Fragments of batches of documents, packed by the part of their pivot: columns of numbers plus one, then counts."""
+def _pairs(seq: np.ndarray) -> np.ndarray:
+    """Rows of neighbouring numbers."""
+    both = (seq[:-1] >= 0) & (seq[1:] >= 0)
+    return np.stack([seq[:-1][both], seq[1:][both]], axis=1)
+
+
+def _bit(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The place of a pair in the bitmap of frequent ones."""
+    return (mix64(mix64(left.astype(np.uint64)) + right.astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _broken(seq: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Breaks put between neighbours that aren't a frequent pair."""
+    left, right = seq[:-1], seq[1:]
+    at = np.flatnonzero((left >= 0) & (right >= 0))
+    bit = _bit(left[at], right[at])
+    rare = bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 0
+    return np.insert(seq, at[rare] + 1, -1)
+
+
+def _sent(book, beyond: bool, parts: int, kind: str, rows_of: Callable[[np.ndarray], np.ndarray]):
+    """Rows of batches of documents, packed by the part of their rarest number: columns of numbers plus one, then counts."""
 
     def packed(seq: list[np.ndarray]) -> pa.RecordBatch:
-        rows, n = _counted(_fragments(np.concatenate([np.zeros(0, np.int64), *seq]), reach))
-        part = (mix64(rows[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        rows, n = _counted(rows_of(np.concatenate([np.zeros(0, np.int64), *seq])))
+        part = (mix64(rows.max(axis=1, initial=-1).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((*rows.T[::-1], part))
         rows, n, part = rows[order], n[order], part[order]
         start = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), part[1:] != part[:-1]]))
         ends = [*start[1:], len(part)]
@@ -177,6 +200,40 @@ def _sent(book, beyond: bool, parts: int, kind: str, reach: int):
     return run
 
 
+def _received(table: pa.Table, width: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """A part's rows and their counts."""
+    each = np.dtype(kind).itemsize * width + 4
+    rows, weight = [np.zeros((0, width), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for data in table.column("data").to_pylist():
+        n = len(data) // each
+        rows.append(np.frombuffer(data, dtype=kind, count=n * width).reshape(width, n).T.astype(np.int64) - 1)
+        weight.append(np.frombuffer(data, dtype="<u4", offset=n * (each - 4)).astype(np.int64))
+    return np.concatenate(rows), np.concatenate(weight)
+
+
+def _frequent_pairs(sent: DataFrame, kind: str, least: int) -> np.ndarray:
+    """A bitmap of 2 ** BITS bits, set for every pair that is frequent; whatever the corpus, that is all the driver gets."""
+
+    def bits(table: pa.Table) -> pa.Table:
+        rows, weight = _received(table, 2, kind)
+        known, local = np.unique(rows, return_inverse=True)
+        key, of = np.unique(local.reshape(rows.shape) @ np.array([max(1, len(known)), 1]), return_inverse=True)
+        some = key[np.bincount(of, weights=weight, minlength=len(key)) >= least]
+        bit = np.unique(_bit(known[some // max(1, len(known))], known[some % max(1, len(known))])) if len(some) else np.zeros(0, np.int64)
+        return pa.table({"block": pa.array(bit >> BLOCK_BITS, pa.int64()), "bit": pa.array((bit & (1 << BLOCK_BITS) - 1).astype(np.int32), pa.int32())})
+
+    def block(table: pa.Table) -> pa.Table:
+        own = np.zeros(1 << BLOCK_BITS, dtype=np.uint8)
+        own[table.column("bit").to_numpy()] = 1
+        return pa.table({"block": table.column("block")[:1], "data": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    found = sent.groupBy("part").applyInArrow(bits, "block long, bit int").distinct().groupBy("block").applyInArrow(block, "block long, data binary")
+    out = np.zeros(1 << BITS - 3, dtype=np.uint8)
+    for r in found.collect():
+        out[r.block << BLOCK_BITS - 3 : r.block + 1 << BLOCK_BITS - 3] = np.frombuffer(r.data, dtype=np.uint8)
+    return out
+
+
 def _grown(rows: np.ndarray, weight: np.ndarray, least: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(phrases as rows of numbers, their counts) of the fragments' pivots, for each pair of words to the left and right."""
     known, local = np.unique(rows, return_inverse=True)
@@ -212,20 +269,16 @@ def frequent_phrases(docs: DataFrame, words: DataFrame, least: int = LEAST, long
     size = sum(map(len, book.values()))
     kind = "<i8" if beyond else "<u2" if size < 65535 else "<u4"
     total = ids.agg(F.sum("n")).first()[0] or 0
-    run = _sent(spark.sparkContext.broadcast(book), beyond, int(max(1, -(-total // PART))), kind, reach)
-    sent = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, "part long, data binary")
+    parts, shared = int(max(1, -(-total // PART))), spark.sparkContext.broadcast(book)
+    read = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    sent = lambda rows_of: read.mapInArrow(_sent(shared, beyond, parts, kind, rows_of), "part long, data binary")
+    pairs = spark.sparkContext.broadcast(_frequent_pairs(sent(_pairs), kind, least))
 
     def mine(table: pa.Table) -> pa.Table:
-        width, each = 1 + 2 * reach, np.dtype(kind).itemsize * (1 + 2 * reach) + 4
-        rows, weight = [np.zeros((0, width), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for data in table.column("data").to_pylist():
-            n = len(data) // each
-            rows.append(np.frombuffer(data, dtype=kind, count=n * width).reshape(width, n).T.astype(np.int64) - 1)
-            weight.append(np.frombuffer(data, dtype="<u4", offset=n * (each - 4)).astype(np.int64))
-        found = list(_grown(np.concatenate(rows), np.concatenate(weight), least, reach))
+        found = list(_grown(*_received(table, 1 + 2 * reach, kind), least, reach))
         return pa.table({"p": pa.array([p for ps, _ in found for p in ps.tolist()], pa.list_(pa.int64())), "f": pa.array([n for _, ns in found for n in ns.tolist()], pa.int64())})
 
-    return sent.groupBy("part").applyInArrow(mine, "p array<long>, f long"), ids
+    return sent(lambda seq: _fragments(_broken(seq, pairs.value), reach)).groupBy("part").applyInArrow(mine, "p array<long>, f long"), ids
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: int = MOST, dictionary: int = DICTIONARY) -> DataFrame:
