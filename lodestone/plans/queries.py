@@ -17,8 +17,10 @@ from lodestone.functions import replies, results
 from lodestone.functions import text as T
 from lodestone.functions import urls as U
 from lodestone.operators import chat, collections, links, research, retrieval, sessions, usage
+from lodestone.operators.postings import KeptIndex
 from lodestone.session import table
 from lodestone.streaming import frames, ledger
+from lodestone.streaming.ledger import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,10 +134,43 @@ def bm25_normalized(spark, d):
     return retrieval.bm25(chunks(spark, d), QUESTION).select("collection", "id", r6("score").alias("score"), r6("normalized").alias("normalized"))
 
 
+_INDEXES: dict[tuple, KeptIndex] = {}
+
+
+def _kept(spark, d):
+    """The kept index of a folder's documents: built once, in the shared folder, while the files stay as they are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    key = (spark.sparkContext.applicationId, *sorted((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in files))
+    if key not in _INDEXES:
+        index = KeptIndex(spark, shared_folder(spark))
+        index.insert(chunks(spark, d))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
+@query(f"WITH {_POST} SELECT st.collection, n_docs, round(avg_len, 6) AS avg_len, terms FROM st JOIN (SELECT collection, count(DISTINCT term) AS terms FROM p GROUP BY collection) USING (collection)")
+def index_statistics(spark, d):
+    """STR-14: what a kept index says of its collections."""
+    tables = _kept(spark, d).tables
+    terms = tables.read("terms").groupBy("collection").agg(F.countDistinct("term").alias("terms"))
+    return tables.read("statistics").join(terms, "collection").select("collection", "n_docs", r6("avg_len").alias("avg_len"), "terms")
+
+
 @query(f"{_BM} SELECT collection, id, rank0::INT AS rank0 FROM bl WHERE rank0 < 10")
 def bm25_topk(spark, d):
-    """TOP-02."""
-    return retrieval.lexical_topk(chunks(spark, d), QUESTION, 10).select("collection", "id", F.col("rank0").cast("int").alias("rank0"))
+    """TOP-02, STR-14: from the kept index."""
+    return _kept(spark, d).search(QUESTION, 10).select("collection", "id", F.col("rank0").cast("int").alias("rank0"))
+
+
+@query(f"{_BM} SELECT collection, id, rank0::INT AS rank0, round(normalized, 6) AS normalized FROM bl WHERE rank0 < 10".replace("FROM documents)", "FROM documents WHERE NOT (doc_id % 7 = 0 AND lang IN ('de', 'en')))"))
+def index_after_changes(spark, d):
+    """STR-14, JN-12: an index of two inserts, with a seventh of two collections deleted again."""
+    index, all_chunks = KeptIndex(spark, shared_folder(spark)), chunks(spark, d)
+    index.insert(all_chunks.where("id % 3 <> 0"))
+    index.insert(all_chunks.where("id % 3 = 0"))
+    index.delete(all_chunks.where("id % 7 = 0 AND collection IN ('de', 'en')"))
+    return index.search(QUESTION, 10).select("collection", "id", F.col("rank0").cast("int").alias("rank0"), r6("normalized").alias("normalized"))
 
 
 def _vectors(spark, d):
@@ -153,8 +188,7 @@ def _lists(spark, d, k):
     e, q = _vectors(spark, d)
     c = chunks(spark, d)
     dense = retrieval.dense_topk(c.join(e, "id"), q, k, by=("collection",)).withColumn("rank0", F.col("rank") - 1)
-    lexical = retrieval.lexical_topk(c, QUESTION, k)
-    return dense, lexical
+    return dense, _kept(spark, d).search(QUESTION, k)
 
 
 @query(f"{_FUSED} SELECT id, round(rrf, 9) AS rrf FROM f")
