@@ -19,7 +19,7 @@ from lodestone.functions import urls as U
 from lodestone.operators import chat, collections, links, research, retrieval, sessions, usage
 from lodestone.operators.postings import KeptIndex
 from lodestone.session import table
-from lodestone.streaming import frames, ledger
+from lodestone.streaming import frames, ledger, stateful
 from lodestone.streaming.ledger import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -888,6 +888,53 @@ def stream_usage(spark, d):
     return frames.stream_usage(frames.interpret(_frames(spark, d)))
 
 
+def _byte_chunks(spark, d):
+    """The frames as event streams or lines of bytes, cut every 57 bytes, wherever that is."""
+    f = _frames(spark, d)
+    line = F.concat(F.when(F.col("dialect") == "lines", F.concat("frame", F.lit("\r\n"))).otherwise(F.concat(F.lit(": turn\nevent: delta\ndata: "), "frame", F.lit("\n\n"))))
+    said = f.groupBy("response_id", "dialect").agg(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), ""), "UTF-8").alias("b"))
+    cuts = said.select("response_id", "dialect", "b", F.posexplode(F.sequence(F.lit(1), F.octet_length("b"), F.lit(57))).alias("seq", "at"))
+    return cuts.select("response_id", F.col("seq").cast("long").alias("seq"), "dialect", F.expr("substring(b, at, 57)").alias("data"), (F.col("at") + 57 > F.octet_length("b")).alias("last"))
+
+
+@query("SELECT conv_id AS response_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, text, conv_id % 3 = 0 AS done FROM conversations")
+def frames_from_bytes(spark, d):
+    """SRC-29: a stream of byte chunks, over four batches."""
+    got = stateful.replay(_byte_chunks(spark, d), stateful.frames_stream, 4)
+    return frames.interpret(got).select("response_id", "seq", "text", "done")
+
+
+@query(SQL["xp_stage_ups"])
+def stage_ups_stream(spark, d):
+    """STR-08: WIN-05 as a stream."""
+    return stateful.stage_ups_stream(usage.from_events(ledger.stream_table(spark, d, "events"))).transform(lambda s: ledger.settle(s, "append"))
+
+
+@query("""SELECT user_id AS store, id, event_id FROM (SELECT user_id, event_type || (props->>'$.k') AS id, event_id, row_number() OVER (PARTITION BY user_id, event_type || (props->>'$.k') ORDER BY ts, event_id) AS r FROM events) WHERE r = 1""")
+def recent_ids(spark, d):
+    """STR-06: events by what they are and their number; no user has 2000 of those, so each comes once."""
+    e = ledger.stream_table(spark, d, "events")
+    rows = e.select(F.col("user_id").cast("long").alias("store"), F.concat("event_type", F.get_json_object("props", "$.k")).alias("id"), "ts", F.col("event_id").cast("long").alias("event_id"))
+    return ledger.settle(stateful.recent_stream(rows), "append")
+
+
+@query("""WITH c AS (SELECT user_id, ts, event_id, event_type || ' ' || event_id % 4 AS key, CASE WHEN event_id % 40 = 5 THEN 'clear' WHEN event_id % 10 = 5 THEN 'invalidate' WHEN event_id % 5 < 2 THEN 'put' ELSE 'get' END AS op,
+CASE WHEN event_id % 7 = 0 THEN 'crawl' ELSE 'search' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+b AS (SELECT *, max(CASE WHEN op = 'put' THEN n END) OVER w AS p, max(CASE WHEN op = 'invalidate' THEN n END) OVER w AS i, max(CASE WHEN op = 'clear' THEN n END) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x
+FROM c WINDOW w AS (PARTITION BY user_id, key ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT b.user_id, b.event_id, q.event_id AS put, b.p > coalesce(b.i, 0) AND b.p > coalesce(b.x, 0) AND q.kind = b.kind AND epoch_ms(b.ts) - epoch_ms(q.ts) <= 86400000 AS hit FROM b LEFT JOIN b q ON q.user_id = b.user_id AND q.n = b.p WHERE b.op = 'get')
+SELECT user_id AS cache, event_id AS seq, coalesce(hit, false) AS hit, CASE WHEN hit THEN 'v' || put END AS value FROM g""")
+def cache_commands(spark, d):
+    """STR-10, DML-09, SRC-07: events as commands to their users' caches, as a stream."""
+    i = F.col("event_id").cast("long")
+    op = F.when(i % 40 == 5, "clear").when(i % 10 == 5, "invalidate").when(i % 5 < 2, "put").otherwise("get")
+    commands = ledger.stream_table(spark, d, "events").select(
+        F.col("user_id").cast("long").alias("cache"), i.alias("seq"), op.alias("op"), F.when(i % 7 == 0, "crawl").otherwise("search").alias("kind"), F.concat("event_type", F.lit(" "), (i % 4).cast("string")).alias("key"),
+        F.concat(F.lit("v"), i.cast("string")).alias("value"), F.unix_millis("ts").alias("at"), F.lit(None).cast("long").alias("ttl"),
+    )
+    return ledger.settle(stateful.cache_stream(commands), "append").where("op = 'get'").select("cache", "seq", "hit", "value")
+
+
 # results, failures and tools
 
 
