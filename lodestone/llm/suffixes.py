@@ -25,11 +25,12 @@ read in chunks that overlap by a string.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ REACH = LENGTH + SIDE
 ALL = (1 << STRIDE) - 1
 PAD = b"\0" * 64
 #: Window starts worked on at a time, bytes of texts read together, suffixes told apart together, and of a part; surroundings of a part.
-CHUNK, BYTES, TOGETHER, PART, ASKED = 1 << 16, 1 << 21, 1_000_000, 2_000_000, 40_000
+CHUNK, BYTES, TOGETHER, PART, ASKED = 1 << 16, 1 << 20, 400_000, 800_000, 16_000
 HOT, BUSY = 100, 2000
 _MODULO = (np.arange(256) % STRIDE).astype(np.int64)
 
@@ -139,9 +140,11 @@ def _together(ids: list[int], texts: list[bytes | None]) -> Iterator[tuple[list[
         yield ids[s:], [t or b"" for t in texts[s:]]
 
 
-#: What is sent: suffixes; names in documents that are repeated; names in documents whose strings get buckets of their own; buckets that are so.
-ENTRY, FOUND, SINGLE, MARKED = range(4)
-_COLUMNS = {ENTRY: ("<i8", "V6", "<u4"), FOUND: ("<i8", "<u8"), SINGLE: ("<i8", "<u8"), MARKED: ("V6",)}
+#: What is sent: suffixes; names in documents that are repeated, that are asked for their bytes, or whose strings get buckets of
+#: their own; buckets that are so; repeated strings of names in documents.
+ENTRY, FOUND, ASKED_FOR, SINGLE, MARKED, MARK = range(6)
+_COLUMNS = {ENTRY: ("<i8", "V6", "<u4"), FOUND: ("<i8", "<u8"), ASKED_FOR: ("<i8", "<u8"), SINGLE: ("<i8", "<u8"), MARKED: ("V6",), MARK: ("<i8", "<u8", "<u4")}
+_PACKED = "part long, kind int, data binary"
 
 
 def _six(x: np.ndarray) -> np.ndarray:
@@ -253,21 +256,36 @@ def _by_document(columns: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
     return pa.table(out)
 
 
-def _judge(busy: int):
+def _judge(busy: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
-        """A part's buckets: per document the names that are repeated, asked for their bytes, or asked string by string."""
+        """A part's buckets: names that are repeated, asked for their bytes, or asked string by string, by parts of documents."""
         doc, bucket, around = _unpacked(ENTRY, table)
         order = np.lexsort((doc, around, bucket))
         doc, bucket, around = doc[order], bucket[order], around[order]
         first, repeated, several, crowded = _told(doc, bucket, around, busy)
         alone = crowded | (first & np.isin(bucket, _unpacked(MARKED, table)[0]))
         name = named(bucket, around)
-        pairs = lambda own, kind: tuple(np.concatenate([a, b]) for a, b in zip((doc[own], name[own]), _unpacked(kind, table) if kind else (doc[:0], name[:0]), strict=True))
-        return _by_document({"found": pairs(repeated, FOUND), "asked": pairs(several & ~alone, 0), "single": pairs(alone, SINGLE)})
+        out = []
+        for kind, own in ((FOUND, repeated), (ASKED_FOR, several & ~alone), (SINGLE, alone)):
+            docs, names = (np.concatenate(x) for x in zip((doc[own], name[own]), _unpacked(kind, table), strict=True))
+            out.append(_packed(kind, _part(docs, parts), [docs, names]))
+        return pa.Table.from_batches(out)
 
     return run
 
 
+def _gather(table: pa.Table) -> pa.Table:
+    """A part's documents, with what was told of their names."""
+    return _by_document({key: tuple(_unpacked(kind, table)) for key, kind in (("found", FOUND), ("asked", ASKED_FOR), ("single", SINGLE))})
+
+
+def _gather_marks(table: pa.Table) -> pa.Table:
+    doc, name, mask = _unpacked(MARK, table)
+    value = np.zeros(len(doc), dtype=_MARK)
+    value["name"], value["mask"] = name, mask
+    return _by_document({"marks": (doc, value)})
+
+
 #: What is sent back: names' surroundings; strings; repeated strings of names.
 CONTEXT, STRING, MARKS = range(3)
 _SENT = {
@@ -285,12 +303,12 @@ def _rows(kind: int, **columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chosen(s: Suffixes, names: np.ndarray, lists: list[list[bytes] | None]) -> np.ndarray:
+def _chosen(s: Suffixes, names: np.ndarray, lists: list[bytes | None]) -> np.ndarray:
     """Suffixes whose names are in their text's list."""
     keep, at = np.zeros(len(names), dtype=bool), np.searchsorted(s.of, np.arange(len(lists) + 1))
     for i, own in enumerate(lists):
         if own and at[i] < at[i + 1]:
-            keep[at[i] : at[i + 1]] = np.isin(names[at[i] : at[i + 1]], np.frombuffer(b"".join(own), dtype="<u8"))
+            keep[at[i] : at[i + 1]] = np.isin(names[at[i] : at[i + 1]], np.frombuffer(own, dtype="<u8"))
     return np.flatnonzero(keep)
 
 
@@ -335,6 +353,7 @@ def _ask(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.or_(pc.is_valid(batch.column(2)), pc.is_valid(batch.column(3))))
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             asked, single, seen = batch.column(2).to_pylist(), batch.column(3).to_pylist(), 0
             every, where, alone = [], [], []
@@ -387,19 +406,21 @@ def refined(bytes_: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.nda
     return mask
 
 
-def _refine(table: pa.Table) -> pa.Table:
-    """A part's repeated strings, as names and masks by document."""
-    got = {k: np.concatenate([np.zeros(0, dtype=t), *(np.frombuffer(d, dtype=t) for q, d in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True) if q == k)]) for k, t in _SENT.items()}
-    c = got[CONTEXT]
-    mask = refined(c["bytes"], c["left"], c["right"], c["doc"])
-    some = mask > 0
-    marks = np.concatenate([got[MARKS], _marks(_told_strings(got[STRING])[1]), _rows(MARKS, doc=c["doc"][some], name=c["name"][some], mask=mask[some])])
-    value = np.zeros(len(marks), dtype=_MARK)
-    value["name"], value["mask"] = marks["name"], marks["mask"]
-    return _by_document({"marks": (marks["doc"], value)})
+def _refine(parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A part's repeated strings, as names and masks by parts of documents."""
+        sent = list(zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True))
+        got = {k: np.concatenate([np.zeros(0, dtype=t), *(np.frombuffer(d, dtype=t) for q, d in sent if q == k)]) for k, t in _SENT.items()}
+        c = got[CONTEXT]
+        mask = refined(c["bytes"], c["left"], c["right"], c["doc"])
+        some = mask > 0
+        marks = np.concatenate([got[MARKS], _marks(_told_strings(got[STRING])[1]), _rows(MARKS, doc=c["doc"][some], name=c["name"][some], mask=mask[some])])
+        return pa.Table.from_batches([_packed(MARK, _part(marks["doc"], parts), [marks["doc"], marks["name"], marks["mask"]])])
+
+    return run
 
 
-def spans(texts: list[bytes], found: list[list[bytes] | None], marks: list[list[bytes] | None]) -> list[np.ndarray]:
+def spans(texts: list[bytes], found: list[bytes | None], marks: list[bytes | None]) -> list[np.ndarray]:
     """For each text the maximal runs of removed bytes, as rows of (from, to)."""
     s = suffixes(texts)
     name, first, last = s.name, s.first(), s.last()
@@ -408,17 +429,19 @@ def spans(texts: list[bytes], found: list[list[bytes] | None], marks: list[list[
     np.add.at(step, first[own], 1)
     np.add.at(step, last[own] + LENGTH, -1)
     at = np.searchsorted(s.of, np.arange(len(texts) + 1))
+    places, masks = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
     for i, lists in enumerate(marks):
         if lists and at[i] < at[i + 1]:
-            mark = np.frombuffer(b"".join(lists), dtype=_MARK)
-            order = np.argsort(name[at[i] : at[i + 1]], kind="stable")
-            sought = name[at[i] : at[i + 1]][order]
-            lo, hi = np.searchsorted(sought, mark["name"]), np.searchsorted(sought, mark["name"], side="right")
-            for a, b, m in zip(lo.tolist(), hi.tolist(), mark["mask"].tolist(), strict=True):
-                bits = np.flatnonzero([m >> k & 1 for k in range(STRIDE)])
-                for p in s.at[at[i] + order[a:b]].tolist():
-                    np.add.at(step, p - SIDE + bits, 1)
-                    np.add.at(step, p - SIDE + bits + LENGTH, -1)
+            mark = np.frombuffer(lists, dtype=_MARK)
+            mark = mark[np.argsort(mark["name"], kind="stable")]
+            own = name[at[i] : at[i + 1]]
+            lo, hi = np.searchsorted(mark["name"], own), np.searchsorted(mark["name"], own, side="right")
+            places.append(np.repeat(s.at[at[i] : at[i + 1]], hi - lo))
+            masks.append(mark["mask"][np.repeat(lo, hi - lo) + np.arange(len(places[-1])) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)])
+    which, bit = np.nonzero(np.concatenate(masks)[:, None] >> np.arange(STRIDE, dtype=np.uint32) & 1)
+    begins = np.concatenate(places)[which] - SIDE + bit
+    np.add.at(step, begins, 1)
+    np.add.at(step, begins + LENGTH, -1)
     edge = np.diff((np.cumsum(step[:-1]) > 0).astype(np.int8), prepend=0, append=0)
     begin, stop = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
     of = np.searchsorted(s.start, begin, side="right") - 1
@@ -432,51 +455,57 @@ def kept(text: bytes, removed: np.ndarray) -> bytes:
     return b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
 
 
-def repeats(docs: DataFrame, hot: int = HOT, busy: int = BUSY, part: int = PART, asked: int = ASKED) -> DataFrame:
-    """doc_id, text (as it was; null is empty) and removed, the (from, to) byte runs that go, of every row of `docs(doc_id, text)`."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    known = docs.where("doc_id is not null and octet_length(text) >= 50").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _judged(docs: DataFrame, each: Callable[[list[bytes], list[np.ndarray]], dict[str, pa.Array]], schema: str, hot: int = HOT, busy: int = BUSY, part: int = PART, asked: int = ASKED) -> DataFrame:
+    """doc_id and what `each` makes of texts and their removed runs, for every row of `docs(doc_id, text)`."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select(F.col("doc_id").cast("long").alias("_own"), "text")
+    known = docs.where(f"_own is not null and octet_length(text) >= {LENGTH}")
     size = known.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = int(max(-(-size // (15 * part)), spark.sparkContext.defaultParallelism))
-    sent = known.mapInArrow(_send(parts, hot), "part long, kind int, data binary")
-    told = sent.groupBy("part").applyInArrow(_judge(busy), "doc_id long, found binary, asked binary, single binary")
-    told = cut(told.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("found", "asked", "single"))))
-    lists = told.select("doc_id", "found", "asked", "single")
-    asks = lists.where((F.size("asked") > 0) | (F.size("single") > 0)).select(F.col("doc_id").alias("_id"), "asked", "single")
-    sizes = [F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)) for c in ("asked", "single")]
-    count = (asks.agg(F.sum(sizes[0] + STRIDE * sizes[1])).first()[0] or 0) // 8
-    back = known.join(asks, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "asked", "single")
-    back = back.mapInArrow(_ask(int(max(1, -(-count // asked)))), "part long, kind int, data binary")
-    marks = back.groupBy("part").applyInArrow(_refine, "doc_id long, marks binary").groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
-    all_marks = lists.select(F.col("doc_id").alias("_id"), "found").join(marks.withColumnRenamed("doc_id", "_m"), F.col("_id") == F.col("_m"), "left").select("_id", "found", "marks")
-    judged = docs.join(all_marks, F.col("doc_id").cast("long") == F.col("_id"), "left").select("doc_id", "text", "found", "marks")
+    sent = known.mapInArrow(_send(parts, hot), _PACKED).groupBy("part").applyInArrow(_judge(busy, parts), _PACKED)
+    told = cut(sent.groupBy("part").applyInArrow(_gather, "doc_id long, found binary, asked binary, single binary").withColumnRenamed("doc_id", "_id"))
+    sizes = F.coalesce(F.octet_length("asked"), F.lit(0)) + STRIDE * F.coalesce(F.octet_length("single"), F.lit(0)).cast("long")
+    count = (told.agg(F.sum(sizes)).first()[0] or 0) // 8
+    # texts are exchanged once: both uses of this join read the same exchange, the second without another for the marks
+    met = docs.join(told, F.col("_own") == F.col("_id"), "left")
+    back = met.select("_own", "text", "asked", "single").mapInArrow(_ask(int(max(1, -(-count // asked)))), _PACKED)
+    marks = back.groupBy("part").applyInArrow(_refine(parts), _PACKED).groupBy("part").applyInArrow(_gather_marks, "doc_id long, marks binary").withColumnRenamed("doc_id", "_m")
+    judged = met.join(marks, F.col("_own") == F.col("_m"), "left").select("_own", "text", "found", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, marked = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            done = 0
+            found, marked, done = batch.column(2).to_pylist(), batch.column(3).to_pylist(), 0
             for ids, own in _together(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                here = slice(done, done + len(ids))
-                some = [i for i in range(done, done + len(ids)) if found[i] or marked[i]]
-                runs = dict(zip(some, spans([own[i - done] for i in some], [found[i] for i in some], [marked[i] for i in some]), strict=True)) if some else {}
-                removed = [runs[i].tolist() if i in runs else [] for i in range(here.start, here.stop)]
-                yield pa.record_batch({"doc_id": batch.column(0).slice(done, len(ids)), "text": pa.array(own, pa.binary()), "removed": pa.array(removed, pa.list_(pa.list_(pa.int64())))})
-                done = here.stop
+                some = [i for i in range(len(own)) if found[done + i] or marked[done + i]]
+                runs = dict(zip(some, spans([own[i] for i in some], [found[done + i] for i in some], [marked[done + i] for i in some]), strict=True)) if some else {}
+                none = np.zeros((0, 2), dtype=np.int64)
+                yield pa.record_batch({"doc_id": batch.column(0).slice(done, len(ids))} | each(own, [runs.get(i, none) for i in range(len(own))]))
+                done += len(ids)
+            pa.default_memory_pool().release_unused()
+
+    return judged.mapInArrow(run, f"doc_id long, {schema}").withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null is empty) without its repeated passages, and removed, the (from, to) byte runs of them, of every row.
+
+    What is left of a text need not be UTF-8 where a run ends within a character, so it is binary.
+    """
+
+    def each(texts: list[bytes], runs: list[np.ndarray]) -> dict[str, pa.Array]:
+        return {"text": pa.array([kept(t, r) for t, r in zip(texts, runs, strict=True)], pa.binary()), "removed": pa.array([r.tolist() for r in runs], pa.list_(pa.list_(pa.int64())))}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return judged.mapInArrow(run, f"doc_id {kind}, text binary, removed array<array<long>>")
+    return _judged(docs, each, "text binary, removed array<array<long>>")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, **limits: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
 
-    @F.arrow_udf("string")
-    def digest(text: pa.Array, removed: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(kept(t, np.array(r, dtype=np.int64).reshape(-1, 2))).hexdigest() for t, r in zip(text.to_pylist(), removed.to_pylist(), strict=True)], pa.string())
+    def each(texts: list[bytes], runs: list[np.ndarray]) -> dict[str, pa.Array]:
+        numbers = {"n_bytes": [len(t) for t in texts], "n_removed": [int((r[:, 1] - r[:, 0]).sum()) for r in runs], "n_spans": [len(r) for r in runs]}
+        return {k: pa.array(v, pa.int64()) for k, v in numbers.items()} | {"kept_sha256": pa.array([hashlib.sha256(kept(t, r)).hexdigest() for t, r in zip(texts, runs, strict=True)], pa.string())}
 
-    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
-    return repeats(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), digest("text", "removed").alias("kept_sha256"))
+    return _judged(docs, each, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", **limits)
 
 
 SQL = r"""

@@ -45,14 +45,15 @@ def corpus(seed=1, n=150):
 
 
 @pytest.mark.parametrize("limits", [{}, {"hot": 3}, {"busy": 3}, {"hot": 5, "busy": 8, "part": 200, "asked": 20}])
-def test_brute_force(spark, docs, monkeypatch, limits):
+def test_brute_force(docs, limits):
     rows = corpus(len(limits))
     want = brute([(i, t and t.encode()) for i, t in rows])
     frame = docs([(i, t, None, None) for i, t in rows]).repartition(5)
-    own = suffixes.repeats
-    monkeypatch.setattr(suffixes, "repeats", lambda d: own(d, **limits))
-    assert sorted(map(tuple, suffixes.deduplicate(frame).collect()), key=str) == want
+    assert sorted(map(tuple, suffixes.deduplicate(frame, **limits).collect()), key=str) == want
     assert suffixes.deduplicate(frame.limit(0)).count() == 0
+    if not limits:
+        left = suffixes.repeats(frame).collect()
+        assert sorted((str(r.doc_id), sum(b - a for a, b in r.removed), hashlib.sha256(r.text).hexdigest()) for r in left) == sorted((str(w[0]), w[2], w[4]) for w in want)
 
 
 def test_long_text(spark, docs, monkeypatch):
