@@ -89,11 +89,24 @@ def truncated(text: Column, tool: Column, iteration: Column, tiers: tuple = CHAT
 
 
 def carried_facts(pages: DataFrame, most: int = 4000, each: int = 3) -> DataFrame:
-    """WIN-13: before each page of a run, the last characters of the first facts of the pages before it."""
-    order = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.array_join(F.transform(F.slice("facts", 1, each), lambda f: F.concat(F.lit("- "), f)), "\n")
-    before = F.array_join(F.filter(F.collect_list(first).over(order), lambda t: t != ""), "\n")
-    return pages.withColumn("carried", F.substring(before, F.greatest(F.lit(1), F.length(before) - most + 1), F.lit(most)))
+    """WIN-13: before each page of a run, the last characters of the first facts of the pages before it.
+
+    A scan in blocks: pages are numbered by the characters before them, `most` and a few to a block, so the last `most` before a
+    page lie in its own block and the two before. What a page collects is bounded by that, however long the run.
+    """
+    width = most + 2  # a page's part with its line end is shorter, so no block of a run is left out
+    said = F.array_join(F.transform(F.slice("facts", 1, each), lambda f: F.concat(F.lit("- "), f)), "\n")
+    tail = lambda t: F.substring(t, F.greatest(F.lit(1), F.length(t) - most + 1), F.lit(most))
+    size = F.when(F.length("_t") > 0, F.length("_t") + 1).otherwise(0)
+    before = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    cut = pages.withColumn("_t", tail(F.coalesce(said, F.lit("")))).withColumn("_b", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / width))
+    joined = lambda c: F.array_join(F.filter(c, lambda t: t != ""), "\n")
+    blocks = cut.groupBy("run", "_b").agg(joined(F.transform(F.array_sort(F.collect_list(F.when(F.col("_t") != "", F.struct("seq", "_t")))), lambda x: x["_t"])).alias("_x"))
+    in_turn = Window.partitionBy("run").orderBy("_b")
+    carried = blocks.select("run", "_b", joined(F.array(F.coalesce(F.lag("_x", 2).over(in_turn), F.lit("")), F.coalesce(F.lag("_x", 1).over(in_turn), F.lit("")))).alias("_c"))
+    own = Window.partitionBy("run", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    met = cut.withColumn("_o", joined(F.collect_list(F.when(F.col("_t") != "", F.col("_t"))).over(own))).join(carried, ["run", "_b"])
+    return met.withColumn("carried", tail(joined(F.array("_c", "_o")))).select(*pages.columns, "carried")
 
 
 def lifecycle(events: DataFrame) -> DataFrame:

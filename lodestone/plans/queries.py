@@ -19,6 +19,7 @@ from lodestone.functions import urls as U
 from lodestone.operators import chat, collections, links, research, retrieval, sessions, usage
 from lodestone.operators.postings import KeptIndex
 from lodestone.session import table
+from lodestone.sources.store import ChunkStore, take_in
 from lodestone.streaming import frames, ledger, stateful
 from lodestone.streaming.ledger import shared_folder
 
@@ -812,6 +813,60 @@ def checkpoint_trim(spark, d):
     return research.checkpoint(b, findings=800).select("branch", "findings", F.size("facts").alias("n_facts"))
 
 
+_LEVELS = """l0 AS (SELECT doc_id, source, CASE WHEN length(text) > 8000 THEN substr(text, 1, 8000) || chr(10) || '[...checkpoint truncated...]' ELSE coalesce(text, '') END AS f,
+string_split(text, ' ')[1:20] AS w, string_split(text, ' ')[1:200] AS c, substr(text, 1, 2000) AS y, substr(text, 1, 500) AS x FROM documents)""" + "".join(
+    f""", l{n} AS (SELECT doc_id, source, substr(f, 1, length(f) // 2) || {"chr(10) || '[...aggressively trimmed...]'" if n == 1 else "''"} AS f, w[1:greatest(4, len(w) // 2)] AS w, c[1:greatest(10, len(c) // 2)] AS c,
+{"''" if n == 3 else "y"} AS y, {"''" if n == 3 else "x"} AS x FROM l{n - 1})"""
+    for n in (1, 2, 3)
+)
+_BYTES = "strlen(to_json({'branches': [{'topic': source, 'findings': f, 'facts': w, 'sources': [source]}], 'citations': c, 'rationale': y, 'context': x}))"
+
+
+@query(f"""WITH {_LEVELS}, a AS ({" UNION ALL ".join(f"SELECT doc_id, {n} AS level, {_BYTES} AS bytes, length(f) AS findings, len(w) AS facts FROM l{n}" for n in range(4))})
+SELECT doc_id, level::INT AS level, bytes::INT AS bytes, findings::INT AS findings, facts::INT AS facts FROM a WHERE level = 3 OR bytes <= 2000 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level) = 1""")
+def snapshot_levels(spark, d):
+    """SNK-08: documents as states of runs, in as many halvings as 2000 bytes ask for."""
+    t, words = F.col("text"), F.split("text", " ")
+    branch = F.array(F.struct(F.col("source").alias("topic"), t.alias("findings"), words.alias("facts"), F.array("source").alias("sources")))
+    made = table(spark, d, "documents").select("doc_id", research.snapshot(branch, words, t, t, most=2000).alias("s"))
+    body = F.from_json("s.json", "branches array<struct<findings:string,facts:array<string>>>")
+    return made.select("doc_id", "s.level", "s.bytes", body["branches"][0].alias("b")).select("doc_id", "level", "bytes", F.length("b.findings").alias("findings"), F.size("b.facts").alias("facts"))
+
+
+@query("""WITH p AS (SELECT lang AS run, doc_id AS seq, array_to_string(list_transform(string_split(text, ' ')[1:3], lambda w: '- ' || w), chr(10)) AS t FROM documents)
+SELECT run, seq, right(coalesce(string_agg(t, chr(10)) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 400) AS carried FROM p""")
+def carried_facts(spark, d):
+    """WIN-13: the first words of documents as facts of pages, a language as a run."""
+    pages = table(spark, d, "documents").select(F.col("lang").alias("run"), F.col("doc_id").alias("seq"), F.split("text", " ").alias("facts"))
+    return sessions.carried_facts(pages, most=400).select("run", "seq", "carried")
+
+
+def _stored(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"), F.col("text").alias("content"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, source AS source_id, length(text)::INT AS chars FROM documents WHERE doc_id % 7 = 0 AND doc_id < 700 OR source = (SELECT min(source) FROM documents)")
+def store_lookups(spark, d):
+    """SRC-02/03: chunks by id and by source of a store that was filled in two parts, the second in place of some of the first."""
+    store, rows = ChunkStore(spark, shared_folder(spark)), _stored(spark, d)
+    store.upsert(rows.where("id % 3 <> 0").withColumn("content", F.when(F.col("id") % 2 == 0, "old").otherwise(F.col("content"))))
+    store.upsert(rows.where("id % 3 = 0 OR id % 2 = 0"))
+    found = store.get([str(i) for i in range(0, 700, 7)]).union(store.of_sources([rows.agg(F.min("source_id")).first()[0]]))
+    return found.distinct().select("id", "source_id", F.length("content").alias("chars"))
+
+
+@query("SELECT source AS source_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
+def import_queue(spark, d):
+    """SNK-09, STR-13: documents laid in an inbox as files, taken in by a stream, and once more with a batch that was there already."""
+    root = shared_folder(spark)
+    store = ChunkStore(spark, f"{root}/store")
+    _stored(spark, d).repartition(3).write.json(f"{root}/inbox")
+    take_in(store, f"{root}/inbox", f"{root}/state", files=2)
+    store.upsert(_stored(spark, d).withColumn("content", F.lit("again")), batch=0)
+    take_in(ChunkStore(spark, f"{root}/store"), f"{root}/inbox", f"{root}/state", files=2)
+    return store.all().groupBy("source_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
 # streams
 
 
