@@ -99,6 +99,12 @@ def recent(conversations: DataFrame, current: int, n: int = 5) -> DataFrame:
     return conversations.where((F.col("conv_id") != current) & ~F.coalesce("archived", F.lit(False))).orderBy(F.desc("conv_id")).limit(n)
 
 
+def of_hits(hits: DataFrame, conversations: DataFrame) -> DataFrame:
+    """JN-13: hits (id, session_id) with the conversation (conv_id, title) that their session names; null where there is none."""
+    known = conversations.groupBy(F.col("conv_id").cast("string").alias("session_id")).agg(F.first("conv_id").alias("conv_id"), F.min("title").alias("title"))
+    return hits.join(known, "session_id", "left").select("id", "session_id", "conv_id", "title")
+
+
 def flatten_blocks(blocks: Column) -> Column:
     """SCA-63: the text of typed blocks, joined by spaces; other blocks have none."""
     return F.array_join(F.transform(F.filter(blocks, lambda b: b["type"].isin("text", "tool_result")), lambda b: b["text"]), " ")

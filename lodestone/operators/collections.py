@@ -6,12 +6,17 @@ id, content, source_id, indexed_at); a missing indexed_at counts as 0, the oldes
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CHUNKS, EXPORT_PAGE, EXPORT_MOST = 10_000, 2000, 2000
+from lodestone.functions import chunking
+from lodestone.operators import retrieval
+
+MAX_CHUNKS, MAX_MB, EXPORT_PAGE, EXPORT_MOST = 10_000, 500.0, 2000, 2000
 
 
 def has_prefix(chunk_id: Column, source_id: Column, prefix: str) -> Column:
@@ -90,6 +95,53 @@ def upsert(chunks: DataFrame, new: DataFrame, replace_ids: list[str], cap: int =
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+@dataclass(frozen=True)
+class Indexed:
+    """What a request to index came to: texts and chunks that are in, chunks that were refused, and why."""
+
+    indexed: int
+    chunks: int
+    rejected: int = 0
+    reason: str = ""
+
+
+def index(
+    chunks: DataFrame, texts: DataFrame, collection: str, replace_ids: tuple[str, ...] = (), max_chunks: int = MAX_CHUNKS, max_mb: float = MAX_MB, prune: bool = True, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP,
+    embedder: Callable | None = None,
+) -> tuple[DataFrame, Indexed]:
+    """DML-01/02/03: the table after indexing `texts(id, text, source_id)` into a collection, and what came of it.
+
+    Texts are cut into chunks; without any nothing changes. Then, in this order: chunks of the replaced sources go; at the cap of
+    chunks the oldest make room or, without `prune`, the request is refused; at the cap of MiB over all collections every one
+    gives its oldest fifth or, without `prune`, the request is refused; chunks are embedded and come in. A refusal keeps
+    what replacing removed. The caps are tested before the new chunks, so one request may overshoot them.
+    """
+    given = texts.withColumn("source_id", F.coalesce(F.col("source_id"), F.col("id"))) if "source_id" in texts.columns else texts.withColumn("source_id", F.col("id"))
+    cut = given.select("id", F.col("source_id").alias("_s"), chunking.chunker(chunking.chunk_text, size, overlap)("text").alias("_c"))
+    flat = cut.select("id", "_s", F.size("_c").alias("_n"), F.posexplode("_c").alias("_i", "content"))
+    name = F.when(F.col("_n") == 1, F.col("id")).otherwise(F.concat("id", F.lit("_chunk"), F.col("_i")))
+    new = flat.select(F.lit(collection).alias("collection"), name.alias("id"), F.col("_s").alias("source_id"), F.unix_timestamp(F.current_timestamp()).cast("double").alias("indexed_at"), "content")
+    count, n_texts = new.count(), texts.count()
+    if not count:
+        return chunks, Indexed(n_texts, 0)
+    mine, others = chunks.where(F.col("collection") == collection), chunks.where(~F.coalesce(F.col("collection") == collection, F.lit(False)))
+    if replace_ids:
+        mine = delete(mine, source_ids=list(replace_ids))
+    have = mine.count()
+    if 0 < max_chunks <= have:
+        if not prune:
+            reason = f"Collection '{collection}' is at its cap of {max_chunks} chunks and auto-pruning is disabled. Clear some space or enable auto-prune."
+            return others.unionByName(mine), Indexed(0, 0, count, reason)
+        mine = evict_oldest(mine, min(have, have + count - max_chunks)) if have + count > max_chunks else mine
+    kept = others.unionByName(mine)
+    if max_mb > 0:
+        mb = kept.agg(F.sum(F.octet_length("content")) / (1 << 20)).first()[0] or 0.0
+        if mb >= max_mb and not prune:
+            return kept, Indexed(0, 0, count, f"Total storage estimated at {mb:.0f} MB exceeds the {max_mb:g} MB cap and auto-pruning is disabled. Clear some space or enable auto-prune.")
+        kept = evict_share(kept) if mb >= max_mb else kept
+    return kept.unionByName(retrieval.embed(new, embedder) if "embedding" in chunks.columns else new, allowMissingColumns=True), Indexed(n_texts, count)
+
+
 #: The collection of remembered facts and what their ids begin with.
 MEMORY, FACT_PREFIX = "conversations", "update_"
 

@@ -98,9 +98,9 @@ def sandwich(ranked: DataFrame, score: str = "score") -> DataFrame:
 def scaled_budgets(branches: DataFrame, budget: int) -> DataFrame:
     """WIN-14: characters for each branch in proportion to its findings and facts, two thousand at least."""
     want = F.length("findings") + 100 * F.col("n_facts")
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    scale = F.least(F.lit(1.0), F.lit(float(budget)) / F.sum(want).over(every))
-    return branches.withColumn("chars", F.greatest(F.lit(2000), F.floor(want * scale)).cast("long"))
+    total = branches.agg(F.sum(want).alias("_all"))  # one row
+    scale = F.least(F.lit(1.0), F.lit(float(budget)) / F.col("_all"))
+    return branches.crossJoin(F.broadcast(total)).withColumn("chars", F.greatest(F.lit(2000), F.floor(want * scale)).cast("long")).drop("_all")
 
 
 def kept_facts(facts: DataFrame, share: float = 0.4) -> DataFrame:
@@ -221,6 +221,11 @@ def snapshot(branches: Column, citations: Column, rationale: Column, context: Co
     return T.bound(made, lambda x: F.struct(x["level"].alias("level"), x["bytes"].alias("bytes"), F.to_json(x["body"]).alias("json")))
 
 
+def totals(branches: DataFrame, by: str = "branch") -> DataFrame:
+    """AGG-20: pages and facts of each branch's steps (branch, pages, facts), missing ones as none."""
+    return branches.groupBy(by).agg(F.sum(F.coalesce("pages", F.lit(0))).cast("long").alias("pages"), F.sum(F.coalesce("facts", F.lit(0))).cast("long").alias("facts"))
+
+
 def usable(branches: DataFrame, least: int = MIN_FINDINGS) -> DataFrame:
     """FLT-05: branches whose findings are longer than `least`."""
     return branches.where(F.length("findings") > least)

@@ -183,6 +183,11 @@ def local_savings(rollup: DataFrame) -> DataFrame:
     return rollup.agg((F.sum("local_tokens") / 1e6 * P.SAVED_PER_MILLION).alias("local_savings"))
 
 
+def store_total(days: DataFrame) -> DataFrame:
+    """AGG-23: the sum of all days, and how many providers they hold; 0 without any."""
+    return days.agg(F.coalesce(F.sum("total"), F.lit(0)).cast("long").alias("total"), F.countDistinct("provider").alias("providers"))
+
+
 def xp(events: DataFrame) -> DataFrame:
     """AGG-11, SCA-47: experience, replies, first and last event and stage of each provider."""
     e = cleaned(events)
