@@ -981,11 +981,11 @@ def trend_bands(spark, d):
     return table(spark, d, "events").select("event_id", P.trend_band(x).alias("band"))
 
 
-@query(r"""WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, '\[[^\]]*\]\((https?://[^\s)]+)\)', 1) || regexp_extract_all(regexp_replace(html, '\[[^\]]*\]\([^)]*\)', ' ', 'g'), 'https?://[^\s<>"'')\]]+')) AS u FROM pages)
+@query(r"""WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, '\[[^\]]*\]\((https?://[^\s)]+)\)', 1) || regexp_extract_all(regexp_replace(html, '\[[^\]]*\]\([^)]*\)', ' ', 'g'), 'https?://[^\s<>"'')\]]+')) AS u FROM (SELECT page_id, 'see [it](' || url || 'a) or ' || url || '.' || html AS html FROM pages))
 SELECT DISTINCT page_id, regexp_replace(trim(u), '[.,;:!?)\]}>''"]+$', '') AS url FROM u WHERE regexp_matches(regexp_replace(trim(u), '[.,;:!?)\]}>''"]+$', ''), '^(?i)https?://')""")
 def plain_links(spark, d):
-    """TAB-09, SCA-33: addresses in pages as they stand."""
-    return table(spark, d, "pages").select("page_id", F.explode(links.plain_links(F.col("html"))).alias("url"))
+    """TAB-09, SCA-33: addresses in pages, with their own in Markdown and in plain text before them."""
+    return table(spark, d, "pages").select("page_id", F.explode(links.plain_links(F.concat(F.lit("see [it]("), "url", F.lit("a) or "), "url", F.lit("."), "html"))).alias("url"))
 
 
 @query(r"""SELECT page_id, regexp_matches(lower(regexp_replace(url || CASE page_id % 4 WHEN 0 THEN '.PDF?x' WHEN 1 THEN '#a.pdf' ELSE '' END, '[?#].*$', '')), '\.pdf$') OR page_id % 4 = 3 AS pdf FROM pages""")
