@@ -10,10 +10,11 @@ similarity of 0.85 partitions would hold too few shingles for that; there, keys
 many as leave a pair right at the threshold without a key once in a thousand million, and pairs above it far less often.
 
 Documents that keys connect form a cluster. A cluster of up to `BLOCK` documents and `SHINGLES` shingles is one task's
-work. In a larger one every document is first compared with `HUBS` of the cluster's own; those that link with one are
-connected already, so only the others are still compared, with each other and with all the rest: the cluster is cut into
-blocks by hash, and a task joins two blocks of which one at least is of such others. A group of copies, however large, thus
-costs one comparison a document. In a task signature trees do the join: a node holds the OR and the AND of its documents' shingle bitmaps and their size range, and a dual traversal
+work. In a larger one every document is first compared with `HUBS` of the cluster's own. Those that link with a hub are of
+its group; hubs that are linked, or that a document links with both, share one. A group is connected already, so what is
+still compared are documents of different groups, and those of none with each other and with all the rest: groups are cut
+into blocks by hash, and a task joins two blocks. A group of copies, however large, thus
+costs `HUBS` comparisons a document. In a task signature trees do the join: a node holds the OR and the AND of its documents' shingle bitmaps and their size range, and a dual traversal
 drops node pairs whose largest possible overlap is too small. What remains is compared exactly, unless the two are
 already connected. Links give components by alternating stars.
 
@@ -29,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, mix64, shuffle_width
@@ -257,6 +258,8 @@ def possible(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, percent: int) ->
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
@@ -343,47 +346,65 @@ def _units(k: int, percent: int):
 
 
 def _against_hubs(k: int, percent: int):
-    """(u, v): documents of large clusters and the first of their cluster's hubs that each links with."""
+    """Documents of large clusters, the hubs of their cluster that each links with, and these as bits; a hub links with itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, list] = {}
         for batch in batches:
-            u, v = [], []
+            out: dict[str, list] = {"doc": [], "sig": [], "bits": [], "hubs": []}
             for doc, sig, text, cluster, own in zip(*(batch.column(c).to_pylist() for c in ("doc", "sig", "text", "cluster", "hubs")), strict=True):
                 if cluster not in known:
                     if len(known) >= 32:
                         known.clear()
-                    known[cluster] = [(h["doc"], shingle_set(h["text"], k)) for h in own]
+                    known[cluster] = [(h["r"], h["doc"], shingle_set(h["text"], k)) for h in own]
                 mine = shingle_set(text, k)
-                found = next((d for d, h in known[cluster] if d != doc and linked(mine, h, percent)), None) if set_hash(mine) == sig else None
-                if found is not None:
-                    u.append(doc)
-                    v.append(found)
-            yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                if set_hash(mine) != sig:  # another text of a repeated id isn't the one meant
+                    continue
+                found = [(r, d) for r, d, h in known[cluster] if d == doc or linked(mine, h, percent)]
+                if found:
+                    bits = 0
+                    for r, _ in found:
+                        bits |= 1 << (r - 1)
+                    for name, value in (("doc", doc), ("sig", sig), ("bits", bits), ("hubs", [d for _, d in found])):
+                        out[name].append(value)
+            yield pa.record_batch([pa.array(out["doc"], pa.int64()), pa.array(out["sig"], pa.int64()), pa.array(out["bits"], pa.int32()), pa.array(out["hubs"], pa.list_(pa.int64()))], names=list(out))
 
     return run
 
 
+def _grouped(members: DataFrame, met: DataFrame) -> DataFrame:
+    """members with `tied`, their group: the bits of all hubs that links join, in their cluster, with those each is tied to; 0 for none."""
+    own = members.join(met.select("doc", "sig", "bits").distinct(), ["doc", "sig"], "left")
+    kinds = own.where("bits is not null").groupBy("cluster").agg(F.collect_set("bits").alias("kinds"))
+    wider = lambda bits: F.aggregate("kinds", bits, lambda now, o: F.when(now.bitwiseAND(o) != 0, now.bitwiseOR(o)).otherwise(now))
+    tied = F.col("bits")
+    for _ in range(HUBS - 1):
+        tied = wider(tied)
+    return own.join(kinds, "cluster", "left").withColumn("tied", F.when(F.col("bits").isNull(), 0).otherwise(tied)).drop("bits", "kinds")
+
+
 def _deal(members: DataFrame, block: int, shingles: int) -> DataFrame:
     """(doc, sig, unit, side) of members (doc, sig, n, cluster, large, tied): whole clusters, or pairs of blocks of large ones.
 
-    Blocks of documents that are tied to a hub meet blocks of others only, and those meet each other too.
+    Blocks of a group meet those of other groups and of documents of none (group 0), and the latter meet each other too.
     """
     whole = members.where("not large").select("doc", "sig", F.col("cluster").cast("string").alias("unit"), F.lit(2).alias("side"))
     large = members.where("large")
-    kinds = large.groupBy("cluster").agg(
-        *(F.greatest(F.ceil(F.sum(F.when(t, 1).otherwise(0)) / block), F.ceil(F.sum(F.when(t, F.col("n")).otherwise(0)) / shingles)).cast("int").alias(name) for t, name in ((F.col("tied"), "tb"), (~F.col("tied"), "ub")))
-    )
-    met = large.join(kinds.where("ub > 0"), "cluster")
-    b = F.pmod(F.xxhash64("doc", F.lit(9)), F.when(F.col("tied"), F.col("tb")).otherwise(F.col("ub")).cast("long")).cast("int")
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    met = met.withColumn("b", b)
-    unit = lambda name, side: F.struct(name.alias("unit"), side.cast("int").alias("side"))
-    named = lambda kind, x, y: F.concat_ws(":", F.col("cluster"), F.lit(kind), x, y)
-    among = F.transform(upto(F.col("ub")), lambda o: unit(named("u", F.least("b", o), F.greatest("b", o)), F.when(o == F.col("b"), 2).when(F.col("b") < o, 0).otherwise(1)))
-    across = F.transform(upto(F.col("tb")), lambda o: unit(named("t", F.col("b"), o), F.lit(0)))
-    tied = F.transform(upto(F.col("ub")), lambda o: unit(named("t", o, F.col("b")), F.lit(1)))
-    cut_up = met.select("doc", "sig", F.explode(F.when(F.col("tied"), tied).otherwise(F.concat(among, across))).alias("u")).select("doc", "sig", "u.unit", "u.side")
+    size = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / shingles)).cast("int")
+    groups = large.groupBy("cluster", "tied").agg(size.alias("blocks")).groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("tied", "blocks"))).alias("groups"))
+    met = large.join(groups.where("size(groups) > 1 or element_at(groups, 0) is not null"), "cluster")
+    met = met.withColumn("b", F.pmod(F.xxhash64("doc", F.lit(9)), F.element_at("groups", F.col("tied")).cast("long")).cast("int"))
+    unit = lambda g, x, h, y, side: F.struct(F.concat_ws(":", F.col("cluster"), g, x, h, y).alias("unit"), F.lit(side).cast("int").alias("side"))
+    own, b = F.col("tied"), F.col("b")
+
+    def against(h: Column, o: Column) -> Column:
+        """The unit of this row's block and block o of group h."""
+        same = F.when(o == b, unit(own, b, h, o, 2)).when(b < o, unit(own, b, h, o, 0)).otherwise(unit(h, o, own, b, 1))
+        return F.when(h == own, same).when(own < h, unit(own, b, h, o, 0)).otherwise(unit(h, o, own, b, 1))
+
+    others = F.filter(F.map_keys("groups"), lambda h: (h != own) | (h == 0))
+    dealt = F.flatten(F.transform(others, lambda h: F.transform(F.sequence(F.lit(0), F.element_at("groups", h) - 1), lambda o: against(h, o))))
+    cut_up = met.select("doc", "sig", F.explode(dealt).alias("u")).select("doc", "sig", "u.unit", "u.side")
     return whole.unionByName(cut_up)
 
 
@@ -407,11 +428,13 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, blo
     large = members.where("large")
     links = None
     if not large.isEmpty():
-        hubs = large.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("doc", F.lit(31)), "doc"))).where(F.col("r") <= HUBS)
-        hubs = hubs.join(wanted, F.col("doc") == F.col("doc_id")).groupBy("cluster").agg(F.collect_list(F.struct("doc", "text")).alias("hubs"))
-        links = cut(large.join(wanted, F.col("doc") == F.col("doc_id")).join(hubs, "cluster").select("doc", "sig", "text", "cluster", "hubs").mapInArrow(_against_hubs(k, percent), "u long, v long"))
-        members = members.join(links.select(F.col("u").alias("doc"), F.lit(True).alias("tied")).distinct(), "doc", "left")
-    members = members.withColumn("tied", F.coalesce("tied", F.lit(False)) if links else F.lit(False))
+        hubs = large.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("doc", F.lit(31)), "doc", "sig"))).where(F.col("r") <= HUBS)
+        hubs = hubs.join(wanted, F.col("doc") == F.col("doc_id")).groupBy("cluster").agg(F.collect_list(F.struct("r", "doc", "text")).alias("hubs"))
+        met = cut(large.join(wanted, F.col("doc") == F.col("doc_id")).join(hubs, "cluster").select("doc", "sig", "text", "cluster", "hubs").mapInArrow(_against_hubs(k, percent), "doc long, sig long, bits int, hubs array<long>"))
+        links = met.select(F.col("doc").alias("u"), F.explode("hubs").alias("v")).where("u <> v")
+        members = _grouped(members, met)
+    else:
+        members = members.withColumn("tied", F.lit(0))
     read = _deal(members, block, shingles).join(wanted, F.col("doc") == F.col("doc_id")).select("unit", "doc", "sig", "side", "text")
     found = read.repartition(width, "unit").sortWithinPartitions("unit").mapInArrow(_units(k, percent), "u long, v long")
     own = live.groupBy("sig", "check").agg(F.min("doc_id").alias("v"))

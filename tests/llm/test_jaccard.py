@@ -138,6 +138,22 @@ def test_a_group_of_copies_costs_a_comparison_each(spark, docs, monkeypatch):
     assert got == {0} and dealt[0].count() == 0
 
 
+@pytest.mark.parametrize("percent,length", [(80, 40), (90, 70)])
+def test_documents_of_different_hubs_are_compared(spark, docs, percent, length):
+    """Chains in which each document links with the next only: where two hubs are three apart, those between are tied to
+    different hubs and link with each other."""
+    rows = []
+    for c in range(15):
+        own, order = [f"c{c}w{i}" for i in range(length)], list(range(12))
+        random.Random(c).shuffle(order)
+        for step in range(12):
+            rows.append((12 * c + order[step], " ".join([*own])))
+            own[2 + 3 * step] = f"c{c}n{step}"
+    got = J.near_duplicates(docs([(i, t, "en", "s") for i, t in rows]), 3, percent, 10).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, percent)
+    assert {r.component_id for r in got} == {12 * c for c in range(15)}
+
+
 def test_units_are_bounded_by_shingles(spark, docs):
     rows = corpus(60, 11)
     got = J.near_duplicates(docs([(i, t, "en", "s") for i, t in rows]), 3, 80, 2000, 300).collect()
