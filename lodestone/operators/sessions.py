@@ -5,7 +5,10 @@ WIN-09/13/16, STR-12, DML-10/11, UDF-01/02, FLT-20, MSC-06. A fold sees one natu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,38 +121,49 @@ def lifecycle(events: DataFrame) -> DataFrame:
     no name yet. Actions out of turn change nothing and have a reason, but `begin` while stopping, which does.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, response, generation, out = "idle", None, 0, []
-        for r in pdf.sort_values("seq").itertuples():
-            key, reason = r.key if isinstance(r.key, str) else None, None
-            if r.action == "begin":
-                if r.argument not in PHASES:
-                    reason = "invalid-phase"
-                else:
-                    if state == "stopping":
+    names = ("session_id", "seq", "state", "generation", "ok", "reason")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sessions lie on end, in order, so one at a time is carried from batch to batch."""
+        session, (state, response, generation) = object(), ("idle", None, 0)
+        for batch in batches:
+            out: dict[str, list] = {name: [] for name in names}
+            for own, seq, action, argument, key in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if own != session:
+                    session, (state, response, generation) = own, ("idle", None, 0)
+                reason = None
+                if action == "begin":
+                    if argument not in PHASES:
+                        reason = "invalid-phase"
+                    else:
+                        if state == "stopping":
+                            reason = "illegal-transition"
+                        elif state in SETTLED:
+                            generation, response = generation + 1, key
+                        elif key is not None and key != response:
+                            if response is not None:
+                                reason, generation = "response-overlap", generation + 1
+                            response = key
+                        state = argument
+                elif action == "mark":
+                    if argument in PHASES and state in PHASES:
+                        state = argument
+                    else:
                         reason = "illegal-transition"
-                    elif state in SETTLED:
-                        generation, response = generation + 1, key
-                    elif key is not None and key != response:
-                        if response is not None:
-                            reason, generation = "response-overlap", generation + 1
-                        response = key
-                    state = r.argument
-            elif r.action == "mark":
-                if r.argument in PHASES and state in PHASES:
-                    state = r.argument
+                elif action == "stop":
+                    reason = "already-stopping" if state == "stopping" else None if state in PHASES else "not-stoppable"
+                    state = state if reason else "stopping"
                 else:
-                    reason = "illegal-transition"
-            elif r.action == "stop":
-                reason = "already-stopping" if state == "stopping" else None if state in PHASES else "not-stoppable"
-                state = state if reason else "stopping"
-            else:
-                reason = "not-active" if state in SETTLED else None
-                state = state if reason else "error" if r.argument == "error" else "done"
-            out.append((r.session_id, r.seq, state, generation, reason is None, reason))
-        return pd.DataFrame(out, columns=["session_id", "seq", "state", "generation", "ok", "reason"])
-
-    return events.select("session_id", "seq", "action", "argument", "key").groupBy("session_id").applyInPandas(fold, "session_id long, seq long, state string, generation int, ok boolean, reason string")
+                    reason = "not-active" if state in SETTLED else None
+                    state = state if reason else "error" if argument == "error" else "done"
+                for name, value in zip(names, (own, seq, state, generation, reason is None, reason), strict=True):
+                    out[name].append(value)
+            types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.string())
+            yield pa.record_batch([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names=list(names))
+
+    e = events.select(F.col("session_id").cast("long").alias("session_id"), F.col("seq").cast("long").alias("seq"), "action", "argument", F.col("key").cast("string").alias("key"))
+    dealt = e.repartition("session_id").sortWithinPartitions("session_id", F.asc_nulls_last("seq"))
+    return dealt.mapInArrow(run, "session_id long, seq long, state string, generation int, ok boolean, reason string")
 
 
 def upsert(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
