@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from lodestone.operators import usage
 
 #: Ids that are remembered; entries of a cache, and how long one without a time of its own counts.
 LAST_IDS, MOST_ENTRIES, DAY_MS = 2000, 500, 86_400_000
+_NO_ID = -(1 << 63)
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -134,16 +136,21 @@ class _StageUps(_InOrder):
     def load(self) -> int:
         return self.state.get()[0] if self.state.exists() else 0
 
-    def fold(self, key, rows, xp):
-        stage = lambda n: max(i for i, (least, _) in enumerate(pricing.XP_STAGES) if n >= least)
-        out, old = [], stage(xp)
-        for r in rows:
-            xp += int(r["total"])
-            new = stage(xp)
-            if new > old and pricing.XP_STAGES[new][1] != "hatchling":
-                out.append((key[0], r["event_id"], pricing.XP_STAGES[old][1], pricing.XP_STAGES[new][1], xp))
-            old = new
-        return out, xp
+    def handleInputRows(self, key, rows, timerValues):
+        """A provider's rows of a batch as three arrays of numbers: there are few providers, so a key has very many rows."""
+        got = [(p["ts"].to_numpy("datetime64[us]").astype("i8"), p["event_id"].astype("Int64").to_numpy("i8", na_value=_NO_ID), p["total"].to_numpy("i8")) for p in rows]
+        ts, event, total = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        order = np.lexsort((event, ts))
+        xp = self.load()
+        upto = total[order]
+        np.cumsum(upto, out=upto)
+        upto += xp
+        names = [name for _, name in pricing.XP_STAGES]
+        stage = np.searchsorted([least for least, _ in pricing.XP_STAGES], np.concatenate([[xp], upto]), side="right").astype(np.int8) - 1
+        up = np.flatnonzero((stage[1:] > stage[:-1]) & (stage[1:] != names.index("hatchling")))
+        self.save(int(upto[-1]) if len(upto) else xp)
+        yield pd.DataFrame([(key[0], int(event[order[i]]) if event[order[i]] != _NO_ID else None, names[stage[i]], names[stage[i + 1]], int(upto[i])) for i in up], columns=list(self.columns))
 
     def save(self, xp) -> None:
         self.state.update((xp,))

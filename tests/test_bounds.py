@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import sessions
+from lodestone.streaming import stateful
+
+
+def test_stage_ups_hold_no_row_as_a_dict():
+    """300,000 rows of one provider in three parts of a batch: as numbers they take a few megabytes."""
+    import tracemalloc
+
+    class Ups(stateful._StageUps):
+        kept = 5_000
+
+        def load(self):
+            return self.kept
+
+        def save(self, xp):
+            self.kept = xp
+
+    n, rng = 300_000, np.random.default_rng(3)
+    ts, total = rng.permutation(n) // 3, rng.integers(1, 99, n)
+    rows = pd.DataFrame({"ts": pd.to_datetime(ts, unit="s"), "event_id": rng.permutation(n), "total": total})
+    ups = Ups()
+    tracemalloc.start()
+    got = pd.concat(ups.handleInputRows(("p",), iter([rows[:1000], rows[1000:200_000], rows[200_000:]]), None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    upto = rows.sort_values(["ts", "event_id"]).assign(xp=lambda r: 5_000 + r["total"].cumsum())
+    want = [("p", int(r.event_id), a, b, int(r.xp)) for at, a, b in ((10_000, "hatchling", "sprout"), (100_000, "sprout", "scholar"), (1_000_000, "scholar", "sage"), (10_000_000, "sage", "archmage")) for r in upto[upto.xp >= at][:1].itertuples()]
+    assert list(map(tuple, got.itertuples(index=False))) == want and ups.kept == 5_000 + int(total.sum()) and peak < 40e6
 
 
 @pytest.mark.parametrize("most", [3, 10_000])
