@@ -860,10 +860,12 @@ def import_queue(spark, d):
     """SNK-09, STR-13: documents laid in an inbox as files, taken in by a stream, and once more with a batch that was there already."""
     root = shared_folder(spark)
     store = ChunkStore(spark, f"{root}/store")
-    _stored(spark, d).repartition(3).write.json(f"{root}/inbox")
-    take_in(store, f"{root}/inbox", f"{root}/state", files=2)
+    rows = _stored(spark, d)
+    n = max(3, rows.rdd.getNumPartitions())  # files grow in number with the table, not in size; two batches take them
+    rows.repartition(n).write.json(f"{root}/inbox")
+    take_in(store, f"{root}/inbox", f"{root}/state", files=-(-2 * n // 3))
     store.upsert(_stored(spark, d).withColumn("content", F.lit("again")), batch=0)
-    take_in(ChunkStore(spark, f"{root}/store"), f"{root}/inbox", f"{root}/state", files=2)
+    take_in(ChunkStore(spark, f"{root}/store"), f"{root}/inbox", f"{root}/state", files=n)
     return store.all().groupBy("source_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
 

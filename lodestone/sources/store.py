@@ -33,13 +33,13 @@ class ChunkStore:
         if batch is not None and version.meta.get("batch", -1) >= batch:
             return False
         new = chunks.where("id is not null").groupBy("id").agg(F.max(F.struct("source_id", "content")).alias("c")).select(_bucket(F.col("id"), self.buckets).alias("bucket"), "id", "c.source_id", "c.content")
-        fresh = self.tables.stage(new.repartition("bucket").sortWithinPartitions("bucket", "id"), ("bucket",), _BLOOM)
+        fresh = self.tables.stage(self._dealt(new), ("bucket",), _BLOOM)
         met = [str(r[0]) for r in self.tables.folder(fresh).select("bucket").distinct().collect()]  # at most one a bucket
         have = self._rows(version.tables.get("chunks", []), met)
         parts = [fresh]
         if have is not None:
             kept = have.join(self.tables.folder(fresh).select("id"), "id", "left_anti").select("bucket", "id", "source_id", "content")
-            parts.append(self.tables.stage(kept.repartition("bucket").sortWithinPartitions("bucket", "id"), ("bucket",), _BLOOM))
+            parts.append(self.tables.stage(self._dealt(kept), ("bucket",), _BLOOM))
         old = [Part(p.folder, p.rows, p.schema, p.by, sorted({*p.without, *met})) for p in version.tables.get("chunks", [])]
         old = [p for p in old if len(p.without) < self.buckets]
         now = None
@@ -52,6 +52,11 @@ class ChunkStore:
         self.tables.commit({}, {"chunks": [*old, *parts], "sources": [where]}, version.meta | ({} if batch is None else {"batch": batch}), base=version)
         return True
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows by bucket; a bucket is several tasks' work where the session has more of them than there are buckets."""
+        some = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        return rows.repartition("bucket", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(some))).sortWithinPartitions("bucket", "id")
+
     def _rows(self, parts: list[Part], buckets: list[str]) -> DataFrame | None:
         """Rows of these buckets: only their folders are listed and opened."""
         out = None

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import sessions
+from lodestone.plans import queries
+from lodestone.sources import store
 from lodestone.streaming import stateful
 
 
@@ -37,6 +39,35 @@ def test_stage_ups_hold_no_row_as_a_dict():
     assert list(map(tuple, got.itertuples(index=False))) == want and ups.kept == 5_000 + int(total.sum()) and peak < 40e6
 
 
+def test_import_queue_has_more_files_for_more_parts(spark, sf_dir, monkeypatch):
+    """A table of five parts is laid in the inbox as five files, in two batches."""
+    seen = []
+    real = queries.take_in
+    monkeypatch.setattr(queries, "_stored", lambda s, d: real_stored(s, d).repartition(5))
+    monkeypatch.setattr(queries, "take_in", lambda own, inbox, state, files: seen.append((spark.read.text(inbox).select(F.input_file_name()).distinct().count(), files)) or real(own, inbox, state, files=files))
+    got = queries.import_queue(spark, sf_dir).agg(F.sum("n"), F.sum("chars")).first()
+    monkeypatch.undo()
+    docs = real_stored(spark, sf_dir)
+    assert seen[0] == (5, 4) and tuple(got) == tuple(docs.agg(F.count("*"), F.sum(F.length("content"))).first())
+
+
+real_stored = queries._stored
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        own = store.ChunkStore(spark, str(tmp_path), buckets=2)
+        dealt = own._dealt(spark.range(1000).select((F.col("id") % 2).cast("int").alias("bucket"), F.col("id").cast("string").alias("id")))
+        rows = [p for p in dealt.rdd.glom().map(lambda p: [(r.bucket, r.id) for r in p]).collect() if p]
+        assert max(map(len, rows)) < 500 and all(p == sorted(p) for p in rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.parametrize("most", [3, 10_000])
 def test_lifecycle_is_carried_over_batches(spark, most):
     """Sessions run over the ends of batches, and no group is a call of its own."""
