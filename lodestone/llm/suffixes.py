@@ -44,7 +44,9 @@ REACH = LENGTH + SIDE
 ALL = (1 << STRIDE) - 1
 PAD = b"\0" * 64
 #: Window starts worked on at a time, bytes of texts read together, suffixes told apart together, and of a part; surroundings of a part.
-CHUNK, BYTES, TOGETHER, PART, ASKED = 1 << 16, 1 << 20, 400_000, 800_000, 16_000
+CHUNK, BYTES, TOGETHER, PART, ASKED = 1 << 16, 1 << 20, 200_000, 400_000, 6_000
+#: Rows of a batch whose texts are held as Python objects together.
+ROWS = 500
 HOT, BUSY = 100, 2000
 _MODULO = (np.arange(256) % STRIDE).astype(np.int64)
 
@@ -128,6 +130,15 @@ def suffixes(texts: list[bytes]) -> Suffixes:
     return out
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches a few rows at a time, so that their values are never all copied out of Arrow at once."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, ROWS):
+            yield batch.slice(s, ROWS)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def _together(ids: list[int], texts: list[bytes | None]) -> Iterator[tuple[list[int], list[bytes]]]:
     """Rows a few at a time, up to BYTES or one long text."""
     s, size = 0, 0
@@ -229,7 +240,7 @@ def _send(parts: int, hot: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
+        for batch in _sliced(batches):
             for ids, texts in _together(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 s = suffixes(texts)
                 got.append((np.array(ids, dtype=np.int64)[s.of], s.bucket, s.around))
@@ -352,7 +363,7 @@ def _ask(parts: int):
         return _rows(STRING, doc=doc[own], name=name[own], k=k, l=mix64(j), mask=np.uint32(1) << (begins - s.at[own] + SIDE).astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             batch = batch.filter(pc.or_(pc.is_valid(batch.column(2)), pc.is_valid(batch.column(3))))
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             asked, single, seen = batch.column(2).to_pylist(), batch.column(3).to_pylist(), 0
@@ -379,22 +390,24 @@ def refined(bytes_: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.nda
     """For each row of REACH bytes, of which `left` before and `right` behind the middle count, the strings of LENGTH bytes
     that a smaller document's row has too, as bits by their starts."""
     n, wide = len(bytes_), REACH - 7
+    assert n * wide < 1 << 31
     flat = np.ascontiguousarray(bytes_)
     place = np.arange(wide)
     inside = (place >= SIDE - left.astype(np.int64)[:, None]) & (place + 8 <= LENGTH + right.astype(np.int64)[:, None])
-    pointer = np.full((n, REACH + 32), -1, dtype=np.int64)  # a position's bucket, -1 once it has left
-    row, at = np.nonzero(inside)
+    pointer = np.full((n, REACH + 32), -1, dtype=np.int32)  # a position's bucket, -1 once it has left
+    row, at = (x.astype(np.int32) for x in np.nonzero(inside))
     key = np.ndarray((n, wide), "<u8", flat, strides=(REACH, 1))[row, at]
     mask = np.zeros(n, dtype=np.uint32)
     for later in (8, 16, LENGTH - 32, None):
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable").astype(np.int32)
         row, at, key = row[order], at[order], key[order]
+        del order
         heads = _heads(key)
         if not len(heads):
             return mask
         size, own = np.diff(np.append(heads, len(key))), doc[row]
         low, high = np.minimum.reduceat(own, heads), np.maximum.reduceat(own, heads)
-        pointer[row, at] = np.repeat(np.where(low < high, np.arange(len(heads)), -1), size)
+        pointer[row, at] = np.repeat(np.where(low < high, np.arange(len(heads)), -1).astype(np.int32), size)
         if later is None:
             repeated = own > np.repeat(low, size)
             np.bitwise_or.at(mask, row[repeated], np.uint32(1) << at[repeated].astype(np.uint32))
@@ -402,7 +415,7 @@ def refined(bytes_: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.nda
         here, there = pointer[row, at], pointer[row, at + later]
         stay = (here >= 0) & (there >= 0)
         pointer[row[~stay], at[~stay]] = -1
-        row, at, key = row[stay], at[stay], (here[stay] * len(heads) + there[stay]).astype(np.uint64)
+        row, at, key = row[stay], at[stay], here[stay].astype(np.uint64) * np.uint64(len(heads)) + there[stay].astype(np.uint64)
     return mask
 
 
@@ -473,7 +486,7 @@ def _judged(docs: DataFrame, each: Callable[[list[bytes], list[np.ndarray]], dic
     judged = met.join(marks, F.col("_own") == F.col("_m"), "left").select("_own", "text", "found", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             found, marked, done = batch.column(2).to_pylist(), batch.column(3).to_pylist(), 0
             for ids, own in _together(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 some = [i for i in range(len(own)) if found[done + i] or marked[done + i]]
@@ -481,7 +494,6 @@ def _judged(docs: DataFrame, each: Callable[[list[bytes], list[np.ndarray]], dic
                 none = np.zeros((0, 2), dtype=np.int64)
                 yield pa.record_batch({"doc_id": batch.column(0).slice(done, len(ids))} | each(own, [runs.get(i, none) for i in range(len(own))]))
                 done += len(ids)
-            pa.default_memory_pool().release_unused()
 
     return judged.mapInArrow(run, f"doc_id long, {schema}").withColumn("doc_id", F.col("doc_id").cast(kind))
 

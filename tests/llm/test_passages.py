@@ -90,3 +90,26 @@ def test_refined_compares_bytes():
         for k in range(22):
             want = inside(i, k) and any(doc[j] < doc[i] and inside(j, q) and bytes(rows[j, q : q + 50]) == bytes(rows[i, k : k + 50]) for j in range(60) for q in range(22))
             assert bool(mask[i] >> k & 1) == want
+
+
+def test_refining_a_part_and_a_batch_of_texts_fit_a_worker():
+    """Of a part of surroundings as large as parts are asked to be, and of a batch of many texts, little is held together."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lodestone.llm import suffixes as S
+
+    rng = np.random.default_rng(4)
+    bytes_ = rng.integers(97, 99, (S.ASKED, S.REACH)).astype(np.uint8)
+    full = np.full(S.ASKED, S.SIDE, dtype=np.uint8)
+    texts = ["".join(rng.choice(list("abcdefgh "), 3000)) for _ in range(40)]
+    batch = pa.record_batch({"doc_id": pa.array(range(10_000)), "text": pa.array([texts[i % 40] for i in range(10_000)])})
+    tracemalloc.start()
+    S.refined(bytes_, full, full, np.arange(S.ASKED))
+    parts = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    next(iter(S._send(8, 100)(iter([batch]))))
+    sent = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parts < 50e6 and sent < 45e6, (parts, sent)
