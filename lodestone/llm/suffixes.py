@@ -9,10 +9,11 @@ string, are its initial bucket; equal strings have a suffix of one bucket at the
    (`SIDE` to either side). A bucket that holds one document is final. Where a document with a smaller id reaches the same
    bytes, all strings around the suffix are repeated. Equal ones are told within a task before the exchange, so a
    passage that very many documents share is one entry a task.
-2. What is left of buckets with several documents and several surroundings sends those bytes to its bucket. There
-   positions get buckets of eight bytes, and buckets are refined by sorting on the pairs of their own number and that of
-   a later offset, each round with the numbers of the round before: 8, 16, 32, `LENGTH` bytes. Positions whose bucket holds
-   one document, or whose later offset has left, leave. Bytes are compared, not hashes. What stays is repeated in all but its smallest document.
+2. What is left of buckets with several documents and several surroundings sends those bytes to its bucket, once a
+   document, however often it repeats them. There positions get buckets of eight bytes, and buckets are refined by sorting
+   on the pairs of their own number and that of a later offset, each round with the numbers of the round before: 8, 16, 32,
+   `LENGTH` bytes. Positions whose bucket holds one document, or whose later offset has left, leave. Bytes are compared, not
+   hashes. What stays is repeated in all but its smallest document.
 3. A bucket that holds more than `BUSY` surroundings, or `HOT` in one task's turn, would be one task's load; each of its
    strings gets a bucket by itself there, a hash of 128 bits, of which tasks send the smallest document only.
 
@@ -209,13 +210,15 @@ def _part(x: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _told(doc: np.ndarray, bucket: np.ndarray, around: np.ndarray, busy: int) -> tuple[np.ndarray, ...]:
-    """Of sorted distinct entries (by bucket, surroundings, document), masks: the first of equal ones; repeated ones; and,
-    of the first ones, those in buckets of several documents and surroundings, and in buckets of more than `busy` of them."""
+    """Of sorted entries (by bucket, surroundings, document), masks: the first of equal ones; repeated ones, once a document;
+    and, of the first ones, those in buckets of several documents and surroundings, and in buckets of more than `busy` of them."""
     equal = _heads(bucket, around)
     size = np.diff(np.append(equal, len(doc)))
     first = np.zeros(len(doc), dtype=bool)
     first[equal] = True
-    repeated = ~first & (doc > np.repeat(doc[equal], size))
+    repeated = np.zeros(len(doc), dtype=bool)
+    repeated[_heads(bucket, around, doc)] = True
+    repeated &= doc > np.repeat(doc[equal], size)
     heads = _heads(bucket)
     size = np.diff(np.append(heads, len(doc)))
     some = len(heads) > 0
@@ -290,8 +293,23 @@ def _gather(table: pa.Table) -> pa.Table:
     return _by_document({key: tuple(_unpacked(kind, table)) for key, kind in (("found", FOUND), ("asked", ASKED_FOR), ("single", SINGLE))})
 
 
+def _once(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Where names stand first in their documents: lines that a document repeats share theirs, and one of them tells all."""
+    order = np.lexsort((name, doc))
+    return order[_heads(doc[order], name[order])]
+
+
+def _merged(doc: np.ndarray, name: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Masks by document and name, one of each, in this order."""
+    order = np.lexsort((name, doc))
+    doc, name, mask = doc[order], name[order], mask[order]
+    heads = _heads(doc, name)
+    return doc[heads], name[heads], np.bitwise_or.reduceat(mask, heads) if len(heads) else mask
+
+
 def _gather_marks(table: pa.Table) -> pa.Table:
-    doc, name, mask = _unpacked(MARK, table)
+    """A part's documents, with the masks of their names, in the order of names."""
+    doc, name, mask = _merged(*_unpacked(MARK, table))
     value = np.zeros(len(doc), dtype=_MARK)
     value["name"], value["mask"] = name, mask
     return _by_document({"marks": (doc, value)})
@@ -332,11 +350,16 @@ def _told_strings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marks(rows: np.ndarray) -> np.ndarray:
-    return _rows(MARKS, doc=rows["doc"], name=rows["name"], mask=rows["mask"])
+    doc, name, mask = _merged(rows["doc"], rows["name"], rows["mask"])
+    return _rows(MARKS, doc=doc, name=name, mask=mask)
 
 
 def _ask(parts: int):
-    """Surroundings and strings of what documents were asked for. Columns: doc_id, text, asked, single."""
+    """Surroundings and strings of what documents were asked for, once for each name. Columns: doc_id, text, asked, single."""
+
+    def chosen(s: Suffixes, doc: np.ndarray, name: np.ndarray, lists: list[bytes | None]) -> np.ndarray:
+        at = _chosen(s, name, lists)
+        return at[_once(doc[at], name[at])]
 
     def dealt(kind: int, part: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(part, kind="stable")
@@ -371,16 +394,17 @@ def _ask(parts: int):
             for some, own in _together(ids, texts):
                 s = suffixes(own)
                 doc, name = np.array(some, dtype=np.int64)[s.of], s.name
-                bucket, rows = contexts(s, _chosen(s, name, asked[seen : seen + len(some)]), doc, name)
+                bucket, rows = contexts(s, chosen(s, doc, name, asked[seen : seen + len(some)]), doc, name)
                 every.append(rows)
                 where.append(bucket)
-                alone.append(strings(s, _chosen(s, name, single[seen : seen + len(some)]), doc, name))
+                alone.append(strings(s, chosen(s, doc, name, single[seen : seen + len(some)]), doc, name))
                 seen += len(some)
                 if seen == len(ids) or sum(map(len, every)) + sum(map(len, alone)) > 200_000:
                     yield dealt(CONTEXT, _part(np.concatenate(where), parts), np.concatenate(every))
                     first, later = _told_strings(np.concatenate(alone))
                     yield dealt(STRING, _part(first["k"], parts), first)
-                    yield dealt(MARKS, _part(later["doc"], parts), _marks(later))
+                    marks = _marks(later)
+                    yield dealt(MARKS, _part(marks["doc"], parts), marks)
                     every, where, alone = [], [], []
 
     return run
@@ -434,7 +458,7 @@ def _refine(parts: int):
 
 
 def spans(texts: list[bytes], found: list[bytes | None], marks: list[bytes | None]) -> list[np.ndarray]:
-    """For each text the maximal runs of removed bytes, as rows of (from, to)."""
+    """For each text the maximal runs of removed bytes, as rows of (from, to). Marks stand once a name, in the order of names."""
     s = suffixes(texts)
     name, first, last = s.name, s.first(), s.last()
     step = np.zeros(len(s.raw) + 1, dtype=np.int32)
@@ -445,16 +469,16 @@ def spans(texts: list[bytes], found: list[bytes | None], marks: list[bytes | Non
     places, masks = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
     for i, lists in enumerate(marks):
         if lists and at[i] < at[i + 1]:
-            mark = np.frombuffer(lists, dtype=_MARK)
-            mark = mark[np.argsort(mark["name"], kind="stable")]
-            own = name[at[i] : at[i + 1]]
-            lo, hi = np.searchsorted(mark["name"], own), np.searchsorted(mark["name"], own, side="right")
-            places.append(np.repeat(s.at[at[i] : at[i + 1]], hi - lo))
-            masks.append(mark["mask"][np.repeat(lo, hi - lo) + np.arange(len(places[-1])) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)])
-    which, bit = np.nonzero(np.concatenate(masks)[:, None] >> np.arange(STRIDE, dtype=np.uint32) & 1)
-    begins = np.concatenate(places)[which] - SIDE + bit
-    np.add.at(step, begins, 1)
-    np.add.at(step, begins + LENGTH, -1)
+            mark, own = np.frombuffer(lists, dtype=_MARK), name[at[i] : at[i + 1]]
+            where = np.minimum(np.searchsorted(mark["name"], own), len(mark) - 1)
+            hit = mark["name"][where] == own
+            places.append(s.at[at[i] : at[i + 1]][hit])
+            masks.append(mark["mask"][where[hit]])
+    place, mask = np.concatenate(places), np.concatenate(masks)
+    for bit in range(STRIDE):
+        begins = place[mask >> np.uint32(bit) & np.uint32(1) > 0] - SIDE + bit
+        np.add.at(step, begins, 1)
+        np.add.at(step, begins + LENGTH, -1)
     edge = np.diff((np.cumsum(step[:-1]) > 0).astype(np.int8), prepend=0, append=0)
     begin, stop = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
     of = np.searchsorted(s.start, begin, side="right") - 1

@@ -113,3 +113,32 @@ def test_refining_a_part_and_a_batch_of_texts_fit_a_worker():
     sent = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert parts < 50e6 and sent < 45e6, (parts, sent)
+
+
+def test_a_document_that_repeats_lines_is_told_once_a_name():
+    """What is sent, marked and held of a document doesn't grow with the square of the times that it repeats a line."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lodestone.llm import suffixes as S
+
+    line = "a line that two documents share and that each repeats very often"
+    rows = [(1, f"{line} one " * 600), (2, f"{line} two " * 600), (3, f"{line} two " * 600)]
+    texts = [t.encode() for _, t in rows]
+    want = {w[0]: w[2:4] for w in brute(list(zip((1, 2, 3), texts, strict=True)))}
+    for hot in (S.HOT, 1):
+        tracemalloc.start()
+        sent = pa.Table.from_batches(S._send(1, hot)(iter([pa.record_batch({"doc_id": pa.array([1, 2, 3]), "text": pa.array([t for _, t in rows])})])))
+        told = {r["doc_id"]: r for r in S._gather(S._judge(S.BUSY, 1)(sent)).to_pylist()}
+        lists = {k: pa.array([told.get(i, {}).get(k) for i, _ in rows], pa.binary()) for k in ("asked", "single")}
+        back = pa.Table.from_batches(S._ask(1)(iter([pa.record_batch({"doc_id": pa.array([1, 2, 3]), "text": pa.array([t for _, t in rows])} | lists)])))
+        marks = {r["doc_id"]: r["marks"] for r in S._gather_marks(S._refine(1)(back)).to_pylist()}
+        runs = S.spans(texts, [told.get(i, {}).get("found") for i, _ in rows], [marks.get(i) for i, _ in rows])
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert {i: (int((r[:, 1] - r[:, 0]).sum()), len(r)) for (i, _), r in zip(rows, runs, strict=True)} == want
+        names = len(np.unique(S.suffixes(texts[:1]).name)) + len(np.unique(S.suffixes(texts[1:2]).name))
+        assert sum(map(len, back.column("data").to_pylist())) < 3 * names * (S.REACH + 18 + S.STRIDE * 36)
+        assert all(len(m or b"") <= 12 * names for m in marks.values()) and all(len(r["found"] or b"") <= 8 * names for r in told.values())
+        assert held < 60e6, held
